@@ -70,23 +70,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     `cuts` value ranges, and only the ranges that contain a wanted rank are ranked."""
     v = (df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)"))
     marks = v.groupBy(*keys).agg(F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("_m"))
-    counted = v.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    counted = v.groupBy(*keys, "_v").agg(F.count("*").alias("_cnt"))
     b = counted.join(marks, keys).withColumn("_b", F.size(F.filter("_m", lambda c: c < F.col("_v")))).drop("_m")
     wb = W.partitionBy(*keys).orderBy("_b")
-    tot = (b.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
+    tot = (b.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_bn"))
            .withColumn("_off", F.sum("_bn").over(wb) - F.col("_bn"))
-           .withColumn("_N", F.sum("_bn").over(W.partitionBy(*keys))))
-    rank = {n: F.lit(float(q)) * (F.col("_N") - 1) for n, q in qs.items()}
+           .withColumn("_tot", F.sum("_bn").over(W.partitionBy(*keys))))
+    rank = {n: F.lit(float(q)) * (F.col("_tot") - 1) for n, q in qs.items()}
     hit = None
     for r in rank.values():
         for p in (F.floor(r), F.ceil(r)):
             h = (p >= F.col("_off")) & (p < F.col("_off") + F.col("_bn"))
             hit = h if hit is None else hit | h
-    cum = F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
+    cum = F.sum("_cnt").over(W.partitionBy(*keys, "_b").orderBy("_v"))
     picked = (b.join(tot.where(hit), keys + ["_b"])
-              .withColumn("_hi", F.col("_off") + cum).withColumn("_lo", F.col("_hi") - F.col("_n")))
+              .withColumn("_hi", F.col("_off") + cum).withColumn("_lo", F.col("_hi") - F.col("_cnt")))
     at = lambda p: F.max(F.when((p >= F.col("_lo")) & (p < F.col("_hi")), F.col("_v")))
-    g = picked.groupBy(*keys).agg(F.max("_N").alias("n"), *[a for n, r in rank.items() for a in
+    g = picked.groupBy(*keys).agg(F.max("_tot").alias("n"), *[a for n, r in rank.items() for a in
                                   (at(F.floor(r)).alias(f"_a_{n}"), at(F.ceil(r)).alias(f"_b_{n}"))])
     frac = {n: F.lit(float(q)) * (F.col("n") - 1) - F.floor(F.lit(float(q)) * (F.col("n") - 1)) for n, q in qs.items()}
     return g.select(*keys, F.col("n").cast("bigint").alias("n"),

@@ -22,9 +22,9 @@ def prefix_sums(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") -> D
     T, m = F.col("T"), F.col("m")
     return c.select(
         *keys, "T",
-        F.sum(m).over(run).alias("n"), F.sum(m * T).over(run).alias("st"), F.sum(m * T * T).over(run).alias("stt"),
+        F.sum(m).over(run).alias("run_n"), F.sum(m * T).over(run).alias("st"), F.sum(m * T * T).over(run).alias("stt"),
         F.sum("my").over(run).alias("sy"), F.sum(T * F.col("my")).over(run).alias("sty"),
-        F.sum(m).over(tot).alias("N"), F.sum("my").over(tot).alias("Y"), F.sum("myy").over(tot).alias("YY"),
+        F.sum(m).over(tot).alias("tot_n"), F.sum("my").over(tot).alias("tot_y"), F.sum("myy").over(tot).alias("tot_yy"),
         F.min(T).over(tot).alias("t_min"), F.max(T).over(tot).alias("t_max"),
         F.lead(T).over(w).alias("t_next"), (F.row_number().over(w) == 1).alias("first"))
 
@@ -36,7 +36,7 @@ def fit_hinge(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", bounds
     cold line with the warm mean, the data temperatures and the bounds can be best. One row per entity."""
     lo, hi = (F.lit(float(b)) for b in bounds)
     p = prefix_sums(df, keys, t, y)
-    T, n, st, stt, sy, sty, N, Y, YY = (F.col(c) for c in ("T", "n", "st", "stt", "sy", "sty", "N", "Y", "YY"))
+    T, n, st, stt, sy, sty, N, Y, YY = (F.col(c) for c in ("T", "run_n", "st", "stt", "sy", "sty", "tot_n", "tot_y", "tot_yy"))
     c = (n * sty - st * sy) / F.nullif(n * stt - st * st, F.lit(0.0))
     inner = ((Y - sy) / F.nullif(N - n, F.lit(0.0)) - (sy - c * st) / n) / F.nullif(c, F.lit(0.0))
     ends_after = lambda b: (T <= b) & (F.col("t_next").isNull() | (F.col("t_next") > b))
@@ -63,11 +63,11 @@ def fit_hinge(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", bounds
     s, b = F.col("s"), F.col("b")
     sse = F.when(s > 0, YY - 2 * b * Y - 2 * s * sxy + N * b * b + 2 * b * s * sx + s * s * sxx).otherwise(YY - 2 * b * Y + N * b * b)
     best = (e.groupBy(*keys).agg(F.min(F.struct(F.round(sse, 9).alias("sse"), th.alias("T_h"), s.alias("s_h"), b.alias("P_base"))).alias("f"),
-                                 F.max("N").alias("N"), F.max("Y").alias("Y"), F.max("YY").alias("YY"),
+                                 F.max("tot_n").alias("tot_n"), F.max("tot_y").alias("tot_y"), F.max("tot_yy").alias("tot_yy"),
                                  F.max("t_min").alias("t_min"), F.max("t_max").alias("t_max")))
-    sst = F.col("YY") - F.col("Y") * F.col("Y") / F.col("N")
+    sst = F.col("tot_yy") - F.col("tot_y") * F.col("tot_y") / F.col("tot_n")
     return best.select(
-        *keys, F.col("N").cast("bigint").alias("n_days"), F.col("f.P_base").alias("P_base"), F.col("f.s_h").alias("s_h"),
+        *keys, F.col("tot_n").cast("bigint").alias("n_days"), F.col("f.P_base").alias("P_base"), F.col("f.s_h").alias("s_h"),
         F.col("f.T_h").alias("T_h"), F.col("f.sse").alias("sse"),
         F.when(sst > 1e-9, 1 - F.col("f.sse") / sst).otherwise(0.0).alias("r2"),
         F.col("t_min").alias("T_min"), F.col("t_max").alias("T_max"),

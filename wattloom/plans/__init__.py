@@ -1,7 +1,7 @@
 """Named plans over the test tables."""
 from importlib import import_module
 
-MODULES = ("q_clean",)
+MODULES = ("q_clean", "q_aggregate", "q_cohorts")
 
 
 def load_all() -> None:

@@ -98,14 +98,14 @@ def p08(spark, d):
 def gap_input(spark, d):
     """Hourly mean per channel, with the hours that had no reading as holes."""
     h = (X.slots(spark, d).groupBy(F.col("channel").alias("hh"), F.date_trunc("hour", "ts").alias("ts"))
-         .agg(F.round(F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / F.count("*"), 8).alias("kw")))
+         .agg((F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("kw")))
     g = C.complete_grid(h, ["hh"], "ts", A, B, "1 hour")
     day = F.to_date("ts")
     return (g.withColumn("day", day).withColumn("slot", F.hour("ts")).withColumn("t", X.temperature_at(F.length("hh"), day))
             .withColumn("off", H.weekend_or_holiday(day)))
 
 
-@query("p09_fill_gaps", f"""WITH {X.SQL_SLOT}, h0 AS (SELECT channel AS hh, date_trunc('hour', ts) AS ts, round(CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*), 8) AS kw FROM sl GROUP BY 1,2),
+@query("p09_fill_gaps", f"""WITH {X.SQL_SLOT}, h0 AS (SELECT channel AS hh, date_trunc('hour', ts) AS ts, CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS kw FROM sl GROUP BY 1,2),
 gg AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM h0) u, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS g(ts)),
 gr AS (SELECT gg.hh, gg.ts, h0.kw FROM gg LEFT JOIN h0 ON gg.hh=h0.hh AND gg.ts=h0.ts), {INTERP_SQL}, {easter_table("(SELECT CAST(ts AS DATE) AS day FROM events)")},
 v AS (SELECT hh, ts, CAST(ts AS DATE) AS day, hour(ts) AS slot, CASE WHEN kw IS NOT NULL THEN kw WHEN v0 IS NOT NULL AND v1 IS NOT NULL AND (t1-t0)/3600-1<=1 THEN v0+(v1-v0)*(t-t0)/(t1-t0) END AS v FROM ip),

@@ -10,6 +10,9 @@ NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+KW = 99991.0      # price per kW: a prime, so derived values are no short decimals and rounding has no exact ties
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -35,13 +38,13 @@ def daily_own(spark, d) -> DataFrame:
     """hh, day, own: non-heating load of a day, orders summed as DECIMAL before any join."""
     o = table(spark, d, "orders")
     return (o.groupBy(F.col("o_custkey").alias("hh"), F.to_date("o_orderdate").alias("day"))
-            .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e5).alias("own")))
+            .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / KW).alias("own")))
 
 
 def daily_readings(spark, d) -> DataFrame:
     """hh, role, nation, station, cap, day, t, own, hp: one row per household and day with data."""
     x = daily_own(spark, d).join(households(spark, d), "hh").withColumn("t", temperature_at(F.col("station"), F.col("day")))
-    hp = F.when(F.col("role") == "hp", F.round(0.03 * F.col("cap") * F.greatest(F.lit(0.0), 15 - F.col("t")), 8)).otherwise(0.0)
+    hp = F.when(F.col("role") == "hp", 0.03 * F.col("cap") * F.greatest(F.lit(0.0), 15 - F.col("t"))).otherwise(0.0)
     return x.select("hh", "role", "nation", "station", "cap", "day", "t", "own", hp.alias("hp"))
 
 
@@ -50,9 +53,9 @@ def nation_daily(spark, d) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     g = (o.join(c, o.o_custkey == c.c_custkey)
          .groupBy(F.col("c_nationkey").alias("station"), F.to_date("o_orderdate").alias("day"))
-         .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / 1e5).alias("kw"))
+         .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / KW).alias("kw"))
          .withColumn("t", temperature_at(F.col("station"), F.col("day"))))
-    return g.select("station", "day", "t", F.round(F.col("kw") + 0.3 * F.greatest(F.lit(0.0), 15 - F.col("t")), 8).alias("y"), "kw")
+    return g.select("station", "day", "t", (F.col("kw") + 0.3 * F.greatest(F.lit(0.0), 15 - F.col("t"))).alias("y"), "kw")
 
 
 def slots(spark, d) -> DataFrame:
@@ -65,7 +68,7 @@ def slots(spark, d) -> DataFrame:
 def hourly(spark, d) -> DataFrame:
     """hh, ts (hour), kw: mean of the hour's readings; silent hours have no row."""
     return (slots(spark, d).groupBy("hh", F.date_trunc("hour", "ts").alias("ts"))
-            .agg(F.round(F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / F.count("*"), 8).alias("kw")))
+            .agg((F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("kw")))
 
 
 # The same adapters as SQL common table expressions, for the result checks.
@@ -80,16 +83,16 @@ def sql_temp(station: str, day: str) -> str:
 
 
 SQL_OWN = """own AS (SELECT o_custkey AS hh, CAST(o_orderdate AS DATE) AS day,
- CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/1e5 AS own FROM orders GROUP BY 1,2)"""
+ CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/99991.0 AS own FROM orders GROUP BY 1,2)"""
 SQL_READ = f"""{SQL_HH}, {SQL_OWN}, rt AS (SELECT h.hh, role, nation, station, cap, day, own, {sql_temp('station', 'day')} AS t
  FROM own o JOIN hh h ON o.hh=h.hh),
 rd AS (SELECT hh, role, nation, station, cap, day, t, own,
- CASE WHEN role='hp' THEN round(0.03::DOUBLE*cap*greatest(0.0::DOUBLE, 15-t), 8) ELSE 0.0::DOUBLE END AS hp FROM rt)"""
+ CASE WHEN role='hp' THEN 0.03::DOUBLE*cap*greatest(0.0::DOUBLE, 15-t) ELSE 0.0::DOUBLE END AS hp FROM rt)"""
 SQL_ND = f"""nd0 AS (SELECT c_nationkey AS station, CAST(o_orderdate AS DATE) AS day,
- CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/1e5 AS kw
+ CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/99991.0 AS kw
  FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2),
 nd1 AS (SELECT *, {sql_temp('station', 'day')} AS t FROM nd0),
-nd AS (SELECT station, day, t, round(kw + 0.3::DOUBLE*greatest(0.0::DOUBLE, 15-t), 8) AS y, kw FROM nd1)"""
+nd AS (SELECT station, day, t, kw + 0.3::DOUBLE*greatest(0.0::DOUBLE, 15-t) AS y, kw FROM nd1)"""
 SQL_SLOT = "sl AS (SELECT user_id AS hh, event_type AS channel, ts, value AS kw, event_id FROM events)"
 SQL_HOUR = f"""{SQL_SLOT}, hr AS (SELECT hh, date_trunc('hour', ts) AS ts,
- round(CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*), 8) AS kw FROM sl GROUP BY 1,2)"""
+ CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS kw FROM sl GROUP BY 1,2)"""
