@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import exact_quantiles
 from ..functions.stats import r8
 from ..operators import cohorts as K, hinge as HG
+from ..session import cut_lineage
 from ..sources import tables as X
 from . import sqlparts as Q
 from .registry import query
@@ -25,8 +26,9 @@ def split_plan(spark, d):
 
 
 def pool_plan(spark, d):
-    s = split_plan(spark, d)
-    return K.pools(s, K.inner_folds(s, FOLDS))
+    """Pools are read several times by every plan below: one written copy, one row per seed, household and pool."""
+    s = cut_lineage(split_plan(spark, d))
+    return cut_lineage(K.pools(s, K.inner_folds(s, FOLDS)))
 
 
 def cell_plan(spark, d):
@@ -36,7 +38,7 @@ def cell_plan(spark, d):
 def member_plan(spark, d):
     p = pool_plan(spark, d)
     subs = K.substations(K.plan_cells(p, SIZES, PENS, MIN_POOL, OVERLAP), PER_CELL)
-    return K.draw_members(subs, p)
+    return cut_lineage(K.draw_members(subs, p))
 
 
 def daily_plan(spark, d, members=None):

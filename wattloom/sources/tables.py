@@ -96,3 +96,13 @@ nd AS (SELECT station, day, t, kw + 0.3::DOUBLE*greatest(0.0::DOUBLE, 15-t) AS y
 SQL_SLOT = "sl AS (SELECT user_id AS hh, event_type AS channel, ts, value AS kw, event_id FROM events)"
 SQL_HOUR = f"""{SQL_SLOT}, hr AS (SELECT hh, date_trunc('hour', ts) AS ts,
  CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS kw FROM sl GROUP BY 1,2)"""
+
+
+def station_temperature(spark, d) -> DataFrame:
+    """Weather table: station (the five regions), day, t for every calendar day with readings."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    x = days.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return x.select("station", "day", temperature_at(F.col("station"), F.col("day")).alias("t"))
+
+
+SQL_ST = f"""stt AS (SELECT CAST(s AS INTEGER) AS station, day, {sql_temp('s', 'day')} AS t FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), range(5) r(s))"""
