@@ -1,7 +1,7 @@
 """Named plans over the test tables."""
 from importlib import import_module
 
-MODULES = ("q_sources", "q_clean", "q_aggregate", "q_cohorts", "q_estimators")
+MODULES = ("q_sources", "q_clean", "q_joins", "q_aggregate", "q_cohorts", "q_estimators")
 
 
 def load_all() -> None:

@@ -30,12 +30,12 @@ def s01(spark, d):
                     F.col("kWh_received_HeatPump").alias("heat_pump"), F.col("kWh_received_Other").alias("other"))
 
 
-@query("s02_fused_weather", f"""WITH h AS (SELECT event_type AS st, date_trunc('hour', ts) AS ts, round(avg(value)*1.0007::DOUBLE,5) AS th FROM events GROUP BY 1,2), d AS (SELECT event_type AS st, CAST(ts AS DATE) AS day, round(avg(value)*1.0007::DOUBLE,5) AS td FROM events GROUP BY 1,2)
+@query("s02_fused_weather", f"""WITH h AS (SELECT event_type AS st, date_trunc('hour', ts) AS ts, round(avg(value)/0.99991::DOUBLE,5) AS th FROM events GROUP BY 1,2), d AS (SELECT event_type AS st, CAST(ts AS DATE) AS day, round(avg(value)/0.99991::DOUBLE,5) AS td FROM events GROUP BY 1,2)
 SELECT h.st AS station, strftime(h.ts,'%Y-%m-%d %H') AS hour, th, td FROM h LEFT JOIN d ON h.st=d.st AND CAST(h.ts AS DATE)=d.day""")
 def s02(spark, d):
     s, path = X.slots(spark, d), scratch(spark, "weather")
     w = lambda unit, name: (s.groupBy(F.col("channel").alias("Weather_ID"), F.date_format(F.date_trunc(unit, "ts"), "yyyy-MM-dd HH:mm:ss").alias("Timestamp"))
-                            .agg(F.round(F.avg("kw") * 1.0007, 5).alias(name)))
+                            .agg(F.round(F.avg("kw") / 0.99991, 5).alias(name)))
     w("hour", "Temperature_avg_hourly").write.option("sep", ";").option("header", True).csv(f"{path}/hourly")
     w("day", "Temperature_avg_daily").write.option("sep", ";").option("header", True).csv(f"{path}/daily")
     f = D.read_weather(spark, path, "fused")
@@ -87,10 +87,10 @@ def s05(spark, d):
 k AS (SELECT hh FROM f GROUP BY 1 HAVING count(*)/720.0>=0.09), g AS (SELECT k.hh, x.ts FROM k, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS x(ts)), gr AS (SELECT g.hh, g.ts, f.kw FROM g LEFT JOIN f ON f.hh=g.hh AND f.ts=g.ts),
 ip AS (SELECT hh, ts, kw, epoch(ts) AS t, last_value(CASE WHEN kw IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER p AS t0, last_value(kw IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN kw IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER f_ AS t1, first_value(kw IGNORE NULLS) OVER f_ AS v1
  FROM gr WINDOW p AS (PARTITION BY hh ORDER BY ts ROWS UNBOUNDED PRECEDING), f_ AS (PARTITION BY hh ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT hh, strftime(ts,'%Y-%m-%d %H') AS hour, round(4*1.0007::DOUBLE*CASE WHEN kw IS NOT NULL THEN kw WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 ELSE v0+(v1-v0)*(t-t0)/(t1-t0) END,7) AS kw FROM ip""")
+SELECT hh, strftime(ts,'%Y-%m-%d %H') AS hour, round(4/0.99991::DOUBLE*CASE WHEN kw IS NOT NULL THEN kw WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 ELSE v0+(v1-v0)*(t-t0)/(t1-t0) END,7) AS kw FROM ip""")
 def s06(spark, d):
     s = X.slots(spark, d).withColumn("ts", F.date_trunc("hour", "ts")).select("hh", "ts", "kw", "event_id")
-    u = D.utility_meters(s, ["hh"], "ts", "kw", "event_id", A, B, "1 hour", 720, 0.09, 4 * 1.0007)
+    u = D.utility_meters(s, ["hh"], "ts", "kw", "event_id", A, B, "1 hour", 720, 0.09, 4 / 0.99991)
     return u.select("hh", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), F.round("kw", 7).alias("kw"))
 
 
@@ -182,13 +182,14 @@ def s16(spark, d):
 
 # ------------------------------------------------------------------ reports and pools
 def reports(spark, d):
-    """Inspection reports out of orders: one report per order, flags and codes from its columns."""
-    o = X.table(spark, d, "orders")
-    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    """Inspection reports: one per document, a second one for labelled documents, flags and codes from the key."""
+    a = X.table(spark, d, "documents").select(F.col("doc_id").alias("hh"), F.col("doc_id").alias("k"))
+    o = a.unionByName(X.table(spark, d, "labels").select(F.col("doc_id").alias("hh"), (F.col("doc_id") + 100000).alias("k")))
+    k = F.col("k")
     b = lambda n: F.when(k % n == 0, F.lit(None)).otherwise(k % n == 1).cast("boolean")
     pick = lambda n, vals: F.element_at(F.array(*[F.lit(v) for v in vals]), (k % n + 1).cast("int"))
-    return o.where(F.col("o_orderdate") >= F.lit("2000-09-01").cast("timestamp_ntz")).select(
-        F.col("o_custkey").alias("hh"), k.alias("report"), b(3).alias("Building_Renovated_Windows"), b(5).alias("Building_Renovated_Roof"), b(4).alias("Building_PVSystem_Available"),
+    return o.select(
+        "hh", k.alias("report"), b(3).alias("Building_Renovated_Windows"), b(5).alias("Building_Renovated_Roof"), b(4).alias("Building_PVSystem_Available"),
         pick(4, ("single family house", "multi family house", "other", None)).alias("Building_Type"), pick(3, ("< 1975", "2000 - 10", None)).alias("Building_ConstructionYear_Interval"),
         pick(5, ("air-source", "ground-source", "water-source", None, "air-source")).alias("HeatPump_Installation_Type"), F.when(k % 6 > 0, k % 6).alias("Building_HousingUnits"),
         b(6).alias("HeatPump_BasicFunctionsOkay"), b(7).alias("HeatPump_TechnicallyOkay"), b(3).alias("HeatPump_Installation_CorrectlyPlanned"),
@@ -205,7 +206,7 @@ def _b(n):
     return f"(CASE WHEN k%{n}=0 THEN NULL ELSE k%{n}=1 END)"
 
 
-REP_SQL = """r0 AS (SELECT o_custkey AS hh, o_orderkey AS k FROM orders WHERE o_orderdate>=TIMESTAMP '2000-09-01'), mu AS (SELECT hh FROM r0 GROUP BY 1 HAVING count(*)>1), r1 AS (SELECT * FROM r0 WHERE hh NOT IN (SELECT hh FROM mu))"""
+REP_SQL = """r0 AS (SELECT doc_id AS hh, doc_id AS k FROM documents UNION ALL SELECT doc_id, doc_id+100000 FROM labels), mu AS (SELECT hh FROM r0 GROUP BY 1 HAVING count(*)>1), r1 AS (SELECT * FROM r0 WHERE hh NOT IN (SELECT hh FROM mu))"""
 
 
 @query("p17_report_groundtruth", f"""WITH {REP_SQL}, z AS (SELECT r1.*, tp, tp='after visit' AS aft FROM r1, (VALUES ('before visit'),('after visit')) v(tp)),
