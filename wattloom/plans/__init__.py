@@ -1,7 +1,7 @@
 """Named plans over the test tables."""
 from importlib import import_module
 
-MODULES = ("q_sources", "q_clean", "q_joins", "q_aggregate", "q_cohorts", "q_estimators", "q_audits", "q_verdicts")
+MODULES = ("q_sources", "q_clean", "q_joins", "q_aggregate", "q_cohorts", "q_estimators", "q_audits", "q_verdicts", "q_models", "q_streaming")
 
 
 def load_all() -> None:
