@@ -9,6 +9,11 @@ FIXED = {"CH-ZH": ("01-01", "05-01", "08-01", "12-25", "12-26"), "CH-ZH+2": ("01
 EASTER = {"CH-ZH": (-2, 1, 39, 50), "CH-ZH+2": (-2, 1, 39, 50), "GB-ENG": (-2, 1)}
 
 
+# fixed values: one-off bank holidays of the British calendar, and Mondays that were moved away
+GB_EXTRA = ("2011-04-29", "2012-06-04", "2012-06-05", "2020-05-08", "2022-06-02", "2022-06-03", "2022-09-19", "2023-05-08")
+GB_MOVED = ("2012-05-28", "2020-05-04", "2022-05-30")
+
+
 def easter_sunday(year: Column) -> Column:
     """Gregorian Easter (Butcher's rule)."""
     y = year.cast("int")
@@ -24,9 +29,10 @@ def easter_sunday(year: Column) -> Column:
 def is_holiday(day: Column, calendar: str = "CH-ZH") -> Column:
     off = F.datediff(day, easter_sunday(F.year(day)))
     hit = F.date_format(day, "MM-dd").isin(*FIXED[calendar]) | off.isin(*EASTER[calendar])
-    if calendar == "GB-ENG":      # first and last Monday of May, last Monday of August
-        dom, mo = F.dayofmonth(day), F.month(day)
-        hit = hit | ((F.weekday(day) == 0) & (((mo == 5) & ((dom <= 7) | (dom >= 25))) | ((mo == 8) & (dom >= 25))))
+    if calendar == "GB-ENG":      # Monday holidays, substitutes of weekend holidays, one-off days
+        dom, mo, wd, iso = F.dayofmonth(day), F.month(day), F.weekday(day), F.date_format(day, "yyyy-MM-dd")
+        monday = (wd == 0) & (((mo == 5) & ((dom <= 7) | (dom >= 25))) | ((mo == 8) & (dom >= 25)) | ((mo == 1) & dom.isin(2, 3)))
+        hit = ((hit | monday | ((mo == 12) & dom.isin(27, 28) & wd.isin(0, 1))) & ~iso.isin(*GB_MOVED)) | iso.isin(*GB_EXTRA)
     return hit
 
 
