@@ -38,23 +38,24 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         else:
             aggs.append((F.sum(v) if kind == "sum" else F.max(v)).alias(f"_s{i}"))
     before = W.partitionBy(*keys).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(*keys).orderBy("_c").rowsBetween(1, W.unboundedFollowing)
+    # looking ahead is a running window in descending order: a frame that ends at the last row is re-read for every row
+    after = W.partitionBy(*keys).orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)
     over_chunks = {"last": lambda s: F.last(s, True).over(before), "prev": lambda s: F.last(s, True).over(before),
-                   "next": lambda s: F.first(s, True).over(after), "sum": lambda s: F.sum(s).over(before),
+                   "next": lambda s: F.last(s, True).over(after), "sum": lambda s: F.sum(s).over(before),
                    "max": lambda s: F.max(s).over(before), "before_max": lambda s: F.max(s).over(before)}
     carry = (d.groupBy(*keys, "_c").agg(*aggs)
              .select(*keys, "_c", *[over_chunks[k](F.col(f"_s{i}")).alias(f"_k{i}") for i, (k, _) in enumerate(outs.values())]))
     d = d.join(carry, keys + ["_c"], "left")
     part = W.partitionBy(*keys, "_c").orderBy(*order)
-    upto, strict, onward = (part.rowsBetween(W.unboundedPreceding, 0), part.rowsBetween(W.unboundedPreceding, -1),
-                            part.rowsBetween(0, W.unboundedFollowing))
+    upto, strict = part.rowsBetween(W.unboundedPreceding, 0), part.rowsBetween(W.unboundedPreceding, -1)
+    onward = W.partitionBy(*keys, "_c").orderBy(*[F.desc(o) for o in order]).rowsBetween(W.unboundedPreceding, 0)
     made = []
     for i, (name, (kind, _)) in enumerate(outs.items()):
         v, k = F.col(f"_v{i}"), F.col(f"_k{i}")
         made.append({
             "last": lambda: F.coalesce(F.last(v, True).over(upto), k),
             "prev": lambda: F.coalesce(F.last(v, True).over(strict), k),
-            "next": lambda: F.coalesce(F.first(v, True).over(onward), k),
+            "next": lambda: F.coalesce(F.last(v, True).over(onward), k),
             "sum": lambda: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.coalesce(k, F.lit(0)),
             "max": lambda: F.greatest(F.max(v).over(upto), k),
             "before_max": lambda: F.greatest(F.max(v).over(strict), k),

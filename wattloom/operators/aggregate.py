@@ -70,14 +70,14 @@ def label_slots(df: DataFrame, key: list[str], ts: str, t: str, base: float, hou
 def cell_statistics(slots: DataFrame, key: list[str], y: str, with_corr: bool = False, t: str = "t") -> DataFrame:
     """Distribution statistics per (entity, clock window, severity bin), long."""
     aggs = {"Mean": F.avg(y), "Std": S.std_guarded(y), "Min": F.min(y), "Max": F.max(y), "Max-Min": F.max(y) - F.min(y), "Skew": S.skew_g1(y),
-            "Kurtosis": S.kurt_g2(y), "Q50": F.percentile(y, 0.5), "Q95": F.percentile(y, 0.95),
-            "N_obs": F.count(y).cast("double"), "N_days": F.count_distinct(F.col("_day")).cast("double")}
+            "Kurtosis": S.kurt_g2(y), "N_obs": F.count(y).cast("double")}
     if with_corr:
         aggs |= {"Cov_Temp": S.cov_guarded(y, t), "Corr_Temp": S.corr_guarded(y, t), "Cov_HDH": S.cov_guarded(y, "_hdh"), "Corr_HDH": S.corr_guarded(y, "_hdh")}
-    nd = aggs.pop("N_days")
-    # the distinct-day count is a separate, much smaller aggregate: one row per (cell, day) first
+    cell = [*key, "window", "bin"]
+    # quantiles and distinct days are separate aggregates: neither holds the values of a cell in one task
+    q = exact_quantiles(slots, cell, y, {"Q50": 0.5, "Q95": 0.95}, cuts=16).drop("n")
     days = slots.select(*key, "window", "bin", "_day").distinct().groupBy(*key, "window", "bin").agg(F.count("*").cast("double").alias("N_days"))
-    return slots.groupBy(*key, "window", "bin").agg(*[a.alias(n) for n, a in aggs.items()]).join(days, key + ["window", "bin"]), list(aggs) + ["N_days"]
+    return slots.groupBy(*cell).agg(*[a.alias(n) for n, a in aggs.items()]).join(days, cell).join(q, cell, "left"), [*aggs, "Q50", "Q95", "N_days"]
 
 
 def windowed_features(slots: DataFrame, key: list[str], ts: str, t: str, y: str, base: float = 12.0, mild: float = 10.0, cold: float = 25.0,

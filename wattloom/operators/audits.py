@@ -15,16 +15,16 @@ def cluster_bootstrap(pred: DataFrame, members: DataFrame, n_boot: int, seed: in
     Each household carries the array of replicates it was drawn in; a substation keeps the intersection of its members' arrays
     (at most its size of them), so no replicate x member table is joined."""
     hh = hash_rank(members.select("hh").distinct().withColumn("_g", F.lit(0)), ["_g"], digest(F.lit(seed), F.lit("boot"), F.col("hh")))
-    size = hh.groupBy("_g").agg(F.max("pool_size").alias("_H"))
-    draws = (size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_H"))))
-             .withColumn("pos", hash_int(F.lit(seed), F.lit("draw"), F.col("b"), F.col("j")) % F.col("_H")))
+    # the j-th draw of every replicate belongs to the household of rank j: draws are made where the households are
+    draws = hh.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).select(
+        "b", (hash_int(F.lit(seed), F.lit("draw"), F.col("b"), F.col("pos") + 1) % F.col("pool_size")).alias("pos"))
     drawn = draws.groupBy("pos").agg(F.collect_set("b").alias("bs"))
     have = hh.select("hh", "pos").join(drawn, "pos", "left").select("hh", F.coalesce("bs", F.array().cast("array<int>")).alias("bs"))
     kept = (members.select("sub_id", "hh").join(have, "hh").groupBy("sub_id").agg(F.collect_list("bs").alias("l"))
             .select("sub_id", F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], lambda a, x: F.array_intersect(a, x)).alias("bs")))
     n_all = pred.agg(F.count("*").alias("n_all"))
     d = pred.join(kept, "sub_id").select(y, p, F.explode("bs").alias("b"))
-    s = score(d, ["b"], y, p).where("n >= 2").join(n_all)
+    s = score(d, ["b"], y, p).where("n >= 2").join(F.broadcast(n_all))      # one row
     a = (1 - ci) / 2
     return s.agg(F.percentile(metric, a).alias("lo"), F.percentile(metric, 1 - a).alias("hi"), F.stddev_pop(metric).alias("sd"), F.count(metric).alias("n_valid"),
                  (F.sum("n") / (F.max("n_all") * n_boot)).alias("mean_kept"))

@@ -61,22 +61,29 @@ def local_slots(df: DataFrame, ts: str, tz: str, step_min: int) -> DataFrame:
     return df.withColumn("day", F.to_date(loc)).withColumn("slot", F.floor((F.hour(loc) * 60 + F.minute(loc)) / step_min).cast("int"))
 
 
-def interpolate(df: DataFrame, key: list[str], ts: str, value: str, out: str | None = None, limit: int | None = None,
-                step_seconds: int | None = None, edges: bool = True, chunk_seconds: int = 7 * DAY) -> DataFrame:
-    """Linear interpolation in time of NULL values. `limit` fills at most that many steps from EACH side of a gap;
-    `edges` carries the nearest value outward where there is no neighbour on one side."""
+def neighbours(df: DataFrame, key: list[str], ts: str, value: str, chunk_seconds: int = 7 * DAY) -> DataFrame:
+    """Nearest non-NULL value at or before (`_p`) and at or after (`_n`) each row, as (t, v) structs."""
     v = F.col(value)
     at = F.when(v.isNotNull(), F.struct(F.unix_timestamp(ts).alias("t"), v.alias("v")))
-    d = chunked_scan(df, key, [ts], time_chunk(ts, chunk_seconds), {"_p": ("last", at), "_n": ("next", at)})
-    t, p, n = F.unix_timestamp(ts), F.col("_p"), F.col("_n")
+    return chunked_scan(df, key, [ts], time_chunk(ts, chunk_seconds), {"_p": ("last", at), "_n": ("next", at)})
+
+
+def line_between(ts: str, value: str, limit: int | None = None, step_seconds: int | None = None, edges: bool = True) -> Column:
+    """Value on the line between the neighbours of a row. `limit` fills at most that many steps from EACH side of a gap; `edges`
+    carries the nearest value outward where there is no neighbour on one side."""
+    v, t, p, n = F.col(value), F.unix_timestamp(ts), F.col("_p"), F.col("_n")
     line = p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / F.nullif((n["t"] - p["t"]).cast("double"), F.lit(0.0))
     if limit is not None:
-        near = F.least((t - p["t"]), (n["t"] - t)) <= limit * step_seconds
-        line = F.when(near, line)
+        line = F.when(F.least((t - p["t"]), (n["t"] - t)) <= limit * step_seconds, line)
     filled = F.when(v.isNotNull(), v).when(p.isNotNull() & n.isNotNull(), line)
-    if edges:
-        filled = F.coalesce(filled, F.when(n.isNull(), p["v"]), F.when(p.isNull(), n["v"]))
-    return d.withColumn(out or value, filled).drop("_p", "_n")
+    return F.coalesce(filled, F.when(n.isNull(), p["v"]), F.when(p.isNull(), n["v"])) if edges else filled
+
+
+def interpolate(df: DataFrame, key: list[str], ts: str, value: str, out: str | None = None, limit: int | None = None,
+                step_seconds: int | None = None, edges: bool = True, chunk_seconds: int = 7 * DAY) -> DataFrame:
+    """Linear interpolation in time of NULL values (see `line_between`)."""
+    d = neighbours(df, key, ts, value, chunk_seconds)
+    return d.withColumn(out or value, line_between(ts, value, limit, step_seconds, edges)).drop("_p", "_n")
 
 
 def coverage(df: DataFrame, key: list[str], valid: Column, expected: int, per_day: int, day: str = "day", day_share: float = 0.9) -> DataFrame:
@@ -146,11 +153,9 @@ def fill_gaps(df: DataFrame, key: list[str], ts: str, value: str, t_day: str, of
     """Two tiers on a complete grid: NULL runs of at most `max_gap` slots are interpolated, other NULL slots are taken from the
     household's complete day of the same day type with the nearest daily temperature (earliest on ties). Columns day, slot must exist.
     Adds `filled` and `n_donor_days`."""
-    seen = F.when(F.col(value).isNotNull(), F.unix_timestamp(ts))
-    gap = chunked_scan(df, key, [ts], time_chunk(ts), {"_gp": ("last", seen), "_gn": ("next", seen)})
-    short = (F.col("_gn") - F.col("_gp")) / (86400 // slots_per_day) - 1 <= max_gap
-    g = interpolate(gap, key, ts, value, "_lin", edges=False)
-    g = g.withColumn("_v", F.when(F.col(value).isNotNull(), F.col(value)).when(short, F.col("_lin"))).drop("_gp", "_gn", "_lin")
+    g = neighbours(df, key, ts, value)
+    short = (F.col("_n.t") - F.col("_p.t")) / (86400 // slots_per_day) - 1 <= max_gap
+    g = g.withColumn("_v", F.coalesce(F.col(value), F.when(short, line_between(ts, value, edges=False)))).drop("_p", "_n")
     days = g.groupBy(*key, "day").agg(F.first(t_day, True).alias("_T"), F.first(off_day, True).alias("_we"),
                                       (F.count("_v") == slots_per_day).alias("_full"))
     donors = nearest_by_value(days.where(~F.col("_full")), days.where("_full"), key + ["_we"], "_T", "day")

@@ -134,7 +134,7 @@ def draw_with_replacement(pool: DataFrame, n_subs: int, seed: int, size_range: t
          .withColumn("size", (lo + F.floor(hash_unit(F.col("sub_id"), F.lit("size")) * (hi - lo + 1))).cast("int"))
          .withColumn("p", hash_unit(F.col("sub_id"), F.lit("pen")) * pen_max)
          .withColumn("n_hp", F.greatest(F.lit(1), F.bround(F.col("p") * F.col("size"), 0).cast("int"))).drop("id"))
-    m = (s.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("size")))).join(size_n)
+    m = (s.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("size")))).join(F.broadcast(size_n))      # one row
          .withColumn("pos", hash_int(F.col("sub_id"), F.lit("m"), F.col("j")) % F.col("pool_size")))
     return (m.join(ranked.select("hh", "pos"), "pos").withColumn("role", F.when(F.col("j") <= F.col("n_hp"), "hp").otherwise("fill"))
             .groupBy("sub_id", "size", "p", "n_hp", "hh", "role").agg(F.count("*").cast("double").alias("weight")))
@@ -149,7 +149,7 @@ def draw_stations_by_size(pool: DataFrame, n_subs: int, seed: int, sizes: tuple[
     w = W.partitionBy(F.lit(1)).orderBy("station")      # one row per station
     edges = H.withColumn("_hi", F.sum("H").over(w)).withColumn("_lo", F.col("_hi") - F.col("H")).withColumn("_T", F.sum("H").over(W.partitionBy(F.lit(1))))
     table = edges.agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi", "station", "H"))).alias("_st"), F.max("_T").alias("_T"))
-    s = (pool.sparkSession.range(n_subs).withColumn("sub_id", F.concat(F.lit(f"{seed}|nr|"), F.col("id").cast("string"))).join(table).join(n_fill)
+    s = (pool.sparkSession.range(n_subs).withColumn("sub_id", F.concat(F.lit(f"{seed}|nr|"), F.col("id").cast("string"))).join(F.broadcast(table)).join(F.broadcast(n_fill))      # one row each
          .withColumn("_u", hash_unit(F.col("sub_id"), F.lit("station")) * F.col("_T"))
          .withColumn("_pick", F.filter("_st", lambda x: (x["_lo"] <= F.col("_u")) & (F.col("_u") < x["_hi"]))[0])
          .select("sub_id", F.col("_pick.station").alias("station"), F.col("_pick.H").alias("H"), "F"))

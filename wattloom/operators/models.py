@@ -44,7 +44,7 @@ def fit_prep(train: DataFrame, keys: list[str], features: list[str]) -> DataFram
 def apply_prep(df: DataFrame, prep: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Imputed and standardised features (a constant feature becomes 0). The parameters are one row per key."""
     p = prep.groupBy(*keys).pivot("feature", features).agg(F.first("median").alias("m"), F.first("mean").alias("a"), F.first("sd").alias("s"))
-    j = df.join(p, keys) if keys else df.join(p)
+    j = df.join(p, keys) if keys else df.join(F.broadcast(p))      # without keys the parameters are one row
     z = lambda f: (F.coalesce(F.col(f"`{f}`").cast("double"), F.col(f"`{f}_m`")) - F.col(f"`{f}_a`")) / F.when(F.col(f"`{f}_s`") > 1e-12, F.col(f"`{f}_s`"))
     rest = [c for c in df.columns if c not in features]
     return j.select(*rest, *[F.coalesce(z(f), F.lit(0.0)).alias(f) for f in features])

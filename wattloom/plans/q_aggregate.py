@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions.scan import exact_quantiles
 from ..functions.stats import r8
-from ..operators import aggregate as A, clean as C, hinge as HG
+from ..operators import aggregate as A, clean as C, cohorts as K, hinge as HG
 from ..sources import tables as X
-from .q_clean import GRID_SQL, INTERP_SQL, grid
+from .q_clean import GRID_SQL, grid
+from .q_cohorts import MEMBER_SQL, member_plan
 from .registry import query
 
 R = "round({},8)"
@@ -215,11 +216,10 @@ def a21(spark, d):
     return p.select("hour", *[r8(F.col(f"`{x}`")).alias(f"d{x[-2:]}") for x in days])
 
 
-@query("a22_distinct_members", f"""WITH {X.SQL_OWN}, m AS (SELECT year(day) AS y, month(day) AS mo, hh FROM own) SELECT CAST(y AS INTEGER) AS year, CAST(count(DISTINCT hh) AS BIGINT) AS n_households FROM m GROUP BY 1""")
+@query("a22_distinct_members", f"WITH {MEMBER_SQL} SELECT seed, split, CAST(count(DISTINCT hh) AS BIGINT) AS n_households FROM me WHERE role='hp' GROUP BY 1,2")
 def a22(spark, d):
-    # lists are per month and bounded by the households of that month's day; the union is counted exactly
-    m = X.daily_own(spark, d).groupBy(F.year("day").alias("year"), "day").agg(F.collect_set("hh").alias("members"))
-    return A.distinct_members(m, ["year"], "members")
+    # a member list is at most as long as its substation
+    return A.distinct_members(K.member_lists(member_plan(spark, d)), ["seed", "split"], "hp_members")
 
 
 @query("a23_daily_vector", f"""WITH {X.SQL_ND}, s AS (SELECT station, min(day) AS s FROM nd GROUP BY 1),

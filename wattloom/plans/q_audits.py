@@ -229,7 +229,7 @@ def g07(spark, d):
     hp = m.join(r.select("hh", "day", "hp"), "hh").groupBy("sid", "day").agg(F.sum("hp").alias("hp"))
     # the base load repeats for each of the design's subsets: one row per calendar day each
     sids = y.groupBy().agg(F.collect_list("sid").alias("s"))
-    g = base.join(sids).withColumn("sid", F.explode("s")).drop("s").join(hp, ["sid", "day"], "left").withColumn("z", F.col("own") + F.coalesce("hp", F.lit(0.0)))
+    g = base.join(F.broadcast(sids)).withColumn("sid", F.explode("s")).drop("s").join(hp, ["sid", "day"], "left").withColumn("z", F.col("own") + F.coalesce("hp", F.lit(0.0)))
     e = HG.fit_hinge(g, ["sid"], "t", "z").join(y, "sid")
     l = e.select("k", "y", F.explode(F.create_map(F.lit("slope"), F.col("s_h") * 100, F.lit("base"), (F.col("P_base") + F.col("s_h")) * 8)).alias("method", "p"))
     s = A.score(l, ["k", "method"], "y", "p").select("k", "method", F.round("wape", 5).alias("wape"))

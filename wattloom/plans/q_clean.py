@@ -76,9 +76,9 @@ INTERP_SQL = """ip AS (SELECT hh, ts, kw, epoch(ts) AS t, last_value(CASE WHEN k
 SELECT hh, strftime(ts, '%Y-%m-%d %H') AS hour, round(CASE WHEN kw IS NOT NULL THEN kw WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 ELSE v0+(v1-v0)*(t-t0)/(t1-t0) END,8) AS kw,
  round(CASE WHEN kw IS NOT NULL THEN kw WHEN v0 IS NOT NULL AND v1 IS NOT NULL AND least(t-t0,t1-t)<=3*3600 THEN v0+(v1-v0)*(t-t0)/(t1-t0) END,8) AS kw_limit3 FROM ip""")
 def p06(spark, d):
-    g = C.interpolate(grid(spark, d), ["hh"], "ts", "kw", "kw_all")
-    g = C.interpolate(g, ["hh"], "ts", "kw", "kw_limit3", limit=3, step_seconds=3600, edges=False)
-    return g.select("hh", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), r8("kw_all").alias("kw"), r8("kw_limit3").alias("kw_limit3"))
+    g = C.neighbours(grid(spark, d), ["hh"], "ts", "kw")          # one scan serves both fills
+    return g.select("hh", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), r8(C.line_between("ts", "kw")).alias("kw"),
+                    r8(C.line_between("ts", "kw", 3, 3600, False)).alias("kw_limit3"))
 
 
 @query("p07_unit_conversion", """SELECT event_id, round(value*4,8) AS kw_15min, round(value*2,8) AS kw_30min, round((value-32)*5/9,8) AS celsius, round(value/1000,8) AS kw_from_w FROM events""")

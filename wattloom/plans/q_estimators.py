@@ -28,10 +28,10 @@ def train_hp(spark, d):
 
 def pilot_sets(spark, d, min_station=10):
     """seed, pilot ('all' or a station with enough HP homes), hh, station, cap."""
-    t = train_hp(spark, d)
+    t = cut_lineage(train_hp(spark, d))
     n = t.groupBy("seed", "station").agg(F.count("*").alias("n")).where(F.col("n") >= min_station).select("seed", "station")
     per = t.join(n, ["seed", "station"]).withColumn("pilot", F.concat(F.lit("S"), F.col("station").cast("string")))
-    return t.withColumn("pilot", F.lit("all")).unionByName(per)
+    return cut_lineage(t.withColumn("pilot", F.lit("all")).unionByName(per))
 
 
 def pilot_plan(spark, d):
@@ -71,7 +71,7 @@ def r07(spark, d):
 
 
 def s0_plan(spark, d):
-    fill = C.split_plan(spark, d).where("split = 'train' AND role = 'fill'").select("seed", "hh", "station", "cap")
+    fill = cut_lineage(C.split_plan(spark, d).where("split = 'train' AND role = 'fill'").select("seed", "hh", "station", "cap"))
     r = X.daily_readings(spark, d).withColumn("own", F.col("own") + 0.004 * F.greatest(F.lit(0.0), 16 - F.col("t")))
     return E.dwelling_slope(fill, ["seed"], r, X.station_temperature(spark, d))
 

@@ -66,7 +66,7 @@ def j04(spark, d):
 # ------------------------------------------------------------------ analog days
 def calendar(spark, d):
     """station, day, t, off: every weather day with its day type."""
-    return X.station_temperature(spark, d).withColumn("off", H.weekend_or_holiday(F.col("day")))
+    return cut_lineage(X.station_temperature(spark, d).withColumn("off", H.weekend_or_holiday(F.col("day"))))
 
 
 def split_calendar(spark, d):
