@@ -42,12 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by the session (`spark.checkpoint.dir`).
+    """Write the rows once to a table in the shared folder and read them back.
 
-    Blocks survive the loss of executors. Only when neither the session nor the context names a
-    folder (tests, local mode) a temporary one is set."""
+    The copy survives the loss of executors, later plans prune its columns, and its size is known, so the planner
+    broadcasts it only below the session's threshold."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
