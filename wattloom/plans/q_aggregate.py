@@ -51,11 +51,11 @@ def a04(spark, d):
 def net_slots(spark, d):
     """Hourly net load per channel with a temperature that swings around the daily value."""
     s = (X.slots(spark, d).groupBy("channel", F.date_trunc("hour", "ts").alias("ts"))
-         .agg((F.sum(F.col("kw").cast("decimal(18,2)")).cast("double")).alias("y")))
+         .agg((F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / 0.99991).alias("y")))
     return s.withColumn("t", F.round(X.temperature_at(F.length("channel"), F.to_date("ts")) + 10 + F.hour("ts") / 4.0, 4))
 
 
-NET_SQL = f"""{X.SQL_SLOT}, n0 AS (SELECT channel, date_trunc('hour', ts) AS ts, CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE) AS y FROM sl GROUP BY 1,2),
+NET_SQL = f"""{X.SQL_SLOT}, n0 AS (SELECT channel, date_trunc('hour', ts) AS ts, CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/0.99991::DOUBLE AS y FROM sl GROUP BY 1,2),
 n1 AS (SELECT *, round({X.sql_temp('length(channel)', 'ts')}+10+hour(ts)/4.0::DOUBLE,4) AS t FROM n0 WHERE isodow(ts)<6), n2 AS (SELECT *, CAST(ts AS DATE) AS day, greatest(0.0::DOUBLE,12-t) AS hdh FROM n1),
 n3 AS (SELECT channel, day, sum(hdh) AS sev FROM n2 GROUP BY 1,2),
 n4 AS (SELECT n2.*, CASE WHEN hour(ts)<6 THEN 'night' WHEN hour(ts)<10 THEN 'morning' WHEN hour(ts)<16 THEN 'day' ELSE 'evening' END AS win,

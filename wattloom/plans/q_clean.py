@@ -181,11 +181,10 @@ def p13(spark, d):
     return p.select("hh", F.to_date("bin").alias("day"), "n", r8("kw").alias("kw"))
 
 
-@query("p14_null_hygiene", f"""WITH {GRID_SQL}, e AS (SELECT hh, count(*) AS n, count(kw) AS nv FROM gr WHERE CAST(ts AS DATE)<DATE '2024-01-02' GROUP BY 1)
-SELECT hh, nv>=3 AS usable, CASE WHEN nv=0 THEN 'no values' WHEN nv<3 THEN 'too few values' END AS reason, CAST(n-nv AS BIGINT) AS n_filled FROM e""")
+@query("p14_null_hygiene", f"""WITH {GRID_SQL}, e AS (SELECT hh, count(*) AS n, count(kw) AS nv FROM gr GROUP BY 1)
+SELECT hh, nv>=60 AS usable, CASE WHEN nv=0 THEN 'no values' WHEN nv<60 THEN 'too few values' END AS reason, CAST(n-nv AS BIGINT) AS n_filled FROM e""")
 def p14(spark, d):
-    g = grid(spark, d).where(F.to_date("ts") < F.lit("2024-01-02").cast("date"))
-    return R.usable_entities(C.null_hygiene(g, ["kw"]), ["hh"], "kw", 3)
+    return R.usable_entities(C.null_hygiene(grid(spark, d), ["kw"]), ["hh"], "kw", 60)
 
 
 @query("p15_plausibility", f"""WITH {X.SQL_SLOT} SELECT hh, CAST(count(*) FILTER (kw NOT BETWEEN -30 AND 40) AS BIGINT) AS n_masked,
