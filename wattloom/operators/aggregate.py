@@ -1,12 +1,10 @@
 """Grouped reductions: resolution change, daily pairs, windowed features, coverage, climate, distances, summaries (A rows)."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import stats as S
-from ..functions.scan import exact_quantiles
+from ..functions.scan import chunked_scan, exact_quantiles
 from ..functions.timeparts import SEVERITY, WINDOWS, clock_window, severity_bin
 
 PAIRS = (("mild", "warm"), ("cold", "warm"), ("extreme", "warm"), ("extreme", "cold"))
@@ -146,10 +144,8 @@ def sample_distances(df: DataFrame, key: list[str], value: str, is_a: Column) ->
     c = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_x")).agg(
         F.sum(is_a.cast("bigint")).alias("_a"), F.sum((~is_a).cast("bigint")).alias("_b"))
     marks = c.groupBy(*key).agg(F.percentile_approx("_x", [i / 64 for i in range(1, 64)], 640).alias("_m"))
-    from ..functions.scan import chunked_scan
     d = c.join(marks, key).withColumn("_k", F.size(F.filter("_m", lambda m: m < F.col("_x")))).drop("_m")
-    d = chunked_scan(d, key, ["_x"], F.col("_k"), {"_ca": ("sum", F.col("_a")), "_cb": ("sum", F.col("_b")), "_px": ("prev", F.col("_x")),
-                                                   "_pa": ("prev", F.lit(0.0)), })
+    d = chunked_scan(d, key, ["_x"], F.col("_k"), {"_ca": ("sum", F.col("_a")), "_cb": ("sum", F.col("_b")), "_px": ("prev", F.col("_x"))})
     tot = c.groupBy(*key).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     d = d.join(tot, key)
     fa, fb = F.col("_ca") / F.nullif("_na", F.lit(0)), F.col("_cb") / F.nullif("_nb", F.lit(0))

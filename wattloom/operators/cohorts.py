@@ -80,6 +80,13 @@ def draw_members(subs: DataFrame, pool: DataFrame, tag: str = "draw") -> DataFra
     return a.unionByName(b)
 
 
+def extra_fillers(subs: DataFrame, pool: DataFrame, tag: str = "draw") -> DataFrame:
+    """n_hp more fillers per substation from its own pool, disjoint from the ones it has: the same walk, continued."""
+    base = draw_members(subs, pool, tag).where("role = 'fill'").select("sub_id", "hh")
+    longer = draw_members(subs.withColumn("size", F.col("size") + F.col("n_hp")), pool, tag).where("role = 'fill'")
+    return longer.select("sub_id", "hh").join(base, ["sub_id", "hh"], "left_anti")
+
+
 def member_lists(members: DataFrame) -> DataFrame:
     """One row per substation with its sorted member lists (a list is at most the substation's size)."""
     ids = [c for c in members.columns if c not in ("hh", "role")]

@@ -1,7 +1,7 @@
 """Joins of meters, weather and results: interpolated weather, analog days, donor stations, weather groups, comparisons (J rows)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash_int
 from ..functions.scan import exact_quantiles

@@ -126,8 +126,7 @@ def tune_trees(inner: DataFrame, final: DataFrame, fold: str, n_folds: int, cand
         for k in range(n_folds):
             nxt = (k + 1) % n_folds
             d = inner.withColumn("is_stop", F.col(fold) == nxt)
-            tr = d.where(F.col(fold) != k) if kind != "forest" else d.where(F.col(fold) != k)
-            m = tree_model(kind, seed, **opt).fit(tr)
+            m = tree_model(kind, seed, **opt).fit(d.where(F.col(fold) != k))      # the stopping fold is only read for the stop
             p = m.transform(d.where(F.col(fold) == k)).withColumnRenamed("prediction", "oof")
             losses.append(p.agg(F.avg(F.pow(F.col("oof") - F.col("y"), 2))).first()[0])
             iters.append(m.getNumTrees)

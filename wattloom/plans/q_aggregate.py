@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..functions.scan import exact_quantiles
 from ..functions.stats import r8
-from ..operators import aggregate as A, clean as C, cohorts as K, hinge as HG
+from ..operators import aggregate as A, cohorts as K, hinge as HG
 from ..sources import tables as X
 from .q_clean import GRID_SQL, grid
 from .q_cohorts import MEMBER_SQL, member_plan

@@ -4,9 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import holidays as H
-from ..functions.hashing import digest
 from ..functions.stats import r8
-from ..operators import aggregate as A, cohorts as K, hinge as HG, joins as J, rank as R
+from ..operators import cohorts as K, joins as J, rank as R
 from ..session import cut_lineage
 from ..sources import tables as X
 from . import q_cohorts as C, sqlparts as Q
@@ -101,15 +100,13 @@ def g08(spark, d):
     return J.place_analogs(s, analog_plan(spark, d), ["station"]).select(F.col("set_id").alias("sub_id"), "day", r8("kw").alias("kw"))
 
 
-@query("g09_own_fillers")
+@query("g09_own_fillers", f"""WITH {C.MEMBER_SQL}, dx AS (SELECT su.*, {C._pos_sql("'draw|'||sub_id||'|fill'", 'F')} AS pos FROM su, generate_series(size-n_hp+1, size) g(j))
+SELECT sub_id, CAST(count(*) AS BIGINT) AS n_extra, min(r.hh) AS first_hh, max(r.hh) AS last_hh FROM dx d JOIN rf r ON d.seed=r.seed AND d.split=r.split AND d.fold=r.fold AND d.pos=r.pos GROUP BY 1""")
 def g09(spark, d):
     """n_hp extra fillers per substation, disjoint from its own: the draw continues its pool walk past the members it has."""
     p = C.pool_plan(spark, d)
     subs = K.substations(K.plan_cells(p, C.SIZES, C.PENS, C.MIN_POOL, C.OVERLAP), C.PER_CELL)
-    base = K.draw_members(subs, p)
-    # a draw of `size` fillers contains the first size - n_hp of the same walk: the rest is disjoint by construction
-    full = K.draw_members(subs.withColumn("size", F.col("size") + F.col("n_hp")), p).where("role = 'fill'")
-    extra = full.select("sub_id", "hh").join(base.where("role = 'fill'").select("sub_id", "hh"), ["sub_id", "hh"], "left_anti")
+    extra = K.extra_fillers(subs, p)
     return extra.groupBy("sub_id").agg(F.count("*").alias("n_extra"), F.min("hh").alias("first_hh"), F.max("hh").alias("last_hh"))
 
 

@@ -5,7 +5,6 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..functions.stats import r8
 from ..operators import aggregate as A, estimators as E, hinge as HG, linear as L, models as M, rank as R
 from ..session import cut_lineage, scratch
 from ..sources import tables as X

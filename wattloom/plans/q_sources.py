@@ -241,10 +241,10 @@ def p19(spark, d):
     return R.restrict_pool(p, ids, "hh").select("hh", "station", F.split(F.concat(F.lit("P:"), F.col("hh").cast("string")), ":")[0].alias("source"))
 
 
-@query("p20_combine_pools", f"WITH {X.SQL_HH} SELECT CASE WHEN role='hp' THEN 'A:' ELSE 'B:' END||hh AS hh, CASE WHEN station=0 THEN 'KLO' ELSE CAST(station AS VARCHAR) END AS station, CASE WHEN role='hp' THEN 'A' ELSE 'B' END AS source FROM hh")
+@query("p20_combine_pools", f"WITH {X.SQL_HH} SELECT CASE WHEN role='hp' THEN 'A:' ELSE 'B:' END||hh AS hh, CASE WHEN station=0 THEN 'STATION-0' ELSE CAST(station AS VARCHAR) END AS station, CASE WHEN role='hp' THEN 'A' ELSE 'B' END AS source FROM hh")
 def p20(spark, d):
     h = X.households(spark, d).select("hh", F.col("station").cast("string").alias("station"), "role")
-    return R.combine_pools({"A": h.where("role = 'hp'"), "B": h.where("role <> 'hp'")}, "hh", "station", {"0": "KLO"}).select("hh", "station", "source")
+    return R.combine_pools({"A": h.where("role = 'hp'"), "B": h.where("role <> 'hp'")}, "hh", "station", {"0": "STATION-0"}).select("hh", "station", "source")
 
 
 @query("j03_pair_meters", """WITH m AS (SELECT s_suppkey AS meter, CASE WHEN s_acctbal<-500 THEN NULL ELSE s_nationkey END AS obj, CASE WHEN s_suppkey%3=0 THEN 'hp' WHEN s_suppkey%3=1 THEN 'dwelling' ELSE 'other' END AS kind FROM supplier),
