@@ -122,12 +122,12 @@ def _sequences(packed: DataFrame) -> int:
 def pack(df: DataFrame, size: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (PIECE_SCHEMA). A piece of `size` tokens is a sequence of its own; best fit would give it one as well."""
     rows = df.count()
-    parts = max(24, -(-rows // PART_PIECES))
+    parts = max(1, -(-rows // PART_PIECES))
     packed, done = _packed(df, parts, 1, size), []
     for rnd in range(2, ROUNDS + 2):
         open_ = packed.filter("gap > 0")
         gaps = open_.filter("offset = 0").count()
-        if not gaps:
+        if not gaps or parts == 1:
             break
         done.append(packed.filter("gap = 0"))
         parts = max(1, -(-parts // 2), -(-open_.count() // PART_PIECES))
