@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, sharding
+from . import html_text, langid, packing, pii, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(read(spark, d, "documents"))
 
 
+@query
+def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(read(spark, d, "pages"))
+
+
 @query
 def op9_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.digest(read(spark, d, "documents"))
