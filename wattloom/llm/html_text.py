@@ -54,6 +54,30 @@ LABELLED = """
 30 0.5 60 0 90 0 1 0 1 1 1
 8 0.3 25 0 40 0 1 0 0 1 1
 300 0 12 0 0 0 1 0 1 1 1
+7 0 12 0 3 0 1 0 0 1 1
+15 0 3 0 90 0 1 0 1 1 1
+22 0 90 0 22 0 1 0 0 1 1
+1 0 2 0 3 0 1 0 0 1 1
+55 0 1 1 0 0 1 0 1 1 1
+3 0 16 0 120 0 1 0 1 1 1
+200 0 3 0 8 0 1 0 0 1 1
+11 0 11 0 11 0 1 0 1 1 1
+90 0 250 0 9 0 1 0 1 1 1
+16 0 7 0 2 1 1 0 1 1 1
+2 0 18 0 0 0 1 0 1 1 1
+5 0 120 0 60 0 1 0 0 1 1
+33 0 14 0 1 0 1 0 0 1 1
+8 0 8 0 35 0 1 1 0 1 1
+70 0 2 0 70 0 1 0 1 1 1
+4 0 4 0 4 0 1 0 1 1 1
+28 0 0 0 0 0 1 0 1 1 1
+13 0 70 0 13 0 1 0 0 1 1
+150 0 9 0 5 0 1 0 0 1 1
+10 0 2 1 25 0 1 0 1 1 1
+19 0 110 0 4 1 1 0 1 1 1
+6 0 30 0 1 1 1 0 0 1 1
+48 0 48 0 48 0 1 0 0 1 1
+65 0 5 1 10 0 1 0 0 1 1
 4 1 80 0 3 1 1 0 0 1 0
 2 1 3 1 2 1 1 0 0 1 0
 5 0.9 5 0.9 4 1 1 0 0 1 0
@@ -75,6 +99,12 @@ LABELLED = """
 30 0 1 1 6 0 0 0 1 1 0
 3 0 50 0 0 0 0 0 0 1 0
 5 0 2 1 12 0 0 1 0 1 0
+12 0 90 0 14 0 0 0 1 1 0
+25 0 14 0 60 0 0 0 0 1 0
+60 0 25 0 0 0 0 0 1 1 0
+9 0 0 0 40 0 0 0 1 1 0
+4 0 12 0 9 0 0 1 0 1 0
+35 0 70 0 35 0 0 0 0 1 0
 2 1 2 1 2 1 0 0 0 1 0
 80 0 0 0 6 0 0 0 1 1 0
 1 1 0 0 1 1 0 0 0 0 0
