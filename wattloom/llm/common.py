@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,7 @@ LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256)
 _AT = 64
 
 
+@lru_cache(maxsize=8)
 def _table(seed: int) -> np.ndarray:
     return odd(_AT * 256, seed)
 
@@ -101,19 +103,22 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, seed: int, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hash of each word: sum of table entries by byte and place, mixed. `data`: other bytes, such as lower case."""
-        data, n = self.data if data is None else data, len(self.starts)
-        if not n:
-            return np.zeros(0, np.uint64)
-        length = self.ends - self.starts
-        stop = np.cumsum(length)
-        place = np.arange(stop[-1]) - np.repeat(stop - length, length)
-        at = np.repeat(self.starts, length) + place
-        v = _table(seed)[(place % _AT) * 256 + data[at]]
-        if length.max() > _AT:
-            far = place >= _AT
-            v[far] *= mix((place[far] // _AT).astype(np.uint64) + np.uint64(seed)) | np.uint64(1)
-        return mix(np.add.reduceat(v, stop - length) + length.astype(np.uint64))
+        """64-bit hash of each word. `data`: other bytes in the same places, such as lower case."""
+        return span_hashes(self.data if data is None else data, self.starts, self.ends, seed)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of the bytes of each span (none is empty): sum of table entries by byte and place, mixed."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    stop = np.cumsum(length)
+    place = np.arange(stop[-1]) - np.repeat(stop - length, length)
+    v = _table(seed)[(place % _AT) * 256 + data[np.repeat(starts, length) + place]]
+    if length.max() > _AT:
+        far = place >= _AT
+        v[far] *= mix((place[far] // _AT).astype(np.uint64) + np.uint64(seed)) | np.uint64(1)
+    return mix(np.add.reduceat(v, stop - length) + length.astype(np.uint64))
 
 
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
