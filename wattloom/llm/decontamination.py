@@ -1,6 +1,6 @@
 """Benchmark passages in documents, re-parameterised ones included.
 
-Texts become templates: a token is a run of letters and digits; numbers, units and names (capitalised words inside a sentence, a run of them as
+Texts become templates: a token is a run of letters and digits; numbers, units and names (words with one capital inside a sentence, a run of them as
 one) turn into typed placeholders, all else into lower case. Windows of WINDOW template tokens, half of them literal at least, of
 documents and benchmark items meet in a hash join. Windows of one document and item on one diagonal are one alignment: it counts if it
 covers COVER of the item's tokens and if its slots are consistent, that is if benchmark values and document values map
@@ -47,13 +47,15 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     digit, word = _DIGIT[d], _WORD[d]
     word[1:-1] |= _POINT[d[1:-1]] & digit[:-2] & digit[2:]
     first, last = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
-    value = span_hashes(LOWER[d], first, last, _SEED)
+    low = LOWER[d]
+    low[1:] += np.where((d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E) & (d[1:] != 0x97), 0x20, 0).astype(np.uint8)   # capitals with accents
+    value = span_hashes(low, first, last, _SEED)
     units = _unit_hashes()
     unit = units[np.searchsorted(units, value).clip(max=len(units) - 1)] == value
     breaks = np.concatenate([[0], np.cumsum(_BREAK[d])])
     inside = np.zeros(len(first), bool)
     inside[1:] = breaks[first[1:]] == breaks[last[:-1]]
-    name = _UPPER[d[first]] & inside & (last - first > 1)
+    name = _UPPER[d[first]] & inside & (last - first > 1) & (low[first + 1] == d[first + 1])
     later = np.zeros(len(first), bool)
     later[1:] = name[1:] & name[:-1]                                  # goes on a name
     keep = np.flatnonzero(~later)
