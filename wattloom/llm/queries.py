@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, langid, packing, pii, sharding
+from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(read(spark, d, "documents"), sharding.regular_tree(24), sharding.regular_tree(25))
 
 
+@query
+def op3_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_copies(read(spark, d, "embeddings"), least=0.98)
+
+
 @query
 def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
