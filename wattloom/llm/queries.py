@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding
+from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, substring_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, d, "documents"), window=13, with_text=False)
+
+
 @query
 def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(read(spark, d, "documents"), sharding.regular_tree(24), sharding.regular_tree(25))
