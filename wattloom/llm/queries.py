@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, substring_dedup
+from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, substring_dedup, suffix_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(read(spark, d, "documents"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, d, "documents"), width=400, with_bytes=False)
+
+
 @query
 def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(read(spark, d, "pages"))
