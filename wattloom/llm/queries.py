@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, substring_dedup, suffix_dedup
+from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(read(spark, d, "pages"))
 
 
+@query
+def op8_shingle_join(spark: SparkSession, d: str) -> DataFrame:
+    return shingle_join.join(read(spark, d, "documents"))
+
+
 @query
 def op9_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.digest(read(spark, d, "documents"))
