@@ -1,12 +1,13 @@
 """A corpus from raw documents to packed token sequences: language, near copies, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; every stage but the last returns the
-columns of `documents`. Rows with nulls in any column, empty tables and more columns than usual pass through as the stages' modules say."""
+columns of `documents`. What a stage does with nulls in any column, empty and very long texts, repeated rows and empty tables is said in the
+module of its operator; columns that other tables or the operators use as names pass through unchanged."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import langid, packing, pii
+from wattloom.llm import decontamination, langid, packing, pii, shingle_join
 from wattloom.session import cut_lineage
 
 
@@ -15,6 +16,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_languages(docs, least=0.5)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that five-word shingles link at 80 % keeps the one with the least doc_id."""
+    return shingle_join.keep_first(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, re-parameterised ones included."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data; no row goes."""
     return pii.mask_pii(docs)
@@ -25,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, size=1024, end_id=2)
 
 
-STAGES = [("language_id", language), ("pii", personal_data), ("best_fit_packing", packed)]
+STAGES = [("language_id", language), ("shingle_join", near_copies), ("decontamination", benchmark), ("pii", personal_data), ("best_fit_packing", packed)]
 #: Trigram likelihoods, checksums and token ids are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 

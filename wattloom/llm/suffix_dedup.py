@@ -8,7 +8,7 @@ A string of `width` bytes is repeated if it starts anywhere else, in the same te
    depth of 235 bytes, then sorts the others one slice of keys at a time. Suffixes that tie on their first and last 64 bytes are
    split around a pivot by cover ranks: for any two places the cover has an offset below 57 that leads both to ranked places, and two such
    offsets reach all `width` bytes. So ties of any length cost two look-ups, and memory is bounded by the slice.
-   The order is that of fixed hashes, which serves as well as the alphabet's to bring equal strings together.
+   Slices follow a hash of those 128 bytes, which serves as well as the alphabet to bring equal strings together; ties are in alphabetical order.
 3. Each text learns which of its runs' suffixes have an equal, and loses all bytes such strings cover.
 
 Null and empty texts hold nothing. Rows that repeat (a doc_id or a text) repeat each other's strings. Other columns are ignored; a
@@ -71,15 +71,21 @@ OFFSET = _offsets()
 
 
 def cover_ranks(data: np.ndarray) -> np.ndarray:
-    """Rank, at the places of the cover, of the next 235 bytes (zeros beyond the end): 64 bytes by hash, then doubled by 57 and 114 places, which lead to the cover again."""
+    """Alphabetical rank, at the places of the cover, of the next 235 bytes (zeros beyond the end): of 64 bytes first, then doubled by 57 and 114 places, which lead to the cover again."""
     padded = np.concatenate([data, np.zeros(_EDGE + 3 * MODULUS, np.uint8)])
-    h = gram_hashes(padded, _EDGE)
-    at = np.flatnonzero(np.isin(np.arange(len(h)) % MODULUS, COVER))
-    rank = np.zeros(len(h), np.int64)
-    rank[at] = np.unique(h[at], return_inverse=True)[1]
+    n = len(padded) - _EDGE + 1
+    at = np.flatnonzero(np.isin(np.arange(n) % MODULUS, COVER))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = [np.ascontiguousarray(eight[at + k]).view(">u8").ravel().astype(np.uint64) for k in range(0, _EDGE, 8)]
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(at), bool)
+    for w in words:
+        new[1:] |= w[order][1:] != w[order][:-1]
+    rank = np.zeros(n, np.int64)
+    rank[at[order]] = np.cumsum(new)
     for step in (MODULUS, 2 * MODULUS):
         further = at + step
-        second = np.where(further < len(h), rank[further.clip(max=len(h) - 1)] + 1, 0)
+        second = np.where(further < n, rank[further.clip(max=n - 1)] + 1, 0)
         rank[at] = np.unique((rank[at] << 32) | second, return_inverse=True)[1]
     return rank
 
