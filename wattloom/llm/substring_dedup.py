@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, n: int, window: int = 13) -> DataFrame:
         key = a["key"].is_valid() if a.num_rows else None
         return _pieces(t, a.filter(a["digest"].is_valid()), a.filter(key)["key"].to_pylist() if a.num_rows else [], window)
     pieces = docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(place, _SPAN)
-    spans = cut_lineage(compact(pieces))
+    spans = cut_lineage(compact(cut_lineage(pieces)))
     asked = spans.select("src_doc", "src_start", "n").distinct().withColumn("block", block_of(n, "src_doc"))
     source = docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, a: _source_digests(t, a, window), "src_doc long, src_start long, n long, src_digest long")
     # sums of 64-bit words agree if they agree modulo 2^64
