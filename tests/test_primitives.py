@@ -54,6 +54,14 @@ def test_draws_are_distinct_and_complete(spark):
         assert all(r.n == r.u and r.m < r.N for r in g) and len(g) == 59
 
 
+def test_every_subset_is_drawn_alike(spark):
+    """All 252 subsets of 5 out of 10 occur, as often as chance has it (chi-square, 251 degrees: 99.9 % below 326)."""
+    cells = spark.range(20160).select(F.concat(F.lit("cell"), F.col("id").cast("string")).alias("c"))
+    g = draw_positions(cells, F.lit(5), F.lit(10), F.col("c")).groupBy("c").agg(F.array_sort(F.collect_list("pos")).alias("s")).groupBy("s").count().collect()
+    assert len(g) == 252
+    assert sum((r["count"] - 80) ** 2 / 80 for r in g) < 326
+
+
 def test_result_does_not_depend_on_partitions(spark):
     d, _ = skewed(spark)
     old = spark.conf.get("spark.sql.shuffle.partitions")

@@ -3,10 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# fixed values: primes above any household count, used as strides of the draws
-STRIDES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
-
-
 def digest(*parts) -> Column:
     """md5 of the parts joined by '|'."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
@@ -42,17 +38,18 @@ def hash_rank(df: DataFrame, group: list[str], key: Column, rank: str = "pos", s
             .drop("_h", "_b", "_r", "_off"))
 
 
-def draw_positions(cells: DataFrame, n: Column, pool: Column, key: Column, out: str = "pos") -> DataFrame:
-    """One row per drawn position: `n` distinct positions of 0..pool-1 per cell.
-
-    Positions walk a pool that is already in random order with a stride coprime to its size
-    (product of two large primes), from a hashed start: distinct by construction, and the work is
-    the size of the result instead of cells x candidates."""
-    strides = F.array(*[F.lit(p).cast("bigint") for p in STRIDES])
-    k = len(STRIDES)
-    pick = lambda tag: F.element_at(strides, (hash_int(key, F.lit(tag)) % k + 1).cast("int"))
-    return (cells.withColumn("_start", hash_int(key, F.lit("start")) % pool)
-            .withColumn("_stride", (pick("a") % pool) * (pick("b") % pool) % pool)
-            .withColumn("_j", F.explode(F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"))))
-            .withColumn(out, (F.col("_start") + F.col("_stride") * F.col("_j")) % pool)
-            .drop("_start", "_stride", "_j"))
+def draw_positions(cells: DataFrame, n: Column, pool: Column, key: Column, out: str = "pos", turn: str | None = None) -> DataFrame:
+    """One row per drawn position: `n` distinct positions of 0..pool-1 per cell, every subset alike; `key` is unique per cell. `turn`: column for the order of the draws.
+
+    Positions are drawn independently and repeats are passed over, which is a draw without replacement. 3n + 32 tries nearly
+    always hold n distinct ones; a walk of 2n places (the whole pool, if that is less) from a hashed start stands behind them and completes the
+    draw in any case. The work follows the size of the result, not cells x candidates, and a cell's rows are few enough for one window."""
+    n, tries = n.cast("bigint"), n.cast("bigint") * 3 + 32
+    d = cells.withColumn("_key", key).withColumn("_n", n).withColumn("_tries", tries).withColumn("_pool", pool.cast("bigint"))
+    d = d.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_tries") + F.least(F.col("_pool"), F.col("_n") * 2))))
+    d = d.withColumn(out, F.when(F.col("_j") <= F.col("_tries"), hash_int(F.col("_key"), F.lit("try"), F.col("_j")))
+                     .otherwise(hash_int(F.col("_key"), F.lit("start")) + F.col("_j")) % F.col("_pool"))
+    first = d.groupBy(*cells.columns, "_key", "_n", out).agg(F.min("_j").alias("_j"))
+    ranked = first.withColumn("_turn", F.row_number().over(W.partitionBy("_key").orderBy("_j"))).where(F.col("_turn") <= F.col("_n"))
+    ranked = ranked.withColumn(turn, F.col("_turn")) if turn else ranked
+    return ranked.drop("_key", "_n", "_j", "_turn")

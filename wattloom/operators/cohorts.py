@@ -1,7 +1,7 @@
 """Household-disjoint splits and folds, feasible cells, seeded draws of synthetic substations and their aggregates (W01, W02, G rows, J05)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import digest, draw_positions, hash_int, hash_rank, hash_unit
 from .hinge import fit_degree_line, fit_hinge
@@ -66,25 +66,34 @@ def substations(cells: DataFrame, per_cell: dict[str, int]) -> DataFrame:
     return s.withColumn("sub_id", sub_id())
 
 
+KEEP = [*POOL, "station", "size", "p", "n_hp", "rep", "sub_id"]
+
+
+def _draw_fillers(subs: DataFrame, n: Column, tag: str) -> DataFrame:
+    """Positions of n fillers of every substation in its ranked fill pool, with the order in which they are drawn."""
+    return draw_positions(subs.where("size > n_hp").select(*KEEP, "F"), n, F.col("F"), F.concat(F.lit(f"{tag}|"), F.col("sub_id"), F.lit("|fill")), turn="turn")
+
+
+def _ranked_fill(pool: DataFrame, tag: str) -> DataFrame:
+    return hash_rank(pool.where("role = 'fill'").select(*POOL, "hh"), POOL, digest(F.col("seed"), F.lit(tag), F.col("hh"))).drop("pool_size")
+
+
 def draw_members(subs: DataFrame, pool: DataFrame, tag: str = "draw") -> DataFrame:
     """Distinct members of every substation: HP households of its own station, fill households of its pool. Long: one row per member."""
     key = digest(F.col("seed"), F.lit(tag), F.col("hh"))
     ranked_hp = hash_rank(pool.where("role = 'hp'").select(*POOL, "station", "hh"), POOL + ["station"], key).drop("pool_size")
-    ranked_fill = hash_rank(pool.where("role = 'fill'").select(*POOL, "hh"), POOL, key).drop("pool_size")
-    keep = [*POOL, "station", "size", "p", "n_hp", "rep", "sub_id"]
-    ident = F.concat(F.lit(f"{tag}|"), F.col("sub_id"))
-    hp = draw_positions(subs.select(*keep, "H"), F.col("n_hp"), F.col("H"), F.concat(ident, F.lit("|hp")))
-    fl = draw_positions(subs.where("size > n_hp").select(*keep, "F"), F.col("size") - F.col("n_hp"), F.col("F"), F.concat(ident, F.lit("|fill")))
-    a = hp.join(ranked_hp, POOL + ["station", "pos"]).select(*keep, "hh", F.lit("hp").alias("role"))
-    b = fl.join(ranked_fill, POOL + ["pos"]).select(*keep, "hh", F.lit("fill").alias("role"))
+    hp = draw_positions(subs.select(*KEEP, "H"), F.col("n_hp"), F.col("H"), F.concat(F.lit(f"{tag}|"), F.col("sub_id"), F.lit("|hp")))
+    a = hp.join(ranked_hp, POOL + ["station", "pos"]).select(*KEEP, "hh", F.lit("hp").alias("role"))
+    b = _draw_fillers(subs, F.col("size") - F.col("n_hp"), tag).join(_ranked_fill(pool, tag), POOL + ["pos"]).select(*KEEP, "hh", F.lit("fill").alias("role"))
     return a.unionByName(b)
 
 
 def extra_fillers(subs: DataFrame, pool: DataFrame, tag: str = "draw") -> DataFrame:
-    """n_hp more fillers per substation from its own pool, disjoint from the ones it has: the same walk, continued."""
-    base = draw_members(subs, pool, tag).where("role = 'fill'").select("sub_id", "hh")
-    longer = draw_members(subs.withColumn("size", F.col("size") + F.col("n_hp")), pool, tag).where("role = 'fill'")
-    return longer.select("sub_id", "hh").join(base, ["sub_id", "hh"], "left_anti")
+    """n_hp more fillers per substation from its own pool, disjoint from the ones it has: the next of a longer draw with the same key."""
+    base = _draw_fillers(subs, F.col("size") - F.col("n_hp"), tag).select("sub_id", "pos")
+    more = _draw_fillers(subs, F.least(F.col("size"), F.col("F")), tag).join(base, ["sub_id", "pos"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("sub_id").orderBy("turn"))
+    return more.withColumn("nth", nth).where("nth <= n_hp").join(_ranked_fill(pool, tag), POOL + ["pos"]).select("sub_id", "hh")
 
 
 def member_lists(members: DataFrame) -> DataFrame:

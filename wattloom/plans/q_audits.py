@@ -217,7 +217,7 @@ def sweep(spark, d):
 
 
 @query("g07_penetration_sweep", f"""WITH {X.SQL_READ}, r AS (SELECT hh, cap, row_number() OVER (ORDER BY {Q.md("'sweep'", 'hh')})-1 AS pos, count(*) OVER () AS n FROM hh WHERE role='hp'), s AS (SELECT k, d, 'sw|'||k||'|'||d AS sid, (SELECT any_value(n) FROM r) AS n FROM (VALUES (5),(10),(20)) a(k), range(10) b(d)),
-m0 AS (SELECT sid, k, d, n, {C._pos_sql('sid', 'n')} AS pos FROM s, generate_series(1, k) g(j)), m AS (SELECT m0.sid, k, d, hh, cap FROM m0 JOIN r USING (pos)), y AS (SELECT sid, k, sum(cap) AS y FROM m GROUP BY 1,2),
+m0 AS (SELECT sid, k, d, n, pos FROM {C.draw_sql('s', 'sid', 'least(k,n)', 'n')}), m AS (SELECT m0.sid, k, d, hh, cap FROM m0 JOIN r USING (pos)), y AS (SELECT sid, k, sum(cap) AS y FROM m GROUP BY 1,2),
 bs AS (SELECT day, sum(own)/50.0::DOUBLE AS own, avg(t) AS t FROM rd GROUP BY 1), sm AS (SELECT sid, rd.day, sum(hp) AS hp FROM m JOIN rd ON m.hh=rd.hh GROUP BY 1,2), g AS (SELECT y.sid, bs.day, t, own, coalesce(hp,0) AS hp FROM y CROSS JOIN bs LEFT JOIN sm ON sm.sid=y.sid AND sm.day=bs.day), z AS (SELECT sid, t, own+hp AS y FROM g), {Q.hinge('f', 'z', 'sid')},
 e AS (SELECT f.sid, k, y, s_h*100 AS a, (P_base+s_h)*8 AS b FROM f JOIN y USING (sid)), l AS (SELECT k, 'slope' AS method, y, a AS p FROM e UNION ALL SELECT k, 'base', y, b FROM e), w AS (SELECT k, method, round(sum(abs(p-y))/sum(y)*100,5) AS wape FROM l GROUP BY 1,2)
 SELECT k, method, wape, wape=min(wape) OVER (PARTITION BY k) AS best FROM w""")

@@ -70,20 +70,22 @@ ch AS (SELECT seed, split, fold, station, count(*) AS H FROM po WHERE role='hp'
 ce0 AS (SELECT ch.*, F, size, p::DOUBLE AS p, CAST(greatest(1, round_even(p::DOUBLE*size, 0)) AS INTEGER) AS n_hp FROM ch JOIN cf USING (seed, split, fold)
  CROSS JOIN (VALUES (20),(40)) a(size) CROSS JOIN (VALUES (0.1),(0.3)) b(p)),
 ce AS (SELECT *, CASE WHEN H<{MIN_POOL} THEN 'station pool < min_station_pool' WHEN n_hp>{OVERLAP}*H THEN 'n_hp > max_overlap * H' WHEN size-n_hp>F THEN 'fill pool too small' END AS reason FROM ce0)"""
-STR_SQL = ",".join(str(p) for p in (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103))
 
 
-def _pos_sql(key: str, pool: str) -> str:
-    pick = lambda tag: f"(list_extract([{STR_SQL}], CAST({Q.hint(key, repr(tag))} % 8 + 1 AS INTEGER)) % {pool})"
-    return f"({Q.hint(key, repr('start'))} % {pool} + ({pick('a')} * {pick('b')} % {pool}) * j) % {pool}"
+def draw_sql(src: str, key: str, n: str, pool: str) -> str:
+    """`src` with pos and turn of each of n distinct positions below pool: tries in order, repeats passed over, then a walk from a hashed start."""
+    tries = f"3*({n})+32"
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k_ ORDER BY j) AS turn FROM (SELECT * FROM (
+  SELECT q.*, {key} AS k_, j, (CASE WHEN j<={tries} THEN {Q.hint(key, "'try'", 'j')} ELSE {Q.hint(key, "'start'")}+j END) % ({pool}) AS pos
+  FROM {src} q, generate_series(1, {tries}+least({pool}, 2*({n}))) g(j)) QUALIFY row_number() OVER (PARTITION BY k_, pos ORDER BY j)=1)) WHERE turn<={n})"""
 
 
 MEMBER_SQL = f"""{CELL_SQL}, su AS (SELECT c.*, rep, concat_ws('|', seed, split||CASE WHEN fold>=0 THEN CAST(fold AS VARCHAR) ELSE '' END, station, size, p, rep) AS sub_id
  FROM ce c JOIN (VALUES ('train',0),('train',1),('test',0),('test',1),('inner',0)) r(sp_, rep) ON split=sp_ WHERE reason IS NULL),
 rh AS (SELECT seed, split, fold, station, hh, row_number() OVER (PARTITION BY seed, split, fold, station ORDER BY {Q.md('seed', "'draw'", 'hh')}) - 1 AS pos FROM po WHERE role='hp'),
 rf AS (SELECT seed, split, fold, hh, row_number() OVER (PARTITION BY seed, split, fold ORDER BY {Q.md('seed', "'draw'", 'hh')}) - 1 AS pos FROM po WHERE role='fill'),
-dh AS (SELECT su.*, {_pos_sql("'draw|'||sub_id||'|hp'", 'H')} AS pos FROM su, generate_series(1, n_hp) g(j)),
-df AS (SELECT su.*, {_pos_sql("'draw|'||sub_id||'|fill'", 'F')} AS pos FROM su, generate_series(1, size-n_hp) g(j)),
+dh AS {draw_sql('su', "'draw|'||sub_id||'|hp'", 'n_hp', 'H')},
+df AS {draw_sql('(SELECT * FROM su WHERE size>n_hp)', "'draw|'||sub_id||'|fill'", 'size-n_hp', 'F')},
 me AS (SELECT d.seed, d.split, d.fold, d.station, size, p, n_hp, rep, sub_id, r.hh, 'hp' AS role FROM dh d JOIN rh r ON d.seed=r.seed AND d.split=r.split AND d.fold=r.fold AND d.station=r.station AND d.pos=r.pos
  UNION ALL SELECT d.seed, d.split, d.fold, d.station, size, p, n_hp, rep, sub_id, r.hh, 'fill' FROM df d JOIN rf r ON d.seed=r.seed AND d.split=r.split AND d.fold=r.fold AND d.pos=r.pos)"""
 READ_TAIL = X.SQL_READ.replace(X.SQL_HH + ", ", "")

@@ -100,10 +100,11 @@ def g08(spark, d):
     return J.place_analogs(s, analog_plan(spark, d), ["station"]).select(F.col("set_id").alias("sub_id"), "day", r8("kw").alias("kw"))
 
 
-@query("g09_own_fillers", f"""WITH {C.MEMBER_SQL}, dx AS (SELECT su.*, {C._pos_sql("'draw|'||sub_id||'|fill'", 'F')} AS pos FROM su, generate_series(size-n_hp+1, size) g(j))
+@query("g09_own_fillers", f"""WITH {C.MEMBER_SQL}, dl AS {C.draw_sql('(SELECT * FROM su WHERE size>n_hp)', "'draw|'||sub_id||'|fill'", 'least(size,F)', 'F')},
+dx AS (SELECT * FROM dl WHERE NOT EXISTS (SELECT 1 FROM df WHERE df.sub_id=dl.sub_id AND df.pos=dl.pos) QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY turn)<=n_hp)
 SELECT sub_id, CAST(count(*) AS BIGINT) AS n_extra, min(r.hh) AS first_hh, max(r.hh) AS last_hh FROM dx d JOIN rf r ON d.seed=r.seed AND d.split=r.split AND d.fold=r.fold AND d.pos=r.pos GROUP BY 1""")
 def g09(spark, d):
-    """n_hp extra fillers per substation, disjoint from its own: the draw continues its pool walk past the members it has."""
+    """n_hp extra fillers per substation, disjoint from its own: the next of a longer draw."""
     p = C.pool_plan(spark, d)
     subs = K.substations(K.plan_cells(p, C.SIZES, C.PENS, C.MIN_POOL, C.OVERLAP), C.PER_CELL)
     extra = K.extra_fillers(subs, p)
