@@ -119,3 +119,17 @@ def test_trees_fit_and_stop(spark):
     z = M.assemble(d, ["a", "b", "c"]).withColumn("is_stop", F.col("fold") == 0)
     m, table, oof = M.tune_trees(z, z, "fold", 4, [("forest", {"trees": 4}), ("boosted", {"iters": 4, "depth": 2})])
     assert table.count() == 2 and oof.count() == 120 and m.transform(z).count() == 120
+
+
+def test_gram_by_partition_equals_sums(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from wattloom.operators import linear as L
+    names = [f"x{i}" for i in range(14)]
+    d = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b")).withColumn("f", (F.col("id") % 2).cast("int"))
+    d = d.select("k", "f", *[F.sin(F.col("id") * (i + 1)).alias(n) for i, n in enumerate(names)], F.when(F.col("id") % 50 != 0, F.cos(F.col("id"))).alias("y")).repartition(5)
+    got = {(r.k, r.f): r for r in L.gram(d, ["k", "f"], names, "y").collect()}
+    monkeypatch.setattr(L, "FEW_PRODUCTS", 10 ** 6)
+    want = {(r.k, r.f): r for r in L.gram(d, ["k", "f"], names, "y").collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    assert all(got[k].n == want[k].n and np.allclose(got[k].g, want[k].g, atol=1e-9) for k in got)

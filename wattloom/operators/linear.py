@@ -6,19 +6,65 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
+#: Cross products up to which plain sums are the better plan; their number grows with the square of the features.
+FEW_PRODUCTS = 66
+#: Partial matrices that a task holds before it hands them on.
+HELD = 64
+
+
 def gram(df: DataFrame, keys: list[str], features: list[str], y: str) -> DataFrame:
-    """keys, n, g: upper triangle of the cross products of (1, features, y), row by row."""
-    cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in features] + [F.col(y).cast("double")]
+    """keys, n, g: upper triangle of the cross products of (1, features, y), row by row. Rows with a NULL in a feature or y are left out."""
     ok = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*features, y]))
-    prods = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    k = len(features) + 2
+    if k * (k + 1) // 2 > FEW_PRODUCTS:
+        return _gram_by_partition(ok, keys, features, y)
+    cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in features] + [F.col(y).cast("double")]
+    prods = [(i, j) for i in range(k) for j in range(i, k)]
     a = ok.groupBy(*keys).agg(*[F.sum(cols[i] * cols[j]).alias(f"_g{i}_{j}") for i, j in prods])
     return a.select(*keys, F.col("_g0_0").cast("bigint").alias("n"), F.array(*[F.col(f"_g{i}_{j}") for i, j in prods]).alias("g"))
 
 
+def _gram_by_partition(ok: DataFrame, keys: list[str], features: list[str], y: str) -> DataFrame:
+    """Each task multiplies its rows key by key; the partial triangles, one row each, are added up by position with map-side combining."""
+    ids = ok.select(*keys).schema
+    k, width = len(features) + 2, len(keys)
+    upper = np.triu_indices(k)
+
+    def partial(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def hand_on():
+            cols = [pa.array([t[i] for t in held], from_arrow[i]) for i in range(width)]
+            g = pa.array([m[upper] for m in held.values()], pa.list_(pa.float64()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*cols, g], [*keys, "g"])
+
+        from_arrow: list = []
+        for b in batches:
+            from_arrow = [b.schema.field(i).type for i in range(width)]
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(width + i).to_numpy(zero_copy_only=False) for i in range(k - 1)]])
+            which = pd.DataFrame({str(i): b.column(i).to_pylist() for i in range(width)}).groupby([str(i) for i in range(width)], dropna=False, sort=False).indices if width else {(): np.arange(b.num_rows)}
+            for rows in which.values():
+                t = tuple(b.column(i)[int(rows[0])].as_py() for i in range(width))
+                held[t] = held.get(t, 0) + x[rows].T @ x[rows]
+                if len(held) >= HELD:
+                    yield hand_on()
+        if held:
+            yield hand_on()
+
+    doubles = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate([*features, y])]
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in ids], "g array<double>"])
+    parts = ok.select(*keys, *doubles).mapInArrow(partial, fields)
+    sums = parts.select(*keys, F.posexplode("g").alias("_at", "_v")).groupBy(*keys, "_at").agg(F.sum("_v").alias("_v"))
+    g = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda s: s["_v"]).alias("g"))
+    return g.select(*keys, F.col("g")[0].cast("bigint").alias("n"), "g")
+
+
 def unpack(g) -> np.ndarray:
     """Upper triangle to the full symmetric matrix."""
     g = np.asarray(g, float)
@@ -72,9 +118,9 @@ def pls_of(g, k: int) -> np.ndarray:
     return np.r_[ybar - mu @ w, w]
 
 
-def elastic_of(g, alpha: float, l1_ratio: float, sweeps: int = 500, tol: float = 1e-10) -> np.ndarray:
+def elastic_of(g, alpha: float, l1_ratio: float, tol: float = 1e-10) -> np.ndarray:
     """Lasso / elastic net (1/2n squared error + alpha l1_ratio |w| + alpha (1 - l1_ratio) w^2 / 2) on standardised features, by
-    coordinate descent on the Gram matrix."""
+    coordinate descent on the Gram matrix, until no coefficient moves by more than `tol` of the largest or the objective stops falling."""
     m = unpack(g)
     n = m[0, 0]
     mu, ybar = m[0, 1:-1] / n, m[0, -1] / n
@@ -85,14 +131,17 @@ def elastic_of(g, alpha: float, l1_ratio: float, sweeps: int = 500, tol: float =
     if len(live):
         z, r = c[np.ix_(live, live)] / np.outer(sd[live], sd[live]), cy[live] / sd[live]
         v = np.zeros(len(live))
-        for _ in range(sweeps):
+        loss = np.inf
+        while True:
             step = 0.0
             for j in range(len(live)):
                 rho = r[j] - z[j] @ v + z[j, j] * v[j]
                 new = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0.0) / (z[j, j] + alpha * (1 - l1_ratio))
                 step, v[j] = max(step, abs(new - v[j])), new
-            if step < tol:
+            now = v @ z @ v / 2 - r @ v + alpha * (l1_ratio * np.abs(v).sum() + (1 - l1_ratio) * v @ v / 2)
+            if step <= tol * max(1.0, np.abs(v).max()) or now >= loss:
                 break
+            loss = now
         w[live] = v / sd[live]
     return np.r_[ybar - mu @ w, w]
 
