@@ -24,10 +24,11 @@ def cluster_bootstrap(pred: DataFrame, members: DataFrame, n_boot: int, seed: in
             .select("sub_id", F.aggregate(F.slice("l", F.lit(2), F.size("l")), F.col("l")[0], lambda a, x: F.array_intersect(a, x)).alias("bs")))
     n_all = pred.agg(F.count("*").alias("n_all"))
     d = pred.join(kept, "sub_id").select(y, p, F.explode("bs").alias("b"))
-    s = score(d, ["b"], y, p).where("n >= 2").join(F.broadcast(n_all))      # one row
+    # the share kept is over all replicates, those with fewer than two substations (or none) included
+    s = score(d, ["b"], y, p).withColumn("_m", F.when(F.col("n") >= 2, F.col(metric)))
     a = (1 - ci) / 2
-    return s.agg(F.percentile(metric, a).alias("lo"), F.percentile(metric, 1 - a).alias("hi"), F.stddev_pop(metric).alias("sd"), F.count(metric).alias("n_valid"),
-                 (F.sum("n") / (F.max("n_all") * n_boot)).alias("mean_kept"))
+    out = s.agg(F.percentile("_m", a).alias("lo"), F.percentile("_m", 1 - a).alias("hi"), F.stddev_pop("_m").alias("sd"), F.count("_m").alias("n_valid"), F.sum("n").alias("_kept"))
+    return out.join(F.broadcast(n_all)).withColumn("mean_kept", F.col("_kept") / (F.col("n_all") * n_boot)).drop("_kept", "n_all")      # one row each
 
 
 def row_bootstrap(pred: DataFrame, keys: list[str], row: str, n_boot: int, seed: int, y: str, p: str) -> DataFrame:

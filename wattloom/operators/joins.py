@@ -77,9 +77,11 @@ def place_analogs(filler: DataFrame, amap: DataFrame, key: list[str]) -> DataFra
 
 
 # ------------------------------------------------------------------ stations
-def station_fill(daily: DataFrame, expected: int, max_missing: float = 0.05, min_corr: float = 0.98, min_days: int = 60) -> tuple[DataFrame, DataFrame]:
+def station_fill(daily: DataFrame, expected: int | None = None, max_missing: float = 0.05, min_corr: float = 0.98, min_days: int = 60) -> tuple[DataFrame, DataFrame]:
     """Fill stations (station, day, t) that miss too much from the complete station with the highest daily correlation:
-    t = a + b t'. Returns (log, filled). Pairs are formed per shared day between incomplete and complete stations only."""
+    t = a + b t'. Returns (log, filled). Pairs are formed per shared day between incomplete and complete stations only. `expected`: days that
+    a complete station has; all days of the table if not given."""
+    expected = daily.select("day").distinct().count() if expected is None else expected
     miss = daily.where("t IS NOT NULL").groupBy("station").agg((1 - F.count("*") / F.lit(float(expected))).alias("missing_share"))
     ok, bad = miss.where(F.col("missing_share") <= max_missing).select("station"), miss.where(F.col("missing_share") > max_missing)
     x = daily.where("t IS NOT NULL").join(bad, "station")

@@ -18,8 +18,8 @@ BOOT = 40
 @query("a16_cluster_bootstrap", f"""WITH {C.TARGET_SQL}, m AS (SELECT sub_id, hh FROM me WHERE role='hp' AND split='test'), hs AS (SELECT hh, row_number() OVER (ORDER BY {Q.md('0', "'boot'", 'hh')})-1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT hh FROM m)),
 dr AS (SELECT DISTINCT b, {Q.hint('0', "'draw'", 'b', 'j')} % n AS pos FROM range({BOOT}) x(b), (SELECT any_value(n) AS n FROM hs), generate_series(1, n) g(j)),
 dhx AS (SELECT b, hh FROM dr JOIN hs USING (pos)), k AS (SELECT b, sub_id FROM m JOIN dhx ON m.hh=dhx.hh GROUP BY 1,2 HAVING count(*)=(SELECT count(*) FROM m m2 WHERE m2.sub_id=m.sub_id)),
-p AS (SELECT sub_id, HP_Peak AS y, delta_net*1.3::DOUBLE AS p FROM tb WHERE split='test'), s AS (SELECT b, count(*) AS n, sum(abs(p-y))/sum(y)*100 AS w FROM k JOIN p USING (sub_id) GROUP BY 1 HAVING count(*)>=2)
-SELECT round(quantile_cont(w,0.025),6) AS lo, round(quantile_cont(w,0.975),6) AS hi, round(stddev_pop(w),6) AS sd, CAST(count(*) AS BIGINT) AS n_valid, round(sum(n)/((SELECT count(*) FROM p)*{BOOT})::DOUBLE,8) AS mean_kept FROM s""")
+p AS (SELECT sub_id, HP_Peak AS y, delta_net*1.3::DOUBLE AS p FROM tb WHERE split='test'), s AS (SELECT b, count(*) AS n, CASE WHEN count(*)>=2 THEN sum(abs(p-y))/sum(y)*100 END AS w FROM k JOIN p USING (sub_id) GROUP BY 1)
+SELECT round(quantile_cont(w,0.025),6) AS lo, round(quantile_cont(w,0.975),6) AS hi, round(stddev_pop(w),6) AS sd, CAST(count(w) AS BIGINT) AS n_valid, round(sum(n)/((SELECT count(*) FROM p)*{BOOT})::DOUBLE,8) AS mean_kept FROM s""")
 def a16(spark, d):
     t = C.target_plan(spark, d).where("split = 'test'").select("sub_id", F.col("HP_Peak").alias("y"), (F.col("delta_net") * 1.3).alias("p"))
     m = C.member_plan(spark, d).where("role = 'hp' AND split = 'test'")

@@ -154,15 +154,35 @@ def r11(spark, d):
     return crossfit_plan(spark, d).select("seed", "set_id", F.round("m", 6).alias("m"), F.round("T_h", 4).alias("T_h"))
 
 
-@query("r12_log_bias_calibration", f"""WITH {EST_SQL}, lb AS (SELECT seed, avg(ln(HP_Peak/ratio)) AS b, avg(ln(HP_Peak/corrected)) FILTER (corrected_valid) AS bc FROM es WHERE split='train' AND ratio_valid AND HP_Peak>0 GROUP BY 1)
-SELECT sub_id, round(ratio*exp(b),6) AS ratio_cal, round(corrected*exp(bc),6) AS corrected_cal FROM es JOIN lb USING (seed) WHERE split='test'""")
+def with_crossfit(spark, d, e):
+    """Estimates of train substations from pilots without the substation's own households; all others keep theirs."""
+    own = (C.member_plan(spark, d).where("role = 'hp' AND split = 'train'").join(C.hh_table(spark, d).select("hh", "cap", F.col("station").alias("home")), "hh")
+           .select("seed", F.col("sub_id").alias("set_id"), "hh", F.col("home").alias("station"), "cap"))
+    xf = E.crossfit_pilots(train_hp(spark, d), own, X.daily_readings(spark, d), X.station_temperature(spark, d)).select("seed", F.col("set_id").alias("sub_id"), F.col("m").alias("_m"))
+    e = e.join(xf, ["seed", "sub_id"], "left").withColumn("_m", F.when(F.col("split") == "train", F.col("_m")).otherwise(F.col("m_full")))
+    s = F.col("s_h_net")
+    for name, (p, v) in {"ratio": E.ratio_estimate(s, F.col("_m")), "corrected": E.corrected_estimate(s, F.col("size"), F.col("s0"), F.col("_m"))}.items():
+        e = e.withColumn(name, p).withColumn(f"{name}_valid", v)
+    return e.drop("_m")
+
+
+XF_SQL = f"""{EST_SQL}, xset AS (SELECT me.seed, sub_id AS set_id, me.hh, h.station, h.cap FROM me JOIN hh h ON me.hh=h.hh WHERE me.role='hp' AND me.split='train'),
+xids AS (SELECT DISTINCT seed, set_id FROM xset), xkeep AS (SELECT x.seed, x.set_id, t.hh, t.station, t.cap FROM xids x JOIN thp t ON t.seed=x.seed
+ WHERE NOT EXISTS (SELECT 1 FROM xset e WHERE e.seed=x.seed AND e.set_id=x.set_id AND e.hh=t.hh)), {xf_arms()},
+em AS (SELECT es.* EXCLUDE (ratio, ratio_valid, corrected, corrected_valid), CASE WHEN split='train' THEN xf.m ELSE m_full END AS mm FROM es LEFT JOIN xf ON xf.seed=es.seed AND xf.set_id=es.sub_id),
+ec AS (SELECT *, {_est('ratio', 's_h_net', 'mm')}, {_est('corrected', '(s_h_net-size*s0)', 'mm')} FROM em)"""
+
+
+@query("r12_log_bias_calibration", f"""WITH {XF_SQL}, lb AS (SELECT seed, avg(ln(HP_Peak/ratio)) AS b, avg(ln(HP_Peak/corrected)) FILTER (corrected_valid) AS bc FROM ec WHERE split='train' AND ratio_valid AND HP_Peak>0 GROUP BY 1)
+SELECT sub_id, round(ratio*exp(b),5) AS ratio_cal, round(corrected*exp(bc),5) AS corrected_cal FROM ec JOIN lb USING (seed) WHERE split='test'""")
 def r12(spark, d):
-    e = cut_lineage(estimate_plan(spark, d))
+    """The bias is the mean log ratio of cross-fitted train estimates."""
+    e = cut_lineage(with_crossfit(spark, d, estimate_plan(spark, d)))
     tr = e.where("split = 'train' AND ratio_valid")
     b = E.log_bias(tr, ["seed"], "HP_Peak", "ratio", "ratio_valid").withColumnRenamed("bias", "b")
     bc = E.log_bias(tr, ["seed"], "HP_Peak", "corrected", "corrected_valid").withColumnRenamed("bias", "bc")
     return e.where("split = 'test'").join(b, "seed").join(bc, "seed").select(
-        "sub_id", F.round(F.col("ratio") * F.exp("b"), 6).alias("ratio_cal"), F.round(F.col("corrected") * F.exp("bc"), 6).alias("corrected_cal"))
+        "sub_id", F.round(F.col("ratio") * F.exp("b"), 5).alias("ratio_cal"), F.round(F.col("corrected") * F.exp("bc"), 5).alias("corrected_cal"))
 
 
 @query("r13_net_features", f"""WITH {X.SQL_ND}, {Q.hinge('f', 'nd', 'station')}, h AS (SELECT station, regr_slope(y, greatest(0.0::DOUBLE,12-t)*24) AS s FROM nd GROUP BY 1)
@@ -285,10 +305,10 @@ def r17(spark, d):
     return p.groupBy("seed").agg(F.count("*").alias("n"), r8(F.avg(inside)).alias("coverage"), F.round(F.avg(F.col("hi") - F.col("lo")), 6).alias("width"))
 
 
-@query("r18_residual_model", f"""WITH {EST_SQL}, z AS (SELECT *, CASE WHEN ratio_valid AND HP_Peak>0 THEN ln(HP_Peak)-ln(ratio) END AS z, ln(size) AS ls FROM es), c AS (SELECT seed, regr_slope(z,ls) AS s, regr_intercept(z,ls) AS i, CAST(count(*)-count(z) AS BIGINT) AS n_excluded FROM z WHERE split='train' GROUP BY 1)
+@query("r18_residual_model", f"""WITH {XF_SQL}, z AS (SELECT *, CASE WHEN ratio_valid AND HP_Peak>0 THEN ln(HP_Peak)-ln(ratio) END AS z, ln(size) AS ls FROM ec), c AS (SELECT seed, regr_slope(z,ls) AS s, regr_intercept(z,ls) AS i, CAST(count(*)-count(z) AS BIGINT) AS n_excluded FROM z WHERE split='train' GROUP BY 1)
 SELECT sub_id, round(z,6) AS z, round(CASE WHEN ratio_valid THEN ratio*exp(i+s*ls) ELSE 0.0::DOUBLE END,5) AS pred, n_excluded FROM z JOIN c USING (seed)""")
 def r18(spark, d):
-    e = cut_lineage(estimate_plan(spark, d))
+    e = cut_lineage(with_crossfit(spark, d, estimate_plan(spark, d)))
     z = e.withColumn("z", E.log_ratio(F.col("HP_Peak"), F.col("ratio"), F.col("ratio_valid"))).withColumn("ls", F.log("size"))
     tr = z.where("split = 'train'")
     ex = tr.groupBy("seed").agg((F.count("*") - F.count("z")).alias("n_excluded"))

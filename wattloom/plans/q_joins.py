@@ -123,21 +123,21 @@ def gappy_stations(spark, d):
 
 GS_SQL = f"""{X.SQL_ND}, dd AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), gs AS (SELECT CAST(s AS INTEGER) AS station, day, {X.sql_temp('(s%5)', 'day')} AS t FROM dd, range(100,105) r(s)
  UNION ALL SELECT station, day, ({X.sql_temp('(station%5)', 'day')})*1.1::DOUBLE+0.5::DOUBLE+sin(dayofyear(day)*station)*station/10.0::DOUBLE FROM nd),
-ms AS (SELECT station, 1-count(*)/2399.0::DOUBLE AS miss FROM gs GROUP BY 1),
+ms AS (SELECT station, 1-count(*)/(SELECT count(DISTINCT day) FROM gs)::DOUBLE AS miss FROM gs GROUP BY 1),
 cp AS (SELECT x.station, y.station AS donor, corr(x.t,y.t) AS corr, regr_slope(x.t,y.t) AS b, regr_intercept(x.t,y.t) AS a, count(*) AS n FROM gs x JOIN ms mx ON mx.station=x.station AND mx.miss>0.05 JOIN gs y ON y.day=x.day JOIN ms my ON my.station=y.station AND my.miss<=0.05 GROUP BY 1,2 HAVING count(*)>=60),
 bs AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY corr DESC, donor DESC) AS rn FROM cp)"""
 
 
 @query("j07_station_donors", f"""WITH {GS_SQL} SELECT m.station, round(miss,8) AS missing_share, donor, round(corr,8) AS corr, round(a,6) AS a, round(b,6) AS b, CAST(n AS BIGINT) AS n_days_fit, CASE WHEN corr>=0.98 THEN 'filled' ELSE 'dropped' END AS action FROM ms m LEFT JOIN bs ON bs.station=m.station AND rn=1 WHERE miss>0.05""")
 def j07(spark, d):
-    log, _ = J.station_fill(gappy_stations(spark, d), 2399)
+    log, _ = J.station_fill(gappy_stations(spark, d))
     return log.select("station", r8("missing_share").alias("missing_share"), "donor", r8("corr").alias("corr"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "n_days_fit", "action")
 
 
 @query("j07_station_fill", f"""WITH {GS_SQL}, u AS (SELECT * FROM bs WHERE rn=1 AND corr>=0.98) SELECT station, day, round(t,6) AS t, is_filled FROM (SELECT gs.station, day, t, false AS is_filled FROM gs JOIN ms USING (station) WHERE miss<=0.05 OR station IN (SELECT station FROM u)
  UNION ALL SELECT u.station, g.day, a+b*g.t, true FROM u JOIN gs g ON g.station=u.donor WHERE NOT EXISTS (SELECT 1 FROM gs h WHERE h.station=u.station AND h.day=g.day))""")
 def j07_fill(spark, d):
-    _, f = J.station_fill(gappy_stations(spark, d), 2399)
+    _, f = J.station_fill(gappy_stations(spark, d))
     return f.select("station", "day", F.round("t", 6).alias("t"), "is_filled")
 
 

@@ -50,10 +50,10 @@ def s02_households(spark, d):
     return D.weather_of_households(w, h, h).select(F.col("Household_ID").alias("hh"), F.col("Weather_ID").alias("station"), "n_days", "t_mean")
 
 
-@query("s03_metadata_merge", """WITH m AS (SELECT c_custkey AS id, c_mktsegment AS segment FROM customer WHERE c_acctbal>0), o AS (SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n_reports, min(CAST(o_orderdate AS DATE)) AS first_visit FROM orders GROUP BY 1)
+@query("s03_metadata_merge", """WITH m AS (SELECT c_custkey AS id, c_mktsegment AS segment FROM customer), o AS (SELECT o_custkey AS id, CAST(count(*) AS BIGINT) AS n_reports, min(CAST(o_orderdate AS DATE)) AS first_visit FROM orders GROUP BY 1)
 SELECT coalesce(m.id,o.id) AS id, segment, n_reports, first_visit, m.id IS NOT NULL AS has_meta, o.id IS NOT NULL AS has_report FROM m FULL JOIN o ON m.id=o.id""")
 def s03(spark, d):
-    m = X.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.lit(True).alias("a"))
+    m = X.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.lit(True).alias("a"))
     o = X.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_reports"), F.to_date(F.min("o_orderdate")).alias("first_visit")).withColumn("b", F.lit(True))
     j = D.merge_metadata(m, o, "id")
     return j.select("id", "segment", "n_reports", "first_visit", F.coalesce("a", F.lit(False)).alias("has_meta"), F.coalesce("b", F.lit(False)).alias("has_report"))

@@ -1,6 +1,8 @@
 """Session settings and lineage cuts."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,17 +30,32 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "wattloo
     return s
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder of the session (`spark.checkpoint.dir`); a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    """Folder of the application below the shared one (`spark.checkpoint.dir`); in local mode without one, a temporary folder that goes when Python ends."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{sc.applicationId}"
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL[sc.applicationId], ignore_errors=True)
+    return _LOCAL[sc.applicationId]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder path for a written table, below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """New folder path for a written table, below the application's folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that the application wrote to cut lineages. Results that were not saved can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
