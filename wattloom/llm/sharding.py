@@ -71,11 +71,11 @@ def shard_documents(docs: DataFrame, tree: dict, grown: dict) -> DataFrame:
     return number_slots(d.withColumn("law", F.lit("key")), "shard", docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, tree: dict, path: str, rows_per_file: int = 500_000) -> None:
-    """One folder of Parquet files per shard; large shards are spread over tasks by a salt."""
+def write_shards(docs: DataFrame, tree: dict, path: str, column: str = "in_shard", rows_per_file: int = 500_000) -> None:
+    """One folder of Parquet files per shard, named by `column` (which `docs` must not have); large shards are spread over tasks by a salt."""
     n = max(1, -(-docs.count() // (rows_per_file * max(1, len(_leaves(tree))))))
-    d = place(docs, tree, F.col("doc_id"), "_shard").withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(n)))
-    d.repartition("_shard", "_salt").drop("_salt").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+    d = place(docs, tree, F.col("doc_id"), column).withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(n)))
+    d.repartition(column, "_salt").drop("_salt").write.partitionBy(column).parquet(path)
 
 
 def _leaves(tree: dict) -> list:
