@@ -145,7 +145,7 @@ def test_count_tree_loses_nothing():
     for _ in range(300):
         s = base[rng.random(300) < rng.choice([0.3, 0.85, 0.95])]
         sets.append(np.sort(np.concatenate([s, rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)])).tobytes())
-    p = shingle_join.Point(sets)
+    p = shingle_join.Point(np.frombuffer(b"".join(sets), np.uint64), np.array([len(x) // 8 for x in sets]))
     tree = shingle_join.CountTree(p.count, p.size)
     real = [set(np.frombuffer(x, np.uint64).tolist()) for x in sets]
     pruned = 0

@@ -32,6 +32,8 @@ from .exchange import answer, binaries, blocked, deal, from_planes, planes, send
 SHINGLE, PERCENT = 5, 80
 #: Groups of a count vector; fan-out of a tree; sets and shingles that one task joins.
 DIMS, FAN, CELL_SETS, CELL_SHINGLES = 128, 16, 512, 2_000_000
+#: Tasks that route the queries of large cells; leaves whose bounds (some 300 bytes each) may be sent to every executor.
+SPREAD, SENT_LEAVES = 16, 20_000
 _SEED = 31
 
 
@@ -199,9 +201,14 @@ def _judge(t: pa.Table, a: pa.Table) -> pa.Table:
     return pa.concat_tables(cols)
 
 
+_SET_ROWS = "cell long, family long, doc_id long, n long, point binary, set array<long>"
+
+
 def _sets_of(t: pa.Table, a: pa.Table) -> pa.Table:
-    """Set and count vector of each document asked for: cell, family, doc_id, n, set."""
-    out = [pa.table({"cell": pa.array([], pa.int64()), "family": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "set": pa.array([], pa.binary())})]
+    """Set and point of each document asked for."""
+    names = ["cell", "family", "doc_id", "n", "point", "set"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+    out = [pa.table([pa.array([], k) for k in kinds], names)]
     if a.num_rows and t.num_rows:
         a = a.sort_by("doc_id")
         want, cell, family = (a[c].to_numpy() for c in ("doc_id", "cell", "family"))
@@ -213,26 +220,32 @@ def _sets_of(t: pa.Table, a: pa.Table) -> pa.Table:
             if not len(hit):
                 continue
             s = Sets(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-            i = i[hit]
-            out.append(pa.table({"cell": pa.array(cell[i]), "family": pa.array(family[i]), "doc_id": pa.array(want[i]), "n": pa.array(s.size[hit], pa.int64()),
-                                 "set": pa.array([s.key[s.first[k]:s.first[k + 1]].tobytes() for k in hit.tolist()], pa.binary())}))
+            n, i = s.size[hit], i[hit]
+            p = Point(s.key[ranges(s.first[hit], n)], n)
+            sets = pa.ListArray.from_arrays(pa.array(p.first, pa.int32()), pa.array(p.key.view(np.int64)))
+            out.append(pa.table([pa.array(cell[i]), pa.array(family[i]), pa.array(want[i]), pa.array(n), pa.array([c.tobytes() for c in p.count.astype(np.uint32)], pa.binary()), sets], names))
     return pa.concat_tables(out)
 
 
-_SET_ROWS = "cell long, family long, doc_id long, n long, set binary"
+class Point:
+    """Sets of one task, their shingles one after the other, and their counts by group."""
 
+    def __init__(self, key: np.ndarray, size: np.ndarray):
+        self.key, self.size = key, size
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        owner = np.repeat(np.arange(len(size)), size)
+        group = (mix(key + np.uint64(13)) % np.uint64(DIMS)).astype(np.int64)
+        self.count = np.bincount(owner * DIMS + group, minlength=len(size) * DIMS).reshape(len(size), DIMS).astype(np.int32)
 
-class Point:
-    """Sets of one task as points: counts by group, and the shingles themselves for verification."""
+    @classmethod
+    def of(cls, sets: pa.ChunkedArray, size: np.ndarray) -> "Point":
+        flat = pa.concat_arrays([c.flatten() for c in sets.chunks]) if sets.num_chunks else pa.array([], pa.int64())
+        return cls(flat.to_numpy().view(np.uint64), size)
 
-    def __init__(self, sets: list[bytes]):
-        arrays = [np.frombuffer(x, np.uint64) for x in sets]
-        self.size = np.array([len(x) for x in arrays], np.int64)
-        self.key = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        group = (mix(self.key + np.uint64(13)) % np.uint64(DIMS)).astype(np.int64)
-        self.count = np.bincount(owner * DIMS + group, minlength=len(sets) * DIMS).reshape(len(sets), DIMS).astype(np.int32)
+
+def points(col) -> np.ndarray:
+    """Count vectors from their bytes, a row each."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, DIMS).astype(np.int32)
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
@@ -278,10 +291,10 @@ def overlaps(points: Point, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return at[stop] - at[stop - n]
 
 
-def join_cell(docs: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+def join_cell(docs: np.ndarray, points: Point) -> list[tuple[int, int]]:
     """Links enough to connect all sets of a cell that are connected. Stops when all sets that were no query yet are in one component."""
-    points, out = Point(sets), []
-    tree, forest, n = CountTree(points.count, points.size), Forest(len(sets)), len(sets)
+    n, out = len(docs), []
+    tree, forest = CountTree(points.count, points.size), Forest(n)
     asked, waiting = np.zeros(n, bool), list(range(n - 1, -1, -1))
     while waiting:
         q = waiting.pop()
@@ -302,72 +315,75 @@ def join_cell(docs: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
 
 def _small(key, t):
     links, t = [], t.sort_by([("cell", "ascending"), ("doc_id", "ascending")])
-    cell, docs, sets = t["cell"].to_numpy(), t["doc_id"].to_numpy(), t["set"].to_pylist()
+    cell, docs, size = t["cell"].to_numpy(), t["doc_id"].to_numpy(), t["n"].to_numpy()
     cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
     for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        links += join_cell(docs[lo:hi], sets[lo:hi])
+        links += join_cell(docs[lo:hi], Point.of(t["set"].slice(lo, hi - lo), size[lo:hi]))
     a, b = zip(*links) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _leaf(key, t, q):
-    """Links between the queries that came to a leaf and its members."""
-    a, b = [], []
-    if t.num_rows and q.num_rows:
-        docs, points = t["doc_id"].to_numpy(), Point(t["set"].to_pylist())
-        tree = CountTree(points.count, points.size)
-        asked = Point(q["set"].to_pylist())
-        for k, doc in enumerate(q["doc_id"].to_pylist()):
-            rows = tree.search(asked.count[k], int(asked.size[k]))
-            rows = rows[docs[rows] != doc]
-            if len(rows):
-                both = overlaps(points, asked.key[asked.first[k]:asked.first[k + 1]], rows)
-                hit = rows[100 * both >= PERCENT * (asked.size[k] + points.size[rows] - both)]
-                a += [doc] * len(hit)
-                b += docs[hit].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
 def _bounds(key, t):
     """What a leaf tells its queries: largest counts and range of sizes."""
-    p = Point(t["set"].to_pylist())
-    return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([key[1].as_py()], pa.int64()), "top": pa.array([p.count.max(0).tolist()], pa.list_(pa.int32())),
-                     "lo": pa.array([int(p.size.min())], pa.int64()), "hi": pa.array([int(p.size.max())], pa.int64())})
+    n = t["n"].to_numpy()
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([key[1].as_py()], pa.int64()), "top": pa.array([points(t["point"]).max(0).astype(np.uint32).tobytes()], pa.binary()),
+                     "lo": pa.array([int(n.min())], pa.int64()), "hi": pa.array([int(n.max())], pa.int64())})
+
+
+_QUERY = ["cell", "leaf", "copy", "doc_id", "n", "point", "component"]
 
 
 def _route(batches):
     """Keeps the (query, leaf) rows whose bound lets the query in."""
     for b in batches:
-        p = Point(b.column("set").to_pylist())
-        lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
-        top = np.array(b.column("top").flatten()).reshape(-1, DIMS) if b.num_rows else np.zeros((0, DIMS), np.int32)
-        ok = (lo * PERCENT <= p.size * 100) & (p.size * PERCENT <= hi * 100)
-        ok &= np.minimum(top, p.count).sum(1) >= needed(p.size, np.maximum(lo, -(-PERCENT * p.size // 100)))
-        kept = b.filter(pa.array(ok)) if b.num_rows else b
-        yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("cell", "leaf", "doc_id", "set")], ["cell", "leaf", "doc_id", "set"])
+        if b.num_rows:
+            n, lo, hi = (b.column(c).to_numpy() for c in ("n", "lo", "hi"))
+            ok = (lo * PERCENT <= n * 100) & (n * PERCENT <= hi * 100)
+            ok &= np.minimum(points(b.column("top")), points(b.column("point"))).sum(1) >= needed(n, np.maximum(lo, -(-PERCENT * n // 100)))
+            yield b.filter(pa.array(ok)).select(_QUERY)
 
 
-def _ask(leaves: DataFrame, bounds: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links of the queries with the members of the leaves they reach. Where a cell has many queries, they are dealt to several copies of its leaves."""
+def _leaf(key, t, q):
+    """Pairs of a query and a member of another component that their points let overlap enough."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if t.num_rows and q.num_rows:
+        docs, own = t["doc_id"].to_numpy(), t["component"].to_numpy()
+        tree = CountTree(points(t["point"]), t["n"].to_numpy())
+        for doc, n, count, component in zip(q["doc_id"].to_pylist(), q["n"].to_pylist(), points(q["point"]), q["component"].to_pylist()):
+            rows = tree.search(count, n)
+            hit = docs[rows[(own[rows] != component)]]
+            a.append(np.full(len(hit), doc))
+            b.append(hit)
+    return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+
+def _ask(leaves: DataFrame, bounds: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the queries with members of other components. Points alone travel to the leaves; where a cell has many queries, they are dealt to several copies of its leaves.
+    The pairs that are left are verified on the sets, each pair for itself."""
     copies = queries.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(4 * CELL_SETS)).cast("int").alias("copies"))
-    routed = (queries.select("cell", "doc_id", "set").join(bounds, "cell").mapInArrow(_route, "cell long, leaf long, doc_id long, set binary")
-              .join(copies, "cell").withColumn("copy", F.pmod(F.xxhash64("doc_id", F.lit("copy")), F.col("copies")).cast("int")).drop("copies"))
-    dealt = leaves.select("cell", "leaf", "doc_id", "set").join(copies, "cell").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    dealt = leaves.join(copies, "cell").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*_QUERY)
+    spread = queries.select("cell", "doc_id", "n", "point", "component").repartition(4 * SPREAD, "doc_id").join(copies, "cell").withColumn("copy", F.pmod(F.xxhash64("doc_id", F.lit("copy")), F.col("copies")).cast("int")).drop("copies")
+    routed = spread.join(F.broadcast(bounds) if bounds.count() <= SENT_LEAVES else bounds, "cell").select(*_QUERY, "top", "lo", "hi").mapInArrow(_route, "cell long, leaf long, copy int, doc_id long, n long, point binary, component long")
     by = ["cell", "leaf", "copy"]
-    return cut_lineage(dealt.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(_leaf, "a long, b long"))
+    pairs = cut_lineage(dealt.groupBy(*by).cogroup(routed.groupBy(*by)).applyInArrow(_leaf, "a long, b long"))
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("set").alias(f"set_{x}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
+    return cut_lineage(found.filter(F.col("both") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
 def _large(sets: DataFrame) -> DataFrame:
     """Links of the cells that are too large for a task."""
     salt = F.pmod(F.xxhash64("doc_id", F.lit("leaf")), F.greatest(F.lit(1), F.ceil(F.col("family_sets") / F.lit(CELL_SETS // 2))))
     size = sets.groupBy("cell", "family").agg(F.count("*").alias("family_sets"), F.min("doc_id").alias("head"))
-    leaves = cut_lineage(sets.join(size, ["cell", "family"]).withColumn("leaf", F.xxhash64("family", salt)))
-    bounds = cut_lineage(leaves.groupBy("cell", "leaf").applyInArrow(_bounds, "cell long, leaf long, top array<int>, lo long, hi long"))
-    first = _ask(leaves, bounds, leaves.filter("doc_id = head"))
-    found = leaves.select("cell", "doc_id").join(components(first).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    leaves = cut_lineage(sets.drop("set").join(size, ["cell", "family"]).withColumn("leaf", F.xxhash64("family", salt)).withColumn("component", F.col("doc_id")))
+    bounds = cut_lineage(leaves.groupBy("cell", "leaf").applyInArrow(_bounds, "cell long, leaf long, top binary, lo long, hi long"))
+    first = _ask(leaves, bounds, leaves.filter("doc_id = head"), sets)
+    found = leaves.drop("component").join(components(first).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    found = cut_lineage(found)
     largest = found.groupBy("cell", "component").agg(F.count("*").alias("k")).groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("component"))
-    rest = found.join(largest, ["cell", "component"], "left_anti").select("cell", "doc_id")
-    return first.unionByName(_ask(leaves, bounds, leaves.filter("doc_id <> head").join(rest, ["cell", "doc_id"], "left_semi")))
+    rest = found.filter("doc_id <> head").join(largest, ["cell", "component"], "left_anti")
+    return first.unionByName(_ask(found, bounds, rest, sets))
 
 
 def join(docs: DataFrame) -> DataFrame:
