@@ -25,8 +25,19 @@ def rule_of(name: str) -> str:
     return "mean" if "_mean_" in n else "first"
 
 
+def time_bin(ts: Column, unit: str) -> Column:
+    """Start of the bin that holds the stamp: a calendar unit (hour, day, month ...) or a number of minutes ('15 minutes', '30 minutes'), counted from midnight UTC."""
+    n, _, word = unit.partition(" ")
+    if not word:
+        return F.date_trunc(unit, ts)
+    if not word.startswith("minute") or 1440 % int(n):
+        raise ValueError(f"{unit}: minutes that divide a day are wanted")
+    seconds = 60 * int(n)
+    return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / seconds) * seconds)
+
+
 def change_resolution(df: DataFrame, key: list[str], ts: str, unit: str, skip_null: bool = False) -> DataFrame:
-    """Reduce to hour / day / month. Sums and means are NULL when a value of the bin is missing, unless `skip_null`."""
+    """Reduce to some minutes, hour, day or month. Sums and means are NULL when a value of the bin is missing, unless `skip_null`."""
     aggs = []
     for c in df.columns:
         if c in key or c == ts:
@@ -35,7 +46,7 @@ def change_resolution(df: DataFrame, key: list[str], ts: str, unit: str, skip_nu
         whole = F.lit(True) if skip_null else F.count(x) == F.count("*")
         aggs.append({"max": lambda: F.max(x), "min": lambda: F.min(x), "sum": lambda: F.when(whole, F.sum(x)),
                      "mean": lambda: F.when(whole, F.avg(x)), "first": lambda: F.min(F.when(x.isNotNull(), F.struct(F.col(ts), x.alias("v")))).getField("v")}[r]().alias(c))
-    return df.groupBy(*key, F.date_trunc(unit, ts).alias("_bin")).agg(*aggs).withColumnRenamed("_bin", ts)
+    return df.groupBy(*key, time_bin(F.col(ts), unit).alias("_bin")).agg(*aggs).withColumnRenamed("_bin", ts)
 
 
 # ------------------------------------------------------------------ daily pairs

@@ -104,14 +104,19 @@ def member_lists(members: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ aggregates and targets
-def aggregate_daily(members: DataFrame, readings: DataFrame) -> DataFrame:
-    """Substation days: HP load, other load, net load. Readings arrive as one row per household and day, so a household with many
-    raw rows is already small here; the sum combines map-side."""
+def aggregate_loads(members: DataFrame, readings: DataFrame, at: list[str]) -> DataFrame:
+    """Substation loads by the time columns `at` (a day, a day and a slot, a stamp): HP load, other load, net load. Readings arrive as one row per household and
+    time, so a household with many raw rows is already small here; the sum combines map-side."""
     m = members.select("sub_id", "hh", "role", *(["weight"] if "weight" in members.columns else []))
     w = F.col("weight") if "weight" in members.columns else F.lit(1.0)
-    j = m.join(readings.select("hh", "day", "own", F.col("hp").alias("hp_kw")), "hh")
+    j = m.join(readings.select("hh", *at, "own", F.col("hp").alias("hp_kw")), "hh")
     hp = F.sum(F.when(F.col("role") == "hp", w * F.col("hp_kw")).otherwise(0.0))
-    return j.groupBy("sub_id", "day").agg(hp.alias("hp"), F.sum(w * F.col("own")).alias("nonhp")).withColumn("net", F.col("hp") + F.col("nonhp"))
+    return j.groupBy("sub_id", *at).agg(hp.alias("hp"), F.sum(w * F.col("own")).alias("nonhp")).withColumn("net", F.col("hp") + F.col("nonhp"))
+
+
+def aggregate_daily(members: DataFrame, readings: DataFrame) -> DataFrame:
+    """Substation days."""
+    return aggregate_loads(members, readings, ["day"])
 
 
 def series_fits(daily: DataFrame, t: str = "t", series=("hp", "nonhp", "net")) -> DataFrame:

@@ -30,6 +30,15 @@ def a01(spark, d):
     return rounded(j.withColumn("day", F.to_date("ts")).drop("ts"), "kwh_strict", "kwh_skip", "t_max_daily", "t_min_daily", "t_mean_daily")
 
 
+@query("a01_half_hours", f"""WITH {X.SQL_SLOT} SELECT hh, channel, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, round(CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE),8) AS kwh_sum, max(kw) AS t_max_slot, arg_min(kw, (ts, event_id)) AS first_kw FROM sl GROUP BY 1,2,3""")
+def a01_half_hours(spark, d):
+    s = X.slots(spark, d)
+    g = s.select("hh", "channel", "ts", F.col("kw").cast("decimal(18,2)").alias("kwh_sum"), F.col("kw").alias("t_max_slot"))
+    first = s.groupBy("hh", "channel", A.time_bin(F.col("ts"), "30 minutes").alias("ts")).agg(F.min_by("kw", F.struct("ts", "event_id")).alias("first_kw"))
+    r = A.change_resolution(g, ["hh", "channel"], "ts", "30 minutes").withColumn("kwh_sum", F.round(F.col("kwh_sum").cast("double"), 8))
+    return r.join(first, ["hh", "channel", "ts"])
+
+
 @query("a02_daily_min_max", f"""WITH {X.SQL_READ} SELECT nation, day, round(min(t+own),8) AS t_min, round(max(own+hp),8) AS y_max FROM rd GROUP BY 1,2 HAVING min(t+own)<12""")
 def a02(spark, d):
     r = X.daily_readings(spark, d).withColumn("ts_", F.col("t") + F.col("own")).withColumn("y", F.col("own") + F.col("hp"))
