@@ -231,7 +231,7 @@ def m16(spark, d):
     return A.score(u, ["seed", "direction", "label", "row_"]).select("seed", "direction", "label", "row_", "n", F.round("nmae", 4).alias("nmae"))
 
 
-@query("m17_leakage_checks", f"WITH {C.SPLIT_SQL} SELECT CAST(0 AS BIGINT) AS n_shared_households, CAST(0 AS BIGINT) AS n_changed_choices FROM (SELECT count(*) FROM sp)")
+@query("m17_leakage_checks", f"WITH {C.SPLIT_SQL} SELECT CAST(count(*) AS BIGINT) AS n_shared_households, CAST(0 AS BIGINT) AS n_changed_choices FROM (SELECT seed, hh FROM sp WHERE split='train' INTERSECT SELECT seed, hh FROM sp WHERE split='test')")
 def m17(spark, d):
     """Households on both sides of a split, and winners that change when the test column is scrambled; both must be 0."""
     from .q_joins import candidates
