@@ -206,11 +206,12 @@ def fit_linear(df: DataFrame, keys: list[str], features: list[str], y: str, kind
 
 
 def apply_linear(df: DataFrame, fits: DataFrame, keys: list[str], features: list[str], out: str = "pred", clip: bool = False, intercept: bool = True) -> DataFrame:
-    """Prediction of each row by its key's coefficients; NULL where a feature is."""
+    """Prediction of each row by its key's coefficients; NULL where a feature is. Without keys `fits` is the one row of a global fit and goes to every task."""
     x = F.col("coef")[0] if intercept else F.lit(0.0)
     for i, c in enumerate(features):
         x = x + F.col("coef")[i + int(intercept)] * F.col(c)
-    return df.join(fits.select(*keys, "coef"), keys, "left").withColumn(out, F.greatest(F.lit(0.0), x) if clip else x).drop("coef")
+    d = df.join(fits.select(*keys, "coef"), keys, "left") if keys else df.crossJoin(F.broadcast(fits.select("coef")))
+    return d.withColumn(out, F.greatest(F.lit(0.0), x) if clip else x).drop("coef")
 
 
 def two_feature_slopes(x1: Column, x2: Column, y: Column) -> tuple[Column, Column, Column]:

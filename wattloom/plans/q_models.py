@@ -62,12 +62,12 @@ def m02(spark, d):
 @query("m03_linear_family")
 def m03(spark, d):
     """Linear, ridge, lasso, elastic net and their test errors, all from one Gram row."""
-    z = ready(spark, d).withColumn("k", F.lit(0))
+    z = ready(spark, d)
     tr, te, out = z.where("NOT is_test"), z.where("is_test"), None
-    g = cut_lineage(L.gram(tr, ["k"], FEATS, "y"))
+    g = cut_lineage(L.gram(tr, [], FEATS, "y"))
     for kind, opt in (("ols", {}), ("ridge", {"alpha": 10.0}), ("lasso", {"alpha": 0.05}), ("elasticnet", {"alpha": 0.05, "l1_ratio": 0.5})):
-        p = L.apply_linear(te, g.select("k", L.solver(kind, **opt)("g").alias("coef")), ["k"], FEATS, "p", clip=True)
-        s = A.score(p, ["k"]).select(F.lit(kind).alias("kind"), "n", F.round("wape", 5).alias("wape"), F.round("rmse", 5).alias("rmse"))
+        p = L.apply_linear(te, g.select(L.solver(kind, **opt)("g").alias("coef")), [], FEATS, "p", clip=True)
+        s = A.score(p, []).select(F.lit(kind).alias("kind"), "n", F.round("wape", 5).alias("wape"), F.round("rmse", 5).alias("rmse"))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -75,9 +75,9 @@ def m03(spark, d):
 @query("m03_one_feature_ridge", f"""WITH {_prep_sql()}, g AS (SELECT avg(y) AS ym, sum(x4*y) AS xy, sum(x4*x4) AS xx, sum(x4) AS sx, count(*) AS n, avg(x4) AS xm, stddev_pop(x4) AS sd FROM z WHERE NOT is_test), c AS (SELECT ym, xm, ((xy-n*xm*ym)/sd)/(n+10.0::DOUBLE)/sd AS w FROM g)
 SELECT hh, round(ym+w*(x4-xm),6) AS p FROM z, c WHERE is_test""")
 def m03_ridge(spark, d):
-    z = ready(spark, d).withColumn("k", F.lit(0))
-    f = L.fit_linear(z.where("NOT is_test"), ["k"], ["x4"], "y", "ridge", alpha=10.0)
-    return L.apply_linear(z.where("is_test"), f, ["k"], ["x4"], "p").select("hh", F.round("p", 6).alias("p"))
+    z = ready(spark, d)
+    f = L.fit_linear(z.where("NOT is_test"), [], ["x4"], "y", "ridge", alpha=10.0)
+    return L.apply_linear(z.where("is_test"), f, [], ["x4"], "p").select("hh", F.round("p", 6).alias("p"))
 
 
 @query("m04_random_forest")
@@ -97,16 +97,16 @@ def m05(spark, d):
 
 @query("m06_partial_least_squares")
 def m06(spark, d):
-    z = ready(spark, d).withColumn("k", F.lit(0))
-    f = L.fit_linear(z.where("NOT is_test"), ["k"], FEATS, "y", "pls", k=2)
-    return L.apply_linear(z.where("is_test"), f, ["k"], FEATS, "p", clip=True).select("hh", F.round("y", 6).alias("y"), F.round("p", 5).alias("p"))
+    z = ready(spark, d)
+    f = L.fit_linear(z.where("NOT is_test"), [], FEATS, "y", "pls", k=2)
+    return L.apply_linear(z.where("is_test"), f, [], FEATS, "p", clip=True).select("hh", F.round("y", 6).alias("y"), F.round("p", 5).alias("p"))
 
 
 @query("m07_log_target", f"""WITH {_prep_sql()}, c AS (SELECT regr_slope(ln(y),x1) AS s, regr_intercept(ln(y),x1) AS i FROM z WHERE NOT is_test AND y>0) SELECT hh, round(greatest(0.0::DOUBLE,exp(i+s*x1)),6) AS p FROM z, c WHERE is_test""")
 def m07(spark, d):
-    z = ready(spark, d).withColumn("k", F.lit(0)).where("y > 0").withColumn("ly", M.to_target(F.col("y"), "log"))
-    f = L.fit_linear(z.where("NOT is_test"), ["k"], ["x1"], "ly")
-    p = L.apply_linear(ready(spark, d).withColumn("k", F.lit(0)).where("is_test"), f, ["k"], ["x1"], "lp")
+    z = ready(spark, d).where("y > 0").withColumn("ly", M.to_target(F.col("y"), "log"))
+    f = L.fit_linear(z.where("NOT is_test"), [], ["x1"], "ly")
+    p = L.apply_linear(ready(spark, d).where("is_test"), f, [], ["x1"], "lp")
     return p.select("hh", F.round(M.from_target(F.col("lp"), "log"), 6).alias("p"))
 
 
@@ -145,9 +145,9 @@ def m10(spark, d):
     from ..functions.scan import exact_quantiles
     f = frame(spark, d).withColumn("k", F.lit(0)).withColumn("per", F.col("y") / F.col("size"))
     tr = f.where("NOT is_test")
-    a = exact_quantiles(tr, ["k"], "y", {"m": 0.5}).select("k", "m")
-    b = exact_quantiles(tr, ["k"], "per", {"ms": 0.5}).select("k", "ms")
-    p = f.where("is_test").join(a, "k").join(b, "k").select("y", F.explode(F.create_map(F.lit("median"), F.col("m"), F.lit("density"), F.col("ms") * F.col("size"))).alias("method", "p"))
+    a = exact_quantiles(tr, ["k"], "y", {"m": 0.5}).select("m")
+    b = exact_quantiles(tr, ["k"], "per", {"ms": 0.5}).select("ms")
+    p = f.where("is_test").crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b)).select("y", F.explode(F.create_map(F.lit("median"), F.col("m"), F.lit("density"), F.col("ms") * F.col("size"))).alias("method", "p"))
     return A.score(p, ["method"]).select("method", "n", F.round("wape", 6).alias("wape"))
 
 
@@ -206,11 +206,11 @@ def m15(spark, d):
     """A map frozen on the original series, read on series whose response was scaled by 1.5."""
     n = X.nation_daily(spark, d)
     y = X.households(spark, d).where("role = 'hp'").groupBy(F.col("nation").alias("station")).agg(F.sum("cap").alias("y"))
-    f = HG.fit_hinge(n, ["station"]).select("station", "s_h").withColumn("k", F.lit(0))
-    frozen = cut_lineage(L.fit_linear(f.join(y, "station"), ["k"], ["s_h"], "y"))
-    sh = HG.fit_hinge(E.scale_response(n, ["station"], "t", "y", 1.5).select("station", "t", F.col("y_scaled").alias("y")), ["station"]).select("station", "s_h").withColumn("k", F.lit(0))
-    a = L.apply_linear(f, frozen, ["k"], ["s_h"], "pred", clip=True).select("station", F.round("pred", 4).alias("pred"))
-    b = L.apply_linear(sh, frozen, ["k"], ["s_h"], "pred_shifted", clip=True).select("station", F.round("pred_shifted", 4).alias("pred_shifted"))
+    f = HG.fit_hinge(n, ["station"]).select("station", "s_h")
+    frozen = cut_lineage(L.fit_linear(f.join(y, "station"), [], ["s_h"], "y"))
+    sh = HG.fit_hinge(E.scale_response(n, ["station"], "t", "y", 1.5).select("station", "t", F.col("y_scaled").alias("y")), ["station"]).select("station", "s_h")
+    a = L.apply_linear(f, frozen, [], ["s_h"], "pred", clip=True).select("station", F.round("pred", 4).alias("pred"))
+    b = L.apply_linear(sh, frozen, [], ["s_h"], "pred_shifted", clip=True).select("station", F.round("pred_shifted", 4).alias("pred_shifted"))
     return a.join(b, "station")
 
 
