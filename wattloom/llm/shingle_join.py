@@ -7,7 +7,8 @@ the lesser of the query's count and the node's largest count bounds every overla
 A tree over all documents would be one task's work, and points of unrelated documents lie too near each other to prune, so trees are built over cells:
 1. Linked sets differ in few shingles (at most D, which follows from their sizes). Cut into more than D groups they agree in some wholly:
    a signature is a group's number, count and sum. Each block sends its signatures to buckets, which answer those that two blocks hold.
-2. A set goes on only if at least its number of filled groups less D signatures are shared. Sets that share one are in a cell.
+2. A set goes on only if at least its number of filled groups less D signatures are shared. Sets that share one are in a cell; those that few signatures
+   name are passed over as far as the count leaves one, so that a common passage doesn't tie families together.
 3. Cells of moderate size get a tree in one task. A larger cell is cut to leaves, each a row group of its own: first one set of each family
    (sets with the same least partner) queries all leaves whose bound lets it, then every set outside the largest component found does. Any link between two
    components has such a query at one end, so none is lost, and no task sees a whole hot cell.
@@ -156,6 +157,24 @@ def _resolve(t: pa.Table) -> list[tuple]:
     return out
 
 
+def _kept_partners(live: np.ndarray, who: np.ndarray, partner: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Rows and their least partners, without those that few signatures name (a common passage gives a set one or two).
+
+    Linked sets share `need` signatures or more, each with one least partner. If each of the two passes over fewer than half of
+    `need` signatures, one of those they share is left, so they stay in one cell."""
+    o = np.lexsort((partner, who))
+    who, partner = who[o], partner[o]
+    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (partner[1:] != partner[:-1])]) if len(who) else who
+    count, who, partner = np.diff(np.r_[new, len(who)]), who[new], partner[new]
+    o = np.lexsort((count, who))                               # the weakest partners of each set first
+    count, who, partner = count[o], who[o], partner[o]
+    total = np.cumsum(count)
+    first = np.searchsorted(who, np.arange(len(live)))
+    before = np.concatenate([[0], total])[first]
+    keep = total - before[who] > (need[who] - 1) // 2
+    return np.stack([live[who[keep]], partner[keep]])
+
+
 _ROWS = "doc_id long, n long, d1 long, d2 long, stand long, goes_on boolean, partners array<long>"
 
 
@@ -191,8 +210,8 @@ def _judge(t: pa.Table, a: pa.Table) -> pa.Table:
             at += len(sig_)
             ok = np.bincount(who, shared[here], len(live)) >= need
             goes[live[ok]] = True
-            use = shared[here] & ok[who]
-            rows.append(np.stack([live[who[use]], partner[here][use]]))
+            use = np.flatnonzero(shared[here] & ok[who])
+            rows.append(_kept_partners(live, who[use], partner[here][use], need))
         pairs = np.unique(np.concatenate(rows, 1), axis=1)
         cut = np.searchsorted(pairs[0], np.arange(hi - lo + 1))
         partners = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs[1], pa.int64()))
@@ -374,9 +393,13 @@ def _ask(leaves: DataFrame, bounds: DataFrame, queries: DataFrame, sets: DataFra
 
 def _large(sets: DataFrame) -> DataFrame:
     """Links of the cells that are too large for a task."""
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("leaf")), F.greatest(F.lit(1), F.ceil(F.col("family_sets") / F.lit(CELL_SETS // 2))))
-    size = sets.groupBy("cell", "family").agg(F.count("*").alias("family_sets"), F.min("doc_id").alias("head"))
-    leaves = cut_lineage(sets.drop("set").join(size, ["cell", "family"]).withColumn("leaf", F.xxhash64("family", salt)).withColumn("component", F.col("doc_id")))
+    whole = sets.groupBy("cell").agg(F.count("*").alias("cell_sets"))
+    size = sets.groupBy("cell", "family").agg(F.count("*").alias("family_sets"), F.min("doc_id").alias("head")).join(whole, "cell")
+    # a large family is cut to leaves of its own, small ones share leaves
+    part = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(CELL_SETS // 2)))
+    own = F.xxhash64("family", F.pmod(F.xxhash64("doc_id", F.lit("leaf")), part("family_sets")))
+    leaf = F.when(part("family_sets") > 1, own).otherwise(F.pmod(F.xxhash64("family", F.lit("leaf")), part("cell_sets")))
+    leaves = cut_lineage(sets.drop("set").join(size, ["cell", "family"]).withColumn("leaf", leaf).withColumn("component", F.col("doc_id")))
     bounds = cut_lineage(leaves.groupBy("cell", "leaf").applyInArrow(_bounds, "cell long, leaf long, top binary, lo long, hi long"))
     first = _ask(leaves, bounds, leaves.filter("doc_id = head"), sets)
     found = leaves.drop("component").join(components(first).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
