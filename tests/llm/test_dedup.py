@@ -78,6 +78,27 @@ def test_suffix_sections(docs, corpus, monkeypatch):
     assert rows_of(suffix_dedup.dedup(docs, with_bytes=False)) == brute_suffix(corpus, 400)
 
 
+def test_suffix_short_blocks(spark):
+    """Rows of one id share a block: blocks of short and empty texts alone hold no string, and the others lose nothing by them."""
+    long = "".join(chr(97 + i * i % 23) for i in range(900))
+    rows = [(1, "short"), (1, ""), (2, ""), (3, None), (4, "x" * 31), (5, "y" * 32), (6, "z" * 398), (7, "z" * 399), (8, long), (9, "- " + long[100:700]), (10, "z" * 400)]
+    got = rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=False))
+    assert got == brute_suffix(rows, 400)
+    assert rows_of(suffix_dedup.dedup(spark.createDataFrame(rows[:7], "doc_id long, text string"), with_bytes=False)) == brute_suffix(rows[:7], 400)
+
+
+def test_suffix_limits_reach_the_workers(spark):
+    """A limit that the tasks don't get would leave the section whole and the minimizer unsplit."""
+    import pyarrow as pa
+    t = pa.table({"text": ["q" * 3000]})
+    assert [len(p.data) for p in suffix_dedup._parts(t, 400, 1000)] == [1399, 1399, 1000]
+    rng = np.random.default_rng(8)
+    base = "".join(map(chr, rng.integers(97, 101, 2600)))
+    rows = [(i, base[100 * i:100 * i + 1500]) for i in range(8)] + [(8, base + "tail"), (8, "a")]
+    got = rows_of(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=False, hot=2, section=1000))
+    assert got == brute_suffix(rows, 400)
+
+
 def test_difference_cover():
     c, m = suffix_dedup.COVER, suffix_dedup.MODULUS
     assert {(a - b) % m for a in c for b in c} == set(range(m))

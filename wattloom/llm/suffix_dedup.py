@@ -134,7 +134,9 @@ class _Part:
         self.least = least
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct minimizers and at how many places each stands."""
+        """Distinct minimizers and at how many places each stands; none where all texts together are shorter than a string."""
+        if not len(self.valid):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         reach = self.width - GRAM + 1
         m = np.where(self.valid, self.least, 0)
         around = slide(np.concatenate([np.zeros(reach - 1, np.uint64), m, np.zeros(reach - 1, np.uint64)]), reach, np.maximum)
@@ -159,27 +161,27 @@ class _Part:
         return start, n, key[new], digest
 
 
-def _parts(t: pa.Table, width: int) -> Iterator[_Part]:
+def _parts(t: pa.Table, width: int, section: int) -> Iterator[_Part]:
     """Sections of the block's texts; those of a long text overlap by width - 1 bytes, so that each string starts in one section only."""
     data, off = buffers(t["text"])
-    for lo, hi in chunks(off, SECTION):
-        if hi - lo > 1 or off[hi] - off[lo] <= SECTION:
+    for lo, hi in chunks(off, section):
+        if hi - lo > 1 or off[hi] - off[lo] <= section:
             yield _Part(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], np.arange(lo, hi), np.zeros(hi - lo, np.int64), width)
         else:
-            for s in range(off[lo], max(off[lo] + 1, off[hi] - width + 1), SECTION):
-                e = min(off[hi], s + SECTION + width - 1)
+            for s in range(off[lo], max(off[lo] + 1, off[hi] - width + 1), section):
+                e = min(off[hi], s + section + width - 1)
                 yield _Part(data[s:e], np.array([0, e - s]), np.array([lo]), np.array([s - off[lo]]), width)
 
 
-def _emit_minimizers(t: pa.Table, n: int, width: int) -> list[tuple]:
-    found = [p.minimizers() for p in _parts(t, width)]
+def _emit_minimizers(t: pa.Table, n: int, width: int, section: int) -> list[tuple]:
+    found = [p.minimizers() for p in _parts(t, width, section)]
     key, inv = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
     count = np.bincount(inv, np.concatenate([x[1] for x in found]), len(key)).astype(np.int64)
     block = t["block"][0].as_py()
     return [(b, block, k.tobytes(), planes(c)) for b, (k, c) in deal((key % np.uint64(n)).astype(np.int64), n, [key, count])]
 
 
-def _resolve_minimizers(t: pa.Table) -> list[tuple]:
+def _resolve_minimizers(t: pa.Table, hot: int) -> list[tuple]:
     keys = [np.frombuffer(x, np.uint64) for x in binaries(t, "key")]
     count = np.concatenate([from_planes(x, np.int64) for x in binaries(t, "count")])
     u, inv = np.unique(np.concatenate(keys), return_inverse=True)
@@ -189,7 +191,7 @@ def _resolve_minimizers(t: pa.Table) -> list[tuple]:
         c = total[at:at + len(k)]
         at += len(k)
         if (c > 1).any():
-            out.append((block, bucket, k[c > 1].tobytes(), k[c > HOT].tobytes()))
+            out.append((block, bucket, k[c > 1].tobytes(), k[c > hot].tobytes()))
     return out
 
 
@@ -198,14 +200,14 @@ def _known(a: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return get("key"), get("hot")
 
 
-def _emit_runs(t: pa.Table, a: pa.Table, n: int, width: int) -> list[tuple]:
+def _emit_runs(t: pa.Table, a: pa.Table, n: int, width: int, section: int) -> list[tuple]:
     """Runs with their bytes, equal ones of a block once, and how often the block holds each."""
     if not a.num_rows or not t.num_rows:
         return []
     known, hot = _known(a)
     block, out = t["block"][0].as_py(), []
     digests, counts, lengths, keys, texts = [], [], [], [], []
-    for p in _parts(t, width):
+    for p in _parts(t, width, section):
         start, length, key, digest = p.runs(known, hot)
         u, first, c = np.unique(digest, return_index=True, return_counts=True)
         digests.append(u); counts.append(c); lengths.append(length[first]); keys.append(key[first])  # noqa: E702
@@ -257,7 +259,7 @@ def _resolve_runs(t: pa.Table, width: int) -> list[tuple]:
             for b, (d, x, m) in deal(of_block, len(sizes), [np.repeat(digest, hi - lo), off[i], many[i]])]
 
 
-def _cut(t: pa.Table, a: pa.Table, width: int) -> pa.Table:
+def _cut(t: pa.Table, a: pa.Table, width: int, section: int) -> pa.Table:
     data, off = buffers(t["text"])
     spans: list[tuple] = []
     runs = a.filter(a["digest"].is_valid()) if a.num_rows else a
@@ -267,7 +269,7 @@ def _cut(t: pa.Table, a: pa.Table, width: int) -> pa.Table:
         at, n = (np.concatenate([from_planes(x, np.int32) for x in binaries(runs, c)]).astype(np.int64) for c in ("off", "n"))
         o = np.argsort(digest, kind="stable")
         digest, at, n = digest[o], at[o], n[o]
-        for p in _parts(t, width):
+        for p in _parts(t, width, section):
             start, _, _, d = p.runs(known, hot)
             lo, hi = np.searchsorted(digest, d), np.searchsorted(digest, d, "right")
             i, s = ranges(lo, hi - lo), np.repeat(start, hi - lo)
@@ -295,12 +297,15 @@ def _cut(t: pa.Table, a: pa.Table, width: int) -> pa.Table:
                      "n_spans": pa.array(number, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) of each row. `width`: 320 to 470 bytes."""
+def dedup(docs: DataFrame, width: int = WIDTH, with_bytes: bool = True, hot: int | None = None, section: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) of each row. `width`: 320 to 470 bytes.
+
+    `hot` and `section` (HOT and SECTION if not given) go to the tasks with the functions; the result doesn't depend on them."""
+    hot, section = HOT if hot is None else hot, SECTION if section is None else section
     table, n = blocked(docs)
-    known = cut_lineage(answer(send(table, lambda t: _emit_minimizers(t, n, width), ["key", "count"]), _resolve_minimizers, ["key", "hot"]))
-    runs = send_again(table, known, lambda t, a: _emit_runs(t, a, n, width), ["key", "digest", "count", "length", "text"])
+    known = cut_lineage(answer(send(table, lambda t: _emit_minimizers(t, n, width, section), ["key", "count"]), lambda t: _resolve_minimizers(t, hot), ["key", "hot"]))
+    runs = send_again(table, known, lambda t, a: _emit_runs(t, a, n, width, section), ["key", "digest", "count", "length", "text"])
     told = answer(runs, lambda t: _resolve_runs(t, width), ["digest", "off", "n"]).unionByName(known, allowMissingColumns=True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, a: _cut(t, a, width).select(names), schema)
+    return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda t, a: _cut(t, a, width, section).select(names), schema)
