@@ -195,3 +195,17 @@ def test_drop_leaks(leak_docs, bench, no_docs):
     assert kept.columns == leak_docs.columns
     assert {4, 5, 6, 7, 8} <= {r.doc_id for r in kept.collect()} and not {1, 2, 3, 9, 11, None} & {r.doc_id for r in kept.collect()}
     assert decontamination.leaks(no_docs, bench).count() == 0 and decontamination.leaks(leak_docs, bench.limit(0)).count() == 0
+
+
+def test_exact_copies_always_count(spark):
+    """Items of numbers, names and units, short items inside a sentence, and a long verbatim run of a longer item."""
+    long = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    items = [(1, "12 17 23 31 40 52 61 75 88 90"), (2, "5 kg 7 kg 9 kg 11 kg is 32 kg"), (3, "Anna Otto Karl Emma Hugo Berta Paul Maria Fritz"), (4, "Which river crosses old Vienna?"), (5, long), (6, "8 times 12 is 96")]
+    docs = [(i, f"some other words before and then {t} and some more behind") for i, t in items if i != 5]
+    docs += [(5, "here " + " ".join(long.split()[20:33]) + " there"), (7, "here " + " ".join(long.split()[20:32]) + " there"), (8, "12 17 23 31 41 52 61 75 88 90"), (9, "Anna Otto Karl Emma Hugo"), (10, "Which river crosses old Paris?")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(d, b).collect()}
+    assert {k for k in got if k[0] <= 6} == {(i, i) for i in range(1, 7)}
+    assert not {k for k in got if k[0] in (7, 8, 9)}
+    assert (got[1, 1].tokens, got[1, 1].covered, got[1, 1].slots, got[1, 1].consistent) == (10, 10, 0, 1) and (got[5, 5].tokens, got[5, 5].covered) == (60, 13)
+    assert {r.doc_id for r in decontamination.drop_leaks(d, b).collect()} >= {7, 8, 9}
