@@ -45,6 +45,17 @@ def test_substring_small_window(docs, corpus):
     assert rows_of(substring_dedup.dedup(docs, window=4)) == brute_substring(corpus, 4)
 
 
+def test_rows_of_one_id_keep_their_own_words(spark):
+    """Rows without an id, and rows that repeat one with another text, as documents and as sources."""
+    w = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage, middle = w("p", 30), w("m", 12)
+    rows = [(1, passage), (None, f"{w('a', 5)} {passage} {w('b', 20)}"), (None, w("c", 60)), (None, w("c", 60)), (7, f"{passage} {w('d', 9)}"), (7, w("e", 50)), (7, f"{w('f', 40)} {passage}"), (7, None),
+            (2, f"za {middle} ya"), (2, f"zb {middle} yb"), (9, f"zb {middle} ya {w('g', 5)}"), (8, f"za {middle} yb {w('h', 5)}")]
+    for part in (rows, rows[::-1]):
+        got = rows_of(substring_dedup.dedup(spark.createDataFrame(part, "doc_id long, text string").repartition(3)))
+        assert got == brute_substring(rows, 13)
+
+
 def test_paths_join_end_to_end(spark):
     pieces = spark.createDataFrame([(9, 0, 3, 1, 10, 5), (9, 3, 2, 1, 13, 6), (9, 5, 1, 2, 0, 7), (9, 8, 2, 1, 18, 8), (8, 3, 2, 1, 13, 9)], "doc_id long, start long, n long, src_doc long, src_start long, digest long")
     got = sorted((r.doc_id, r.start, r.n, r.src_doc, r.src_start, int(r.digest)) for r in substring_dedup.compact(pieces).collect())

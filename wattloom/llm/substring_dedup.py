@@ -10,7 +10,8 @@ Each window of `window` words is an edge between its first and its last window-1
    Only verified spans are removed, from every document but those of the source.
 
 Rows with a null doc_id count as one document with the largest id. Null, empty and short texts hold no window; rows that repeat a doc_id don't
-cut each other. Other columns are ignored; a table without rows gives no rows. Whole texts are read, whatever their length."""
+cut each other, and what is found in one of them is cut from that one alone: their different texts lie one behind another on the document's line of
+places, with a gap between. Other columns are ignored; a table without rows gives no rows. Whole texts are read, whatever their length."""
 from __future__ import annotations
 
 import hashlib
@@ -31,10 +32,10 @@ _SPAN = "doc_id long, start long, n long, src_doc long, src_start long, digest l
 
 
 class _Part:
-    """Windows of a run of texts: minimizer `least` and hash `edge` of each valid window `at` (a word number), and its document."""
+    """Windows of a run of texts: minimizer `least` and hash `edge` of each valid window `at` (a word number), its document, and where its text begins there."""
 
-    def __init__(self, words: Words, ids: np.ndarray, window: int):
-        self.words, self.ids, self.window = words, ids, window
+    def __init__(self, words: Words, ids: np.ndarray, base: np.ndarray, window: int):
+        self.words, self.ids, self.base, self.window = words, ids, base, window
         h = words.hashes(_SEEDS[0])
         self.text = np.repeat(np.arange(len(ids)), np.diff(words.first))
         self.kmers = grams(h, min(K, window), 21)
@@ -63,11 +64,24 @@ class _Part:
         return at[new], n, least[new], mix(np.add.reduceat(mix(self.edges[at] + place.astype(np.uint64)), new) + n.astype(np.uint64))
 
 
+def _bases(data: np.ndarray, off: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Place of each text's first word in its document: 0 but for ids with several texts (a block has all of an id), which follow each other by digest; equal texts of an id share theirs."""
+    base = np.zeros(len(ids), np.int64)
+    _, inv, count = np.unique(ids, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(count[inv] > 1).tolist()
+    line = sorted((int(ids[k]), hashlib.sha256(data[off[k]:off[k + 1]].tobytes()).digest(), k) for k in rows)
+    for (i, d, j), (i2, d2, k) in zip(line, line[1:]):
+        if i == i2:
+            base[k] = base[j] + (int(off[j + 1] - off[j]) + window if d != d2 else 0)
+    return base
+
+
 def _parts(t: pa.Table, window: int) -> Iterator[_Part]:
     data, off = buffers(t["text"])
     ids = ids_of(t["doc_id"])
+    base = _bases(data, off, ids, window)
     for lo, hi in chunks(off):
-        yield _Part(Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), ids[lo:hi], window)
+        yield _Part(Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), ids[lo:hi], base[lo:hi], window)
 
 
 def _least_most(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +135,7 @@ def _emit_runs(t: pa.Table, a: pa.Table, n: int, window: int) -> list[tuple]:
     for p in _parts(t, window):
         at, c, m, d = p.runs(repeated)
         text = p.text[at] if len(at) else at
-        least.append(m); digest.append(d); doc.append(p.ids[text]); pos.append(at - p.words.first[text]); count.append(c)  # noqa: E702
+        least.append(m); digest.append(d); doc.append(p.ids[text]); pos.append(at - p.words.first[text] + p.base[text]); count.append(c)  # noqa: E702
         edges.append(p.edges[ranges(at, c)])
     least, digest, doc, pos, count, edges = map(np.concatenate, (least, digest, doc, pos, count, edges))
     if not len(least):
@@ -133,7 +147,7 @@ def _emit_runs(t: pa.Table, a: pa.Table, n: int, window: int) -> list[tuple]:
     block = t["block"][0].as_py()
     out = []
     for b, (i, hi) in deal((least[one] % np.uint64(n)).astype(np.int64), n, [one, most]):
-        out.append((b, block, least[i].tobytes(), digest[i].tobytes(), planes(doc[i]), planes(hi - doc[i]), planes(pos[i].astype(np.int32)), planes(count[i].astype(np.int32)), edges[ranges(start[i], count[i])].tobytes()))
+        out.append((b, block, least[i].tobytes(), digest[i].tobytes(), planes(doc[i]), planes(hi - doc[i]), planes(pos[i]), planes(count[i].astype(np.int32)), edges[ranges(start[i], count[i])].tobytes()))
     return out
 
 
@@ -143,7 +157,7 @@ def _resolve_runs(t: pa.Table) -> list[tuple]:
     u64 = lambda x: np.frombuffer(x, np.uint64)
     least, digest, edge = (np.concatenate(column(c, u64)) for c in ("least", "digest", "edge"))
     doc, more = (np.concatenate(column(c, lambda x: from_planes(x, np.int64))) for c in ("doc", "more"))
-    pos, count = (np.concatenate(column(c, lambda x: from_planes(x, np.int32))).astype(np.int64) for c in ("pos", "count"))
+    pos, count = (np.concatenate(column(c, lambda x, kind=kind: from_planes(x, kind))).astype(np.int64) for c, kind in (("pos", np.int64), ("count", np.int32)))
     sizes = [len(x) // 8 for x in binaries(t, "least")]
     run = np.repeat(np.arange(len(least)), count)
     off = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count)
@@ -161,7 +175,7 @@ def _resolve_runs(t: pa.Table) -> list[tuple]:
     n = np.diff(np.r_[cut, len(r)])
     owner = np.repeat(np.arange(len(sizes)), sizes)[r[cut]]
     blocks, bucket = t["block"].to_pylist(), t["bucket"][0].as_py()
-    return [(blocks[b], bucket, d.tobytes(), planes(x.astype(np.int32)), planes(m.astype(np.int32)), planes(a), planes(y.astype(np.int32)))
+    return [(blocks[b], bucket, d.tobytes(), planes(x.astype(np.int32)), planes(m.astype(np.int32)), planes(a), planes(y))
             for b, (d, x, m, a, y) in deal(owner, len(sizes), [digest[r[cut]], f[cut], n, sd[cut], sp[cut]])]
 
 
@@ -172,8 +186,8 @@ def _pieces(t: pa.Table, a: pa.Table, repeated: pa.Table, window: int) -> pa.Tab
         return empty
     known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in repeated]))
     digest = np.concatenate([np.frombuffer(x, np.uint64) for x in binaries(a, "digest")])
-    off, n, src_pos = (np.concatenate([from_planes(x, np.int32) for x in binaries(a, c)]).astype(np.int64) for c in ("off", "n", "src_pos"))
-    src_doc = np.concatenate([from_planes(x, np.int64) for x in binaries(a, "src_doc")])
+    off, n = (np.concatenate([from_planes(x, np.int32) for x in binaries(a, c)]).astype(np.int64) for c in ("off", "n"))
+    src_doc, src_pos = (np.concatenate([from_planes(x, np.int64) for x in binaries(a, c)]) for c in ("src_doc", "src_pos"))
     o = np.argsort(digest, kind="stable")
     digest, off, n, src_pos, src_doc = (x[o] for x in (digest, off, n, src_pos, src_doc))
     out = []
@@ -187,7 +201,7 @@ def _pieces(t: pa.Table, a: pa.Table, repeated: pa.Table, window: int) -> pa.Tab
         i, start, text = i[own], start[own], text[own]
         if len(i):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams(p.words.hashes(_SEEDS[1]), window, 23))])
-            out.append((p.ids[text], start - p.words.first[text], n[i], src_doc[i], src_pos[i], (total[start + n[i]] - total[start]).view(np.int64)))
+            out.append((p.ids[text], start - p.words.first[text] + p.base[text], n[i], src_doc[i], src_pos[i], (total[start + n[i]] - total[start]).view(np.int64)))
     if not out:
         return empty
     rows = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)        # rows that repeat a doc_id count once
@@ -195,7 +209,7 @@ def _pieces(t: pa.Table, a: pa.Table, repeated: pa.Table, window: int) -> pa.Tab
 
 
 def _source_digests(t: pa.Table, a: pa.Table, window: int) -> pa.Table:
-    """Digest, by the second hash, of the words at the asked source coordinates; every row with the id is tried."""
+    """Digest, by the second hash, of the words at the asked source coordinates, in the row that they lie in."""
     names = ["src_doc", "src_start", "n", "src_digest"]
     out = [(np.zeros(0, np.int64),) * 4]
     if a.num_rows and t.num_rows:
@@ -206,9 +220,10 @@ def _source_digests(t: pa.Table, a: pa.Table, window: int) -> pa.Table:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams(p.words.hashes(_SEEDS[1]), window, 23))])
             lo, hi = np.searchsorted(want, p.ids), np.searchsorted(want, p.ids, "right")
             i, text = ranges(lo, hi - lo), np.repeat(np.arange(len(p.ids)), hi - lo)
-            fits = start[i] + n[i] + window - 1 <= np.diff(p.words.first)[text]
-            i, text = i[fits], text[fits]
-            at = p.words.first[text] + start[i]
+            within = start[i] - p.base[text]
+            fits = (within >= 0) & (within + n[i] + window - 1 <= np.diff(p.words.first)[text])
+            i, text, within = i[fits], text[fits], within[fits]
+            at = p.words.first[text] + within
             out.append((want[i], start[i], n[i], (total[at + n[i]] - total[at]).view(np.int64)))
     return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names)
 
@@ -251,10 +266,11 @@ def repeated_passages(docs: DataFrame, n: int, window: int = 13) -> DataFrame:
 def _cut(t: pa.Table, a: pa.Table, window: int) -> pa.Table:
     data, off = buffers(t["text"])
     ids = ids_of(t["doc_id"])
+    base = _bases(data, off, ids, window)
     spans = {}
     if a.num_rows:
         doc, start, n = (a[c].to_numpy() for c in ("doc_id", "start", "n"))
-        o = np.argsort(doc, kind="stable")
+        o = np.lexsort((start, doc))
         doc, start, n = doc[o], start[o], n[o]
         at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         spans = {int(doc[x]): (start[x:y], n[x:y]) for x, y in zip(at, np.r_[at[1:], len(doc)])}
@@ -267,6 +283,8 @@ def _cut(t: pa.Table, a: pa.Table, window: int) -> pa.Table:
             keep = np.ones(last - first, bool)
             if int(ids[lo + k]) in spans:
                 s, n = spans[int(ids[lo + k])]
+                x, y = np.searchsorted(s, [base[lo + k], base[lo + k] + last - first])
+                s, n = s[x:y] - base[lo + k], n[x:y]
                 for x, y in zip(*merge_intervals(s, s + n + window - 1)):
                     keep[x:y] = False
             word = np.flatnonzero(keep) + first
