@@ -209,3 +209,13 @@ def test_exact_copies_always_count(spark):
     assert not {k for k in got if k[0] in (7, 8, 9)}
     assert (got[1, 1].tokens, got[1, 1].covered, got[1, 1].slots, got[1, 1].consistent) == (10, 10, 0, 1) and (got[5, 5].tokens, got[5, 5].covered) == (60, 13)
     assert {r.doc_id for r in decontamination.drop_leaks(d, b).collect()} >= {7, 8, 9}
+
+
+@pytest.mark.parametrize("front", ["<html><head><title>No</title><meta charset=x><body>", "<html><head><title>No</title>", "<svg viewBox='0 0 1 1'/>", "<iframe src=x>", "<svg><path d='M0'/>"])
+def test_elements_without_an_end_tag(front):
+    assert html_text.main_text(f"{front}<article><p>One two three.</p><svg width='3' /><p>Four five six.</p></article>").split("\n")[-2:] == ["One two three.", "Four five six."]
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>3</mn></mrow><annotation>x=3 in TeX</annotation></semantics></math> holds here.</p></article>"
+    assert html_text.main_text(page) == "So x=3 holds here." and html_text.main_text("<article><p>One two three.</p><script>x<p>Four five six.</p>") == "One two three."

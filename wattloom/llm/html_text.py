@@ -5,6 +5,9 @@ those of the blocks before and behind it, whether it lies in an article or in a
 advert, form, reader comments ...), whether it is a heading or ends as a sentence, and whether the page has an article at all.
 The tree is grown from the labelled rows in LABELLED alone, so a page's result depends on that page only.
 
+Formulas are part of their sentence. Without their end tag only script, style and comments run to the end of the page; other elements without text of the
+page (RAW) are then passed over as tags. `head` only separates blocks, as its end tag may be left out.
+
 A null or empty html gives the empty text; malformed markup is read as text where no tag can be made out of it; repeated rows get the same
 result each, other columns are ignored, a table without rows gives none."""
 from __future__ import annotations
@@ -18,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Elements by their role in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math head title textarea select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle merror mpadded mphantom semantics annotation annotation-xml".split())
+RAW = frozenset("script style noscript template svg iframe object canvas title textarea select".split())
+#: Without an end tag these hold the rest of the page; copies of a formula that no page shows.
+REST = frozenset("script style".split())
+NOTES = frozenset("annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FLAT = frozenset("p li dt dd tr td th thead tbody tfoot option".split())           # end where the next one starts: never containers
 NEVER = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -35,7 +41,7 @@ _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+")
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW | NOTES}
 
 #: Features of a block, in the order of the columns below.
 FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "zone", "heading", "sentence", "has_article")
@@ -195,6 +201,13 @@ def blocks(page: str) -> Iterator[tuple[str, int, float, int, int]]:
     """(text, words, link density, zone, heading) of each block in page order."""
     zones: list[tuple[str, int, bool]] = []                   # open containers
     parts, linked, heading, in_link, own, at, n = [], 0, 0, False, None, 0, len(page)
+    endless: set[str] = set()                                 # tags that are not closed any more
+
+    def behind(tag: str, at: int) -> int:
+        end = None if tag in endless else _CLOSE[tag].search(page, at)
+        if not end:
+            endless.add(tag)
+        return end.end() if end else n if tag in REST else at
 
     def done():
         text = " ".join("".join(parts).split())
@@ -226,15 +239,18 @@ def blocks(page: str) -> Iterator[tuple[str, int, float, int, int]]:
         if tag in INLINE:
             if tag in ("br", "wbr"):
                 parts.append(" ")
+            elif tag in NOTES and not closing and not m.group(3).endswith("/"):
+                at = behind(tag, at)
             continue
         block = done()
         if block:
             yield block
         parts, linked, in_link, heading, own = [], 0, False, 0, None
         if tag in RAW:
-            if not closing:
-                end = _CLOSE[tag].search(page, at)
-                at = end.end() if end else n
+            if not closing and not (tag == "svg" and m.group(3).endswith("/")):
+                at = behind(tag, at)
+        elif tag == "head":
+            pass
         elif tag in FLAT:
             own = None if closing else _role(tag, m.group(3), zones)[0]
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
