@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op9_pii(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(read(spark, d, "documents"), size=1024, end_id=2)
+
+
+@query
+def op11_bpe_replay(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.digest(read(spark, d, "documents"))
