@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ranges
+from .common import ranges, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words that a task remembers, words looked at at once, rows of a batch, and bytes of new words from which positions are joined all at once.
-WORDS, SECTION, ROWS, FEW = 400_000, 1_000_000, 4096, 20_000
+WORDS, SECTION, ROWS, FEW = 300_000, 500_000, 1024, 20_000
 #: Rank of two tokens that no merge joins.
 NONE = np.iinfo(np.int32).max
 _HIGH = re.compile("[\U00010000-\U0010ffff]")
@@ -76,9 +76,9 @@ def vocabulary(name: str) -> Vocabulary:
 def _class_of(pattern: str) -> str:
     """The code points that tiktoken's engine takes for the class, as ranges for `re`: the Unicode version of Python's modules may be another."""
     import tiktoken
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     bytes_only = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    found = np.array([ord(c) for c in bytes(bytes_only.encode_ordinary("".join(map(chr, points)))).decode()])
+    found = np.concatenate([np.array([ord(c) for c in bytes(bytes_only.encode_ordinary("".join(chr(c) for c in range(lo, lo + 0x800)))).decode()], np.int64)
+                            for lo in range(0, 0x110000, 0x800) if lo != 0xD800])
     cut = np.flatnonzero(np.diff(found) > 1)
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(found[np.r_[0, cut + 1]].tolist(), found[np.r_[cut, len(found) - 1]].tolist()))
 
@@ -234,14 +234,21 @@ class Encoder:
     """Encodes batches of texts; remembers the ids of words as bytes of int32."""
 
     def __init__(self, v: Vocabulary, most: int = WORDS):
-        self.v, self.most, self.known = v, most, {}
+        self.v, self.most, self.known, self.before = v, most, {}, {}
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(words)
+        """Puts all words into `known`. What it held is `before` once it holds half of `most`; words that are met again come back, the others go."""
+        if len(self.known) > self.most // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = []
+        for w in words.difference(known):
+            if w in before:
+                known[w] = before[w]
+            else:
+                new.append(w)
         raw = [w.encode("utf-8") for w in new]
-        self.known.update(zip(new, replay(raw, self.v) if sum(map(len, raw)) >= FEW else (np.array(ids, np.int32).tobytes() for ids in replay_in_order(raw, self.v))))
+        known.update(zip(new, replay(raw, self.v) if sum(map(len, raw)) >= FEW else (np.array(ids, np.int32).tobytes() for ids in replay_in_order(raw, self.v))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start and the last one's end."""
@@ -275,22 +282,26 @@ def _encoder(name: str) -> Encoder:
     return Encoder(vocabulary(name))
 
 
-def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id and ids (array of int) of the text of each row."""
+def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of the text of each row; on wish also `decoded`, as `decode` would add it, without sending the ids to Python again."""
     def run(batches):
         e = _encoder(ranks)
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS):
                 b = whole.slice(lo, ROWS)
                 ids, offsets = e.encode(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+                columns = [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+                if with_decoded:
+                    columns.append(decoded_texts(ids.astype(np.int64), offsets, e.v))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][:len(columns)])
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * with_decoded)
 
 
-def decode_ids(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all ids, and where those of each row start."""
+def decoded_texts(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> pa.Array:
+    """The bytes that the ids of each row stand for."""
     length = v.length[ids]
-    return v.data[ranges(v.first[ids], length)], np.r_[0, np.cumsum(length)][offsets]
+    cut = np.r_[0, np.cumsum(length)][offsets]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(v.data[ranges(v.first[ids], length)].tobytes())]).cast(pa.binary())
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -301,16 +312,14 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
             for lo in range(0, whole.num_rows, ROWS):
                 b = whole.slice(lo, ROWS)
                 col = b.column("ids")
-                n = np.r_[0, np.cumsum([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()])].astype(np.int64)
-                data, cut = decode_ids(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n, v)
-                parts = [data[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.binary())], [*b.schema.names, "decoded"])
+                offsets = np.r_[0, np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, decoded_texts(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets, v)], [*b.schema.names, "decoded"])
     d = encoded.drop("decoded")
     return d.mapInArrow(run, d.selectExpr("*", "cast(null as binary) as decoded").schema)
 
 
 def digest(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, and sha256 of the decimal ids joined by one space and of the decoded bytes."""
-    d = decode(encode(docs, ranks), ranks)
+    d = encode(docs, ranks, with_decoded=True)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))

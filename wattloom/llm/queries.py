@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op11_bpe_replay(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digest(read(spark, d, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"), components=8)
