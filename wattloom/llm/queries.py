@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embedding_dedup, html_text, langid, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup, whitening
+from . import bpe, decontamination, embedding_dedup, html_text, langid, lexical, packing, pii, sharding, shingle_join, substring_dedup, suffix_dedup, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,23 @@ def op11_bpe_replay(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
     return whitening.whiten(read(spark, d, "embeddings"), components=8)
+
+
+@query
+def op13_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(read(spark, d, "documents"), read(spark, d, "benchmark"), k=10)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+     total AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS length FROM texts),
+     tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts) GROUP BY ALL),
+     w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+     item AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+     wanted AS (SELECT i, item_id, term, count(*) AS reps FROM (SELECT i, item_id, unnest(terms) AS term FROM item) GROUP BY ALL),
+     scores AS (SELECT i, item_id, r, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // length))))::BIGINT AS score
+                FROM wanted JOIN w USING (term) JOIN tf USING (term), total GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
