@@ -150,7 +150,7 @@ def right_vectors(r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         for i, x in enumerate(values[:k]):
             t = Twisted(q, e, c, x)
             z = t.vector()
-            if i and values[i - 1] - x <= CLOSE * values[i - 1]:
+            if i and values[i - 1] - x <= max(CLOSE * values[i - 1], (16 * d * EPS) ** 2 * values[0]):       # close to each other, or nothing but rounding
                 rng = np.random.default_rng(i)
                 z = rng.standard_normal(hi - lo)
                 for _ in range(4):
