@@ -65,6 +65,23 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     return d.select(*keep, *made)
 
 
+def high_quantile(df: DataFrame, keys: list[str], values: str, part: Column, q: float, out: str) -> DataFrame:
+    """Exact linear-interpolation quantile near the top of all values in an array column, per key.
+
+    Each part of a key (`part`, such as a month) hands on only its largest values, as many as can hold a wanted rank; the parts' short lists
+    are merged once. The work per part is bounded by the part, whatever share of the rows a key holds. NULL and NaN values don't count."""
+    d = df.select(*keys, part.alias("_part"), F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)).alias("_v"))
+    n = d.groupBy(*keys).agg(F.sum(F.size("_v")).alias("n"))
+    down = lambda a: F.reverse(F.array_sort(a))
+    lists = d.groupBy(*keys, "_part").agg(F.flatten(F.collect_list("_v")).alias("_v")).join(n, keys)
+    rank = F.lit(float(q)) * (F.col("n") - 1)
+    k = (F.col("n") - F.floor(rank)).cast("int")                              # the kth largest is at or below the wanted rank
+    top = lists.select(*keys, "n", F.slice(down(F.col("_v")), F.lit(1), k).alias("_v"))
+    g = top.groupBy(*keys, "n").agg(down(F.flatten(F.collect_list("_v"))).alias("_v")).where("n > 0")
+    lo, hi = F.element_at("_v", k), F.element_at("_v", F.greatest(k - 1, F.lit(1)))
+    return g.select(*keys, F.col("n").cast("bigint").alias("n"), (lo + (hi - lo) * (rank - F.floor(rank))).alias(out))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], cuts: int = 64) -> DataFrame:
     """Exact linear-interpolation quantiles per key without holding a key's values in one task.
 

@@ -1,10 +1,13 @@
 """Uncertainty, label and data audits, feeder targets, circuit fits."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest, hash_int, hash_rank
 from ..functions.scan import exact_quantiles
+from ..session import cut_lineage
 from .aggregate import penetration_bin, score
 from .hinge import fit_hinge
 
@@ -31,17 +34,58 @@ def cluster_bootstrap(pred: DataFrame, members: DataFrame, n_boot: int, seed: in
     return out.join(F.broadcast(n_all)).withColumn("mean_kept", F.col("_kept") / (F.col("n_all") * n_boot)).drop("_kept", "n_all")      # one row each
 
 
-def row_bootstrap(pred: DataFrame, keys: list[str], row: str, n_boot: int, seed: int, y: str, p: str) -> DataFrame:
-    """Bootstrap of the MAPE over rows: row weights are Poisson(1) counts from a hash, so every replicate is a weighted sum and rows
-    never move."""
-    # fixed values: cumulative probabilities of Poisson(1)
-    cum = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+def draws(stream: np.ndarray, j: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Draw number j of a stream: a place below n. Plain 64-bit integers, so that SQL can replay it."""
+    return (mix32(mix32(stream) + j) * n) >> 32
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Scatters 32-bit integers (held in 64 bits)."""
+    x = x & 0xFFFFFFFF
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) & 0xFFFFFFFF
+    return x ^ (x >> 16)
+
+
+def row_bootstrap(pred: DataFrame, keys: list[str], row: str, n_boot: int, seed: int, y: str, p: str, block: int = 1000, at_once: int = 1 << 22) -> DataFrame:
+    """Bootstrap of the MAPE over rows: each replicate draws n of a key's n rows with replacement. Rows whose truth is 0 or NULL or whose prediction is NULL don't count.
+
+    A replicate's draws are first counted by block of rows (ranges of the rows' hash order), then each block deals its draws to its rows. Only counts by
+    replicate and block and sums by replicate and block are exchanged; a row meets all replicates in its block's task, so no rows x replicates table arises. A key of any size is
+    cut to blocks, and its draws to ranges of `at_once`."""
     e = F.abs(F.col(p) - F.col(y)) / F.abs(F.col(y))
-    d = pred.where(F.col(y) != 0).withColumn("_e", e).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    un = hash_int(F.lit(seed), F.col("_b"), F.col(row)) / 4294967296.0
-    w = sum((F.when(un >= c, 1.0).otherwise(0.0) for c in cum), F.lit(0.0))
-    g = d.groupBy(*keys, "_b").agg((F.sum(w * F.col("_e")) / F.nullif(F.sum(w), F.lit(0.0)) * 100).alias("m"))
-    return g.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.stddev_samp("m").alias("sd"))
+    d = hash_rank(pred.withColumn("_e", F.when(F.col(y) != 0, e)).where("_e IS NOT NULL"), keys, digest(F.lit(seed), F.col(row)))
+    d = cut_lineage(d.select(*keys, F.floor(F.col("pos") / block).cast("int").alias("_block"), (F.col("pos") % block).cast("int").alias("_at"), "_e", F.col("pool_size").alias("_n"), hash_int(F.lit(seed), *[F.col(k) for k in keys]).alias("_key")))
+    units = (d.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_key").alias("_key")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+             .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(at_once).cast("long")))))
+
+    def count(batches):
+        for t in batches:
+            out = []
+            for i, (n, key, b, lo) in enumerate(zip(*(t.column(c).to_pylist() for c in ("_n", "_key", "_b", "_from")))):
+                m = np.bincount(draws(np.int64(key + b), np.arange(lo, min(lo + at_once, n)), n) // block)
+                hit = np.flatnonzero(m)
+                out.append((np.full(len(hit), i), hit, m[hit]))
+            i, hit, m = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+            rows = t.take(pa.array(i)).select([*keys, "_key", "_b"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hit, pa.int32()), pa.array(m, pa.int64())], [*rows.schema.names, "_block", "_m"])
+    of_keys = units.select(*keys, "_key", "_b").schema
+    counts = units.mapInArrow(count, of_keys.add("_block", "integer").add("_m", "long")).groupBy(*keys, "_key", "_b", "_block").agg(F.sum("_m").alias("_m"))
+
+    def deal(key, rows, counts):
+        v = np.zeros(rows.num_rows)
+        v[rows["_at"].to_numpy()] = rows["_e"].to_numpy()
+        number, b, m = (counts[c].to_numpy() for c in ("_key", "_b", "_m"))
+        sums = []
+        for k, r, c in zip(number, b, m):
+            at = draws(mix32(k + r) + np.int64(key[-1].as_py() + 1), np.arange(c), len(v))
+            sums.append(float(v[at].sum()))
+        t = counts.select([*keys, "_b", "_m"])
+        return t.append_column("_s", pa.array(sums, pa.float64()))
+    part = (d.select(*keys, "_block", "_at", "_e").groupBy(*keys, "_block").cogroup(counts.groupBy(*keys, "_block"))
+            .applyInArrow(deal, counts.select(*keys, "_b", "_m").schema.add("_s", "double")))
+    g = part.groupBy(*keys, "_b").agg((F.sum("_s") / F.sum("_m") * 100).alias("m"), F.sum("_m").alias("n"))
+    return g.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.stddev_samp("m").alias("sd"), F.min("n").alias("n_least"), F.max("n").alias("n_most"))
 
 
 def label_audit(tab: DataFrame, keys: list[str], label: str, native: str, n_hp: str, size: str) -> DataFrame:

@@ -119,6 +119,24 @@ def aggregate_daily(members: DataFrame, readings: DataFrame) -> DataFrame:
     return aggregate_loads(members, readings, ["day"])
 
 
+def aggregate_slots(members: DataFrame, readings: DataFrame, slots: int, ranges: int = 8, days: int = 32) -> DataFrame:
+    """Substation loads of each day by slot: arrays hp, nonhp of member sums, their day means, and the day's highest HP sum and net sum.
+
+    `readings`: one row per household and day with the arrays hp_slots and own_slots. A day is one row with a running sum for each slot, so sums combine map-side
+    and no slot is a row. Households in many substations are split by range of days: a member row goes to each of `ranges` ranges."""
+    span = F.pmod(F.floor(F.datediff(F.col("day"), F.lit("1970-01-01")) / days), F.lit(ranges)).cast("int")
+    r = readings.select("hh", "day", span.alias("_range"), F.col("hp_slots").alias("_h"), F.col("own_slots").alias("_o"))
+    m = members.select("sub_id", "hh", (F.col("role") == "hp").alias("_hp"), (F.col("weight") if "weight" in members.columns else F.lit(1.0)).alias("_w"),
+                       F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("_range"))
+    j = m.join(r, ["hh", "_range"])
+    sums = [F.sum(F.when(F.col("_hp"), F.col("_w") * F.col("_h")[i]).otherwise(0.0)).alias(f"h{i}") for i in range(slots)]
+    sums += [F.sum(F.col("_w") * F.col("_o")[i]).alias(f"o{i}") for i in range(slots)]
+    d = j.groupBy("sub_id", "day").agg(*sums).select("sub_id", "day", F.array(*[f"h{i}" for i in range(slots)]).alias("hp_slots"), F.array(*[f"o{i}" for i in range(slots)]).alias("nonhp_slots"))
+    d = d.withColumn("net_slots", F.zip_with("hp_slots", "nonhp_slots", lambda a, b: a + b))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / slots
+    return d.withColumns({"hp": mean("hp_slots"), "nonhp": mean("nonhp_slots"), "net": mean("net_slots"), "hp_max": F.array_max("hp_slots"), "net_max": F.array_max("net_slots")})
+
+
 def series_fits(daily: DataFrame, t: str = "t", series=("hp", "nonhp", "net")) -> DataFrame:
     """Hinge fits of several series of every substation in one grouped plan: keys (sub_id, series)."""
     long = daily.select("sub_id", t, F.explode(F.create_map(*[x for s in series for x in (F.lit(s), F.col(s))])).alias("series", "y"))
@@ -126,10 +144,12 @@ def series_fits(daily: DataFrame, t: str = "t", series=("hp", "nonhp", "net")) -
 
 
 def targets(members: DataFrame, daily: DataFrame, peaks: DataFrame, t_design: float = -8.0, hdh_base: float = 12.0) -> DataFrame:
-    """Targets and net-load physics of every substation: member peaks, coincident peak, slopes, design power, delta, degree-hour slope."""
+    """Targets and net-load physics of every substation: member peaks, coincident peak, slopes, design power, delta, degree-hour slope.
+
+    `daily`: day means hp, nonhp, net for the fits, and hp_max, net_max, the day's highest slot sums. A substation's peaks are maxima of sums, never sums of maxima."""
     pk = (members.where("role = 'hp'").join(peaks.select("hh", "hp_peak"), "hh", "left").groupBy("sub_id")
           .agg(F.sum("hp_peak").alias("HP_Peak"), F.count("*").alias("HP_Count")))
-    co = daily.groupBy("sub_id").agg(F.max("hp").alias("HP_CoincPeak"), F.max("net").alias("peak"))
+    co = daily.groupBy("sub_id").agg(F.max("hp_max").alias("HP_CoincPeak"), F.max("net_max").alias("peak"))
     f = series_fits(daily)
     w = f.groupBy("sub_id").pivot("series", ["hp", "nonhp", "net"]).agg(F.first(F.struct("P_base", "s_h", "T_h", "r2", "T_min", "hinge_inside", "at_bound")))
     hd = fit_degree_line(daily.withColumn("hdh", F.greatest(F.lit(0.0), hdh_base - F.col("t")) * 24), ["sub_id"], "hdh", "net")

@@ -124,19 +124,80 @@ def _bathtub_pass(c: DataFrame, keys: list[str], heat: Column, cool: Column, tma
     return g.select(*keys, F.col("N").cast("bigint").alias("n_days"), "f.*", F.when(sst > 1e-9, 1 - F.col("f.sse") / sst).otherwise(0.0).alias("r2"))
 
 
-def fit_bathtub(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", heat_bounds=HEAT_BOUNDS,
-                gap_max: float = DEADBAND_MAX, step: float = 1.0, fine: float = 0.25) -> DataFrame:
-    """Heating below T_heat and cooling above T_cool >= T_heat on one shared base; grid, then one finer grid around the best."""
+def _arm(c: DataFrame, keys: list[str], cold: bool) -> DataFrame:
+    """Per (entity, temperature): sums over the days up to it (cold) or from it on (warm), the line through them (level a at T = 0, slope k) with its error, and the
+    next temperature on the other side of the gap that a threshold may lie in."""
+    w = W.partitionBy(*keys).orderBy(F.asc("T") if cold else F.desc("T"))
+    run, T, m, my = w.rowsBetween(W.unboundedPreceding, 0), F.col("T"), F.col("m"), F.col("my")
+    p = c.select(*keys, "T", F.sum(m).over(run).alias("n"), F.sum(m * T).over(run).alias("t1"), F.sum(m * T * T).over(run).alias("t2"), F.sum(my).over(run).alias("y1"),
+                 F.sum(T * my).over(run).alias("ty"), F.sum("myy").over(run).alias("yy"), F.lead(T).over(w).alias("beyond"))
+    n, t1, t2, y1, ty, yy = (F.col(x) for x in ("n", "t1", "t2", "y1", "ty", "yy"))
+    den = F.when(F.row_number().over(w) > 1, n * t2 - t1 * t1)
+    p = p.withColumn("k", (n * ty - t1 * y1) / den)
+    k = F.col("k")
+    return p.withColumn("a", (y1 - k * t1) / n).withColumn("err", F.greatest(F.lit(0.0), yy - y1 * y1 / n - F.coalesce(k * k * (t2 - t1 * t1 / n), F.lit(0.0))))
+
+
+def fit_bathtub(df: DataFrame, keys: list[str], t: str = "t", y: str = "y", heat_bounds=HEAT_BOUNDS, gap_max: float = DEADBAND_MAX) -> DataFrame:
+    """Heating below T_heat and cooling above T_cool >= T_heat on one shared base, all three coefficients >= 0: the global optimum.
+
+    Two thresholds cut an entity's days into cold, middle and warm ones. Within one cut the best thresholds are where the cold and the warm line (each free) meet the middle's
+    level, or lie at a temperature of the data or a bound; so only these are tried, for every cut. A cut's error is never below the errors of its two lines and
+    its middle mean: cuts for which that is above the best of a coarse grid and of the two one-armed fits are passed over. On the line T_cool = T_heat + gap_max temperatures of the data are tried alone.
+    An arm without slope has no threshold (NULL)."""
+    lo, hi = (float(b) for b in heat_bounds)
+    top = hi + gap_max
     c = (df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(t).cast("double").alias("T"))
          .agg(F.count("*").cast("double").alias("m"), F.sum(y).alias("my"), F.sum(F.col(y) * F.col(y)).alias("myy")))
-    lo, hi = heat_bounds
-    grid = lambda a, b: F.array(*[F.lit(a + i * step) for i in range(int(round((b - a) / step)) + 1)])
-    coarse = _bathtub_pass(c, keys, grid(lo, hi), grid(lo, hi + gap_max), gap_max)
-    k = int(round(step / fine))
-    around = lambda col, a, b: F.array_distinct(F.transform(
-        F.array(*[F.lit(i * fine) for i in range(-k, k + 1)]), lambda o: F.greatest(F.lit(a), F.least(F.lit(b), col + o))))
-    near = c.join(coarse.select(*keys, F.col("T_heat").alias("_h"), F.col("T_cool").alias("_c")), keys)
-    return _bathtub_pass(near, keys, around(F.col("_h"), lo, hi), around(F.col("_c"), lo, hi + gap_max), gap_max)
+    grid = lambda a, b: F.array(*[F.lit(a + i) for i in range(int(b - a) + 1)])
+    single = [fit_hinge(df, keys, t, y, (lo, hi)).select(*keys, F.struct("sse", F.col("T_h").alias("T_heat"), F.lit(None).cast("double").alias("T_cool"), "P_base", F.col("s_h").alias("s_heat"), F.lit(0.0).alias("s_cool")).alias("f")),
+              fit_cooling(df, keys, t, y, (lo, top)).select(*keys, F.struct("sse", F.lit(None).cast("double").alias("T_heat"), F.col("T_c").alias("T_cool"), "P_base", F.lit(0.0).alias("s_heat"), F.col("s_c").alias("s_cool")).alias("f")),
+              _bathtub_pass(c, keys, grid(lo, hi), grid(lo, top), gap_max).select(*keys, F.struct("sse", "T_heat", "T_cool", "P_base", "s_heat", "s_cool").alias("f"))]
+    known = single[0].unionByName(single[1]).unionByName(single[2])
+    tot = c.groupBy(*keys).agg(F.sum("m").alias("N"), F.sum("my").alias("Y"), F.sum("myy").alias("YY")).join(known.groupBy(*keys).agg(F.min("f.sse").alias("bound")), keys)
+    most = F.col("bound") * (1 + 1e-12) + 1e-9
+    cells = ["T", "beyond", "n", "t1", "t2", "y1", "ty", "yy", "k", "a", "err"]
+    cold = _arm(c, keys, True).where((F.col("T") <= hi) & (F.coalesce("beyond", F.lit(hi)) >= lo)).select(*keys, F.struct(*cells).alias("c"))
+    warm = _arm(c, keys, False).where((F.col("T") >= lo) & (F.coalesce("beyond", F.lit(lo)) <= top)).select(*keys, F.struct(*cells).alias("w"))
+    near = lambda d, x: d.join(tot.select(*keys, "bound"), keys).where(F.col(f"{x}.err") <= most).drop("bound")
+    e = near(cold, "c").join(near(warm, "w"), keys).where(F.col("c.T") < F.col("w.T")).join(tot, keys)
+    v = lambda x: F.col(x)
+    mid_n, mid_y, mid_yy = (v(x) - v(f"c.{z}") - v(f"w.{z}") for x, z in (("N", "n"), ("Y", "y1"), ("YY", "yy")))
+    mid = F.when(mid_n > 0, mid_y / F.nullif(mid_n, F.lit(0.0)))
+    e = e.where(v("c.err") + v("w.err") + F.greatest(F.lit(0.0), mid_yy - F.coalesce(mid_y * mid, F.lit(0.0))) <= most)
+    low1, high1 = F.greatest(v("c.T"), F.lit(lo)), F.least(F.coalesce(v("c.beyond"), F.lit(hi)), F.lit(hi))
+    low2, high2 = F.coalesce(v("w.beyond"), F.lit(lo)), F.least(v("w.T"), F.lit(top))
+    e = e.withColumns({"l1": low1, "u1": high1, "l2": low2, "u2": high2})
+
+    def level(side: str, other: str, th, sign: float):
+        """Base of the best (base, slope) on all days but those of `other`, with the arm of `side` fixed at th."""
+        n, s = v("N") - v(f"{other}.n"), sign * (v(f"{side}.n") * th - v(f"{side}.t1"))
+        q = v(f"{side}.n") * th * th - 2 * th * v(f"{side}.t1") + v(f"{side}.t2")
+        xy = sign * (th * v(f"{side}.y1") - v(f"{side}.ty"))
+        yo = v("Y") - v(f"{other}.y1")
+        return (q * yo - s * xy) / F.nullif(n * q - s * s, F.lit(0.0))
+    meet = lambda x, base: (base - v(f"{x}.a")) / F.nullif(v(f"{x}.k"), F.lit(0.0))
+    l1, u1, u2 = v("l1"), v("u1"), v("u2")
+    pair = lambda a, b: F.struct(a.alias("h"), b.alias("c"))
+    tries = [pair(x, z) for x in (l1, u1) for z in (v("l2"), u2)] + [
+        pair(meet("c", mid), meet("w", mid)), pair(meet("c", F.lit(0.0)), meet("w", F.lit(0.0)))]
+    tries += [pair(meet("c", level("w", "c", z, -1.0)), z) for z in (v("l2"), u2)] + [pair(x, meet("w", level("c", "w", x, 1.0))) for x in (l1, u1)]
+    tries += [pair(meet("c", F.lit(0.0)), z) for z in (v("l2"), u2)] + [pair(x, meet("w", F.lit(0.0))) for x in (l1, u1)]
+    cross = (v("w.a") - v("c.a")) / F.nullif(v("c.k") - v("w.k"), F.lit(0.0))
+    tries += [pair(cross, cross), pair(l1, l1), pair(u1, u1), pair(l1, l1 + gap_max), pair(u1, u1 + gap_max), pair(u2 - gap_max, u2), pair(v("l2") - gap_max, v("l2"))]
+    ok = lambda p: (p["h"] >= l1) & (p["h"] <= u1) & (p["c"] >= v("l2")) & (p["c"] <= u2) & (p["c"] >= p["h"]) & (p["c"] - p["h"] <= gap_max)
+    e = e.withColumn("th", F.explode(F.filter(F.array(*tries), ok)))
+
+    def sums(x: str, th, sign: float):
+        return F.struct(th.alias("th"), (sign * (v(f"{x}.n") * th - v(f"{x}.t1"))).alias("s"), (v(f"{x}.n") * th * th - 2 * th * v(f"{x}.t1") + v(f"{x}.t2")).alias("q"),
+                        (sign * (th * v(f"{x}.y1") - v(f"{x}.ty"))).alias("y"))
+    e = e.select(*keys, "N", "Y", "YY", sums("c", v("th.h"), 1.0).alias("h"), sums("w", v("th.c"), -1.0).alias("c"))
+    e = e.withColumn("v", _bathtub_solve(F.col("h"), F.col("c")))
+    pairs = e.select(*keys, F.struct(v("v.sse").alias("sse"), v("h.th").alias("T_heat"), v("c.th").alias("T_cool"), v("v.b").alias("P_base"), v("v.a1").alias("s_heat"), v("v.a2").alias("s_cool")).alias("f"))
+    g = known.unionByName(pairs).groupBy(*keys).agg(F.min("f").alias("f")).join(tot, keys)
+    sst = F.col("YY") - F.col("Y") * F.col("Y") / F.col("N")
+    return g.select(*keys, F.col("N").cast("bigint").alias("n_days"), "f.sse", F.when(v("f.s_heat") > 0, F.round(v("f.T_heat"), 9)).alias("T_heat"), F.when(v("f.s_cool") > 0, F.round(v("f.T_cool"), 9)).alias("T_cool"),
+                    "f.P_base", "f.s_heat", "f.s_cool", F.when(sst > 1e-9, 1 - F.col("f.sse") / sst).otherwise(0.0).alias("r2"))
 
 
 def fit_degree_line(df: DataFrame, keys: list[str], x: str = "hdh", y: str = "y") -> DataFrame:

@@ -12,7 +12,8 @@ from . import q_cohorts as C, sqlparts as Q
 from .q_joins import AM_SQL, analog_plan
 from .registry import query
 
-BOOT = 40
+#: Replicates of both bootstraps.
+BOOT = 2000
 
 
 @query("a16_cluster_bootstrap", f"""WITH {C.TARGET_SQL}, m AS (SELECT sub_id, hh FROM me WHERE role='hp' AND split='test'), hs AS (SELECT hh, row_number() OVER (ORDER BY {Q.md('0', "'boot'", 'hh')})-1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT hh FROM m)),
@@ -27,14 +28,28 @@ def a16(spark, d):
     return b.select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "sd")], "n_valid", r8("mean_kept").alias("mean_kept"))
 
 
+ROW_BLOCK = 1000
+
+
+def mix_sql(x: str) -> str:
+    """The 32-bit mix of operators.audits as SQL."""
+    once = lambda v: f"((xor({v}, ({v}) >> 16) * 73244475) & 4294967295)"
+    out = once(once(f"(({x}) & 4294967295)"))
+    return f"xor({out}, ({out}) >> 16)"
+
+
+# each mix is a column of its own: nested, its text would double at every step
 @query("a16_row_bootstrap", f"""WITH z AS (SELECT o_orderpriority, o_orderkey, abs(p-y)/abs(y) AS e FROM (SELECT *, o_totalprice AS y, round(o_totalprice*(0.8::DOUBLE+(o_orderkey%7)/15.0::DOUBLE),6) AS p FROM orders) WHERE y<>0),
-u AS (SELECT o_orderpriority, b, e, {Q.hint('0', 'b', 'o_orderkey')}/4294967296.0::DOUBLE AS u FROM z, range(20) r(b)),
-w AS (SELECT *, (CASE WHEN u>=0.36787944117144233 THEN 1 ELSE 0 END+CASE WHEN u>=0.7357588823428847 THEN 1 ELSE 0 END+CASE WHEN u>=0.9196986029286058 THEN 1 ELSE 0 END+CASE WHEN u>=0.9810118431238462 THEN 1 ELSE 0 END+CASE WHEN u>=0.9963401531726563 THEN 1 ELSE 0 END+CASE WHEN u>=0.9994058151824183 THEN 1 ELSE 0 END+CASE WHEN u>=0.9999167588507119 THEN 1 ELSE 0 END) AS w FROM u),
-m AS (SELECT o_orderpriority, b, sum(w*e)/sum(w)*100 AS m FROM w GROUP BY 1,2) SELECT o_orderpriority, round(quantile_cont(m,0.025),6) AS lo, round(quantile_cont(m,0.975),6) AS hi, round(stddev_samp(m),6) AS sd FROM m GROUP BY 1""")
+r AS (SELECT o_orderpriority, e, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {Q.md('0', 'o_orderkey')})-1 AS pos FROM z), k AS (SELECT o_orderpriority, count(*) AS n, {Q.hint('0', 'o_orderpriority')} AS h FROM z GROUP BY o_orderpriority),
+s0 AS (SELECT o_orderpriority, n, b, {mix_sql('h+b')} AS s FROM k, range({BOOT}) b(b)), s1 AS (SELECT o_orderpriority, n, b, s, {mix_sql('s+j')} AS u FROM s0, range(n) g(j)),
+c1 AS (SELECT o_orderpriority, n, b, s, ((u*n)>>32)//{ROW_BLOCK} AS blk, count(*) AS m FROM s1 GROUP BY ALL),
+d0 AS (SELECT o_orderpriority, b, blk, m, least({ROW_BLOCK}, n-{ROW_BLOCK}*blk) AS w, {mix_sql('s+blk+1')} AS s FROM c1), d1 AS (SELECT o_orderpriority, b, blk, w, {mix_sql('s+i')} AS u FROM d0, range(m) g(i)),
+f AS (SELECT o_orderpriority, b, sum(e)/count(*)*100 AS m, count(*) AS n FROM (SELECT o_orderpriority, b, blk*{ROW_BLOCK}+((u*w)>>32) AS pos FROM d1) JOIN r USING (o_orderpriority, pos) GROUP BY 1,2)
+SELECT o_orderpriority, round(quantile_cont(m,0.025),6) AS lo, round(quantile_cont(m,0.975),6) AS hi, round(stddev_samp(m),6) AS sd, min(n) AS n_least, max(n) AS n_most FROM f GROUP BY 1""")
 def a16_rows(spark, d):
     from .q_aggregate import order_predictions
-    b = U.row_bootstrap(order_predictions(spark, d), ["o_orderpriority"], "o_orderkey", 20, 0, "y", "p")
-    return b.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "sd")])
+    b = U.row_bootstrap(order_predictions(spark, d), ["o_orderpriority"], "o_orderkey", BOOT, 0, "y", "p", ROW_BLOCK)
+    return b.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "sd")], "n_least", "n_most")
 
 
 @query("a17_label_audit", f"""WITH {C.TARGET_SQL}, z AS (SELECT split, HP_CoincPeak/HP_Peak AS c, CASE WHEN n_hp/size::DOUBLE<=0.15 THEN 'pbin<=15' WHEN n_hp/size::DOUBLE<=0.35 THEN 'pbin15-35' WHEN n_hp/size::DOUBLE<=0.65 THEN 'pbin35-65' ELSE 'pbin>65' END AS b FROM tb WHERE HP_Peak>0)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scan import exact_quantiles
+from ..functions.scan import high_quantile
 from ..functions.stats import r8
 from ..operators import cohorts as K, hinge as HG
 from ..session import cut_lineage
@@ -48,14 +48,21 @@ def daily_plan(spark, d, members=None):
     return a.withColumn("t", X.temperature_at(st, F.col("day")))
 
 
+def slot_plan(spark, d, members):
+    """Substation loads by day and slot, written once: fits, peaks and windowed features all read this copy."""
+    a = K.aggregate_slots(members, X.slot_readings(spark, d), X.SLOTS)
+    return cut_lineage(a.withColumn("t", X.temperature_at(F.split("sub_id", r"\|")[2].cast("int"), F.col("day"))))
+
+
 def peak_plan(spark, d):
-    r = X.daily_readings(spark, d).where("role = 'hp'")
-    return exact_quantiles(r, ["hh"], "hp", {"hp_peak": 0.999}, cuts=8)
+    """Robust peak of each HP household: the 99.9th percentile of its slot loads."""
+    r = X.slot_readings(spark, d).where("role = 'hp'")
+    return high_quantile(r, ["hh"], "hp_slots", F.trunc("day", "month"), 0.999, "hp_peak")
 
 
 def target_plan(spark, d):
     m = member_plan(spark, d)
-    return K.targets(m, daily_plan(spark, d, m), peak_plan(spark, d))
+    return K.targets(m, slot_plan(spark, d, m), peak_plan(spark, d))
 
 
 # ------------------------------------------------------------------ the same as SQL
@@ -96,9 +103,10 @@ FIT_SQL = f"""{DAILY_SQL}, fl AS (SELECT sub_id, 'hp' AS series, t, hp AS y FROM
 LINE_SQL = """hl_g AS (SELECT sub_id, count(*)::DOUBLE AS n_, sum(x) AS x1, sum(y) AS y1, sum(x*x) AS xx, sum(x*y) AS xy FROM (SELECT sub_id, greatest(0.0::DOUBLE,12-t)*24 AS x, net AS y FROM sd) GROUP BY 1),
 hl_s AS (SELECT *, CASE WHEN n_*xx-x1*x1>1e-9 THEN (n_*xy-x1*y1)/(n_*xx-x1*x1) ELSE 0.0::DOUBLE END AS s0 FROM hl_g),
 hl AS (SELECT sub_id, CASE WHEN s0<=0 THEN 0.0::DOUBLE WHEN (y1-s0*x1)/n_<0 THEN greatest(0.0::DOUBLE, xy/nullif(xx,0)) ELSE s0 END AS slope FROM hl_s)"""
-TARGET_SQL = f"""{FIT_SQL}, {LINE_SQL}, pk AS (SELECT hh, quantile_cont(hp,0.999) AS hp_peak FROM rd WHERE role='hp' GROUP BY 1),
+SLOT_SQL = f"""{X.SQL_PROFILE}, ss AS (SELECT sub_id, day, slot, sum(CASE WHEN m.role='hp' THEN hp*p_hp ELSE 0.0::DOUBLE END) AS hp, sum(own*p_own) AS nonhp FROM me m JOIN rd ON m.hh=rd.hh JOIN prof ON prof.k=m.hh%{X.CLASSES} GROUP BY 1,2,3)"""
+TARGET_SQL = f"""{FIT_SQL}, {LINE_SQL}, {SLOT_SQL}, pk AS (SELECT hh, quantile_cont(hp*p_hp,0.999) AS hp_peak FROM rd JOIN prof ON prof.k=hh%{X.CLASSES} WHERE role='hp' GROUP BY 1),
 mp AS (SELECT sub_id, sum(hp_peak) AS HP_Peak, count(*) AS HP_Count FROM me LEFT JOIN pk ON me.hh=pk.hh WHERE role='hp' GROUP BY 1),
-co AS (SELECT sub_id, max(hp) AS HP_CoincPeak, max(net) AS peak FROM sd GROUP BY 1), ids AS (SELECT DISTINCT sub_id, seed, split, fold, station, size, p, n_hp FROM me),
+co AS (SELECT sub_id, max(hp) AS HP_CoincPeak, max(hp+nonhp) AS peak FROM ss GROUP BY 1), ids AS (SELECT DISTINCT sub_id, seed, split, fold, station, size, p, n_hp FROM me),
 tb AS (SELECT ids.*, HP_Peak, CAST(HP_Count AS BIGINT) AS HP_Count, HP_CoincPeak, peak, h.s_h AS s_h, CASE WHEN o.P_base>0 THEN h.s_h/o.P_base END AS r,
  h.P_base+h.s_h*greatest(0.0::DOUBLE, h.T_h+8.0::DOUBLE) AS P_design, h.T_h AS T_h_hp, o.P_base AS P_base_nonhp, n.s_h AS s_h_net, n.P_base AS P_base_net, n.T_h AS T_h_net, n.r2 AS r2_net,
  n.T_min AS T_min_net, n.s_h*greatest(0.0::DOUBLE, n.T_h-n.T_min) AS delta_net, n.hinge_inside AS hinge_inside_net, n.at_bound AS at_bound_net, slope AS hdh_slope_net
@@ -194,11 +202,15 @@ def r02(spark, d):
     return f.select("station", "n_days", *[F.round(c, 6).alias(c) for c in ("P_base", "s_c", "T_c", "r2")])
 
 
-@query("r03_fit_bathtub")
+BATH_SRC = "bd AS (SELECT station, t, y + 0.2::DOUBLE*greatest(0.0::DOUBLE, t-18) AS y FROM nd)"
+BATH_COLS = ("T_heat", "T_cool", "P_base", "s_heat", "s_cool", "r2")
+
+
+@query("r03_fit_bathtub", f"WITH {X.SQL_ND}, {BATH_SRC}, {Q.bathtub('b', 'bd', 'station')} SELECT station, n_days, {', '.join(f'round({c},6) AS {c}' for c in BATH_COLS)} FROM b")
 def r03(spark, d):
     n = X.nation_daily(spark, d).withColumn("y", F.col("y") + 0.2 * F.greatest(F.lit(0.0), F.col("t") - 18))
-    f = HG.fit_bathtub(n, ["station"], gap_max=10.0)
-    return f.select("station", "n_days", *[F.round(c, 6).alias(c) for c in ("T_heat", "T_cool", "P_base", "s_heat", "s_cool", "r2")])
+    f = HG.fit_bathtub(n, ["station"])
+    return f.select("station", "n_days", *[F.round(c, 6).alias(c) for c in BATH_COLS])
 
 
 @query("r04_degree_line", f"""WITH {X.SQL_ND}, z AS (SELECT station, greatest(0.0::DOUBLE,12-t)*24 AS x, y FROM nd), g AS (SELECT station, CAST(count(*) AS BIGINT) AS n_days, regr_slope(y,x) AS s, regr_intercept(y,x) AS b, regr_r2(y,x) AS r2 FROM z GROUP BY 1)

@@ -48,6 +48,32 @@ def daily_readings(spark, d) -> DataFrame:
     return x.select("hh", "role", "nation", "station", "cap", "day", "t", "own", hp.alias("hp"))
 
 
+#: Half-hour slots of a day, and classes of households that share a load profile.
+SLOTS, CLASSES = 48, 24
+
+
+def load_profiles(spark, d) -> DataFrame:
+    """class, p_hp, p_own: shape of a day by slot (mean 1) from the events of the class's users; clicks shape the heat pump, other events the rest.
+    One row for each of the CLASSES."""
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, d, "events").select((F.col("user_id") % CLASSES).cast("int").alias("class"), F.floor((F.hour(ts) * 60 + F.minute(ts)) / 30).cast("int").alias("slot"),
+                                         (F.col("event_type") == "click").alias("hp"), F.col("value").cast("decimal(18,2)").alias("v"))
+    g = e.groupBy("class", "slot").agg(*[F.coalesce(F.sum(F.when(c, F.col("v"))).cast("double"), F.lit(0.0)).alias(n) for n, c in (("hp", F.col("hp")), ("own", ~F.col("hp")))])
+    at = g.groupBy("class").agg(*[F.map_from_entries(F.collect_list(F.struct("slot", c))).alias(c) for c in ("hp", "own")])
+
+    def shape(c: str) -> Column:
+        w = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: 1.0 + F.coalesce(F.try_element_at(c, s), F.lit(0.0)))
+        return F.transform(w, lambda x: x * SLOTS / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))
+    k = spark.range(CLASSES).select(F.col("id").cast("int").alias("class"))
+    return k.join(at, "class", "left").select("class", shape("hp").alias("p_hp"), shape("own").alias("p_own"))
+
+
+def slot_readings(spark, d) -> DataFrame:
+    """daily_readings with the half-hour loads of each day: hp_slots and own_slots, arrays whose means are the day's hp and own."""
+    r = daily_readings(spark, d).join(load_profiles(spark, d), F.col("class") == F.col("hh") % CLASSES)
+    return r.select("hh", "role", "station", "day", "t", "hp", "own", F.transform("p_hp", lambda x: F.col("hp") * x).alias("hp_slots"), F.transform("p_own", lambda x: F.col("own") * x).alias("own_slots"))
+
+
 def nation_daily(spark, d) -> DataFrame:
     """station (nation), day, t, y: mean load per nation and day plus a known heating response of 0.3 kW/K below 15 C."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
@@ -88,6 +114,10 @@ SQL_READ = f"""{SQL_HH}, {SQL_OWN}, rt AS (SELECT h.hh, role, nation, station, c
  FROM own o JOIN hh h ON o.hh=h.hh),
 rd AS (SELECT hh, role, nation, station, cap, day, t, own,
  CASE WHEN role='hp' THEN 0.03::DOUBLE*cap*greatest(0.0::DOUBLE, 15-t) ELSE 0.0::DOUBLE END AS hp FROM rt)"""
+SQL_PROFILE = f"""pe AS (SELECT CAST(user_id % {CLASSES} AS INTEGER) AS k, CAST((hour(ts)*60+minute(ts))//30 AS INTEGER) AS slot, event_type='click' AS c, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+pw AS (SELECT CAST(a.k AS INTEGER) AS k, CAST(b.slot AS INTEGER) AS slot, 1.0::DOUBLE+coalesce(CAST(sum(v) FILTER (c) AS DOUBLE),0) AS hp, 1.0::DOUBLE+coalesce(CAST(sum(v) FILTER (NOT c) AS DOUBLE),0) AS own
+ FROM range({CLASSES}) a(k) CROSS JOIN range({SLOTS}) b(slot) LEFT JOIN pe ON pe.k=a.k AND pe.slot=b.slot GROUP BY 1,2),
+prof AS (SELECT k, slot, hp*{SLOTS}/sum(hp) OVER (PARTITION BY k) AS p_hp, own*{SLOTS}/sum(own) OVER (PARTITION BY k) AS p_own FROM pw)"""
 SQL_ND = f"""nd0 AS (SELECT c_nationkey AS station, CAST(o_orderdate AS DATE) AS day,
  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)/99991.0 AS kw
  FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2),
