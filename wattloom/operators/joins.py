@@ -1,10 +1,11 @@
 """Joins of meters, weather and results: interpolated weather, analog days, donor stations, weather groups, comparisons (J rows)."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash_int
-from ..functions.scan import exact_quantiles
 from ..session import cut_lineage
 from .clean import interpolate
 
@@ -77,51 +78,116 @@ def place_analogs(filler: DataFrame, amap: DataFrame, key: list[str]) -> DataFra
 
 
 # ------------------------------------------------------------------ stations
+def _packed_stations(daily: DataFrame, stations: DataFrame, block: str, other: str, blocks: int, others: int) -> DataFrame:
+    """One row per station with its days and means, in the block of its id, once for each block of the other side."""
+    p = daily.join(stations.select("station"), "station").groupBy("station").agg(F.array_sort(F.collect_list(F.struct("day", "t"))).alias("v"))
+    return p.select(F.pmod(F.xxhash64("station"), F.lit(blocks)).cast("int").alias(block), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "station",
+                    F.col("v.day").cast("array<int>").alias("days"), F.col("v.t").alias("ts")).toDF(block, other, "station", "days", "ts")      # columns of its own: both sides come from one table
+
+
+def donors(daily: DataFrame, bad: DataFrame, ok: DataFrame, min_days: int = 60, size: int = 256) -> DataFrame:
+    """For each station of `bad` the station of `ok` with the highest correlation over their shared days (equals: the higher id): station, donor, corr, a, b, n_days_fit.
+
+    Stations meet in pairs of blocks. A pair of blocks is two matrices of days x stations with masks of what is there, and six products of these give the counts and sums of all their
+    pairs at once, so no row of station, station and day arises. Stations with too few days pair with nothing."""
+    days = daily.where("t IS NOT NULL").withColumn("day", F.datediff("day", F.lit("1970-01-01")))
+    enough = days.groupBy("station").agg(F.count("*").alias("n")).where(F.col("n") >= min_days).select("station")
+    bad, ok = cut_lineage(bad.join(enough, "station", "left_semi")), cut_lineage(ok.join(enough, "station", "left_semi"))
+    nb, no = max(1, -(-bad.count() // size)), max(1, -(-ok.count() // size))
+
+    def matrix(t, first, n):
+        x, there = np.zeros((n, t.num_rows)), np.zeros((n, t.num_rows))
+        for i, (d, v) in enumerate(zip(t["days"].to_pylist(), t["ts"].to_pylist())):
+            at = np.array(d) - first
+            x[at, i], there[at, i] = v, 1.0
+        mean = x.sum(0) / np.maximum(there.sum(0), 1)
+        return (x - mean) * there, there, mean                                # centred: sums of squares don't cancel
+
+    def pair(key, t, o):
+        names, kinds = ["station", "donor", "corr", "a", "b", "n_days_fit"], [t.schema.field("station").type, o.schema.field("station").type, pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        if not (t.num_rows and o.num_rows):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        o = o.sort_by([("station", "descending")])                            # the first of equal correlations has the higher id
+        every = np.concatenate([np.concatenate(x["days"].to_pylist()) for x in (t, o)])
+        first, n = int(every.min()), int(every.max() - every.min()) + 1
+        (x, mx, ax), (y, my, ay) = matrix(t, first, n), matrix(o, first, n)
+        c, sx, sy, sxy, sxx, syy = mx.T @ my, x.T @ my, mx.T @ y, x.T @ y, (x * x).T @ my, mx.T @ (y * y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy, cov = sxx - sx * sx / c, syy - sy * sy / c, sxy - sx * sy / c
+            corr = np.where((c >= min_days) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy), cov / np.sqrt(vx * vy), -np.inf)
+            best = corr.argmax(1)
+            i = np.flatnonzero(corr[np.arange(len(best)), best] > -np.inf)
+            j = best[i]
+            b = cov[i, j] / vy[i, j]
+            a = ax[i] + sx[i, j] / c[i, j] - b * (ay[j] + sy[i, j] / c[i, j])
+        return pa.table([t["station"].combine_chunks().take(pa.array(i)), o["station"].combine_chunks().take(pa.array(j)), pa.array(corr[i, j]), pa.array(a), pa.array(b), pa.array(c[i, j].astype(np.int64))], names)
+    kind = daily.schema["station"].dataType.simpleString()
+    found = (_packed_stations(days, bad, "_b", "_o", nb, no).groupBy("_b", "_o").cogroup(_packed_stations(days, ok, "_o", "_b", no, nb).groupBy("_b", "_o"))
+             .applyInArrow(pair, f"station {kind}, donor {kind}, corr double, a double, b double, n_days_fit long"))
+    f = F.max_by(F.struct("donor", "corr", "a", "b", "n_days_fit"), F.struct("corr", "donor"))
+    return found.groupBy("station").agg(f.alias("f")).select("station", "f.*")
+
+
+def slot_station_fill(slots: DataFrame, bins: int, least_bins: int, expected_days: int | None = None, max_missing: float = 0.05, min_corr: float = 0.98, min_days: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Fill stations (station, day, slot, t; `bins` slots a day) that miss more than `max_missing` of their slots from the complete station with the highest correlation of
+    daily means (days with `least_bins` slots): t = a + b t', fitted on the shared days, for every slot that is missing and that the donor has. Without such a donor
+    the station is dropped. Returns (log, filled). `expected_days`: days that a complete station has; all days of the table if not given."""
+    have = slots.where("t IS NOT NULL").select("station", "day", "slot", F.col("t").cast("double").alias("t"))
+    expected = bins * (slots.select("day").distinct().count() if expected_days is None else expected_days)
+    miss = cut_lineage(have.groupBy("station").agg((1 - F.count("*") / F.lit(float(expected))).alias("missing_share")))
+    ok, bad = miss.where(F.col("missing_share") <= max_missing), miss.where(F.col("missing_share") > max_missing)
+    daily = have.groupBy("station", "day").agg(F.avg("t").alias("t"), F.count("*").alias("n")).where(F.col("n") >= least_bins).drop("n")
+    best = cut_lineage(bad.join(donors(daily, bad, ok, min_days), "station", "left")
+                       .withColumn("action", F.when(F.col("corr") >= min_corr, "filled").otherwise("dropped")))
+    use = best.where("action = 'filled'").select("station", "donor", "a", "b")
+    given = have.select(F.col("station").alias("donor"), "day", "slot", F.col("t").alias("td"))
+    add = cut_lineage(use.join(given, "donor").select("station", "day", "slot", (F.col("a") + F.col("b") * F.col("td")).alias("t"))
+                      .join(have.select("station", "day", "slot"), ["station", "day", "slot"], "left_anti"))
+    log = best.join(add.groupBy("station").agg(F.count("*").alias("_f")), "station", "left").withColumn("n_bins_filled", F.when(F.col("action") == "filled", F.coalesce("_f", F.lit(0)))).drop("_f")
+    filled = have.withColumn("is_filled", F.lit(False)).unionByName(add.withColumn("is_filled", F.lit(True)))
+    return log, filled.join(best.where("action = 'dropped'").select("station"), "station", "left_anti")
+
+
 def station_fill(daily: DataFrame, expected: int | None = None, max_missing: float = 0.05, min_corr: float = 0.98, min_days: int = 60) -> tuple[DataFrame, DataFrame]:
-    """Fill stations (station, day, t) that miss too much from the complete station with the highest daily correlation:
-    t = a + b t'. Returns (log, filled). Pairs are formed per shared day between incomplete and complete stations only. `expected`: days that
-    a complete station has; all days of the table if not given."""
-    expected = daily.select("day").distinct().count() if expected is None else expected
-    miss = daily.where("t IS NOT NULL").groupBy("station").agg((1 - F.count("*") / F.lit(float(expected))).alias("missing_share"))
-    ok, bad = miss.where(F.col("missing_share") <= max_missing).select("station"), miss.where(F.col("missing_share") > max_missing)
-    x = daily.where("t IS NOT NULL").join(bad, "station")
-    d = daily.where("t IS NOT NULL").join(ok, "station").select(F.col("station").alias("donor"), "day", F.col("t").alias("td"))
-    g = x.join(d, "day").groupBy("station", "donor").agg(F.corr("t", "td").alias("corr"), F.regr_slope("t", "td").alias("b"), F.regr_intercept("t", "td").alias("a"),
-                                                        F.count("*").alias("n_days_fit")).where(F.col("n_days_fit") >= min_days)
-    best = g.groupBy("station").agg(F.max_by(F.struct("donor", "corr", "a", "b", "n_days_fit"), F.struct("corr", "donor")).alias("f"))
-    log = bad.join(best, "station", "left").select("station", "missing_share", "f.donor", "f.corr", "f.a", "f.b", "f.n_days_fit",
-                                                   F.when(F.col("f.corr") >= min_corr, "filled").otherwise("dropped").alias("action"))
-    use = log.where("action = 'filled'")
-    have = daily.where("t IS NOT NULL").select("station", "day")
-    add = (use.join(d, "donor").select("station", "day", (F.col("a") + F.col("b") * F.col("td")).alias("t")).join(have, ["station", "day"], "left_anti"))
-    drop = log.where("action = 'dropped'").select("station")
-    filled = daily.where("t IS NOT NULL").select("station", "day", "t", F.lit(False).alias("is_filled")).unionByName(add.withColumn("is_filled", F.lit(True)))
-    return log, filled.join(drop, "station", "left_anti")
-
-
-def weather_groups(daily: DataFrame, tol: float = 0.2, min_days: int = 30, max_rounds: int = 1000) -> DataFrame:
-    """Greedy leader groups of homes (home, day, t) in id order: a home joins the first leader whose median absolute daily difference is below
-    `tol`. Each round makes the lowest unassigned home a leader and tests every other unassigned home against that one leader only, so the
-    work is (groups x homes), not all pairs. Too short series get 'G_none'."""
-    n = daily.where("t IS NOT NULL").groupBy("home").agg(F.count("*").alias("n"))
-    short = n.where(F.col("n") < min_days).select("home", F.lit("G_none").alias("grp"))
+    """The same for one value a day (station, day, t): returns (log, filled)."""
+    log, filled = slot_station_fill(daily.withColumn("slot", F.lit(0)), 1, 1, expected, max_missing, min_corr, min_days)
+    return log, filled.select("station", "day", "t", "is_filled")
+
+
+def _close(data: DataFrame, homes: DataFrame, refs: DataFrame, tol: float) -> DataFrame:
+    """(home, leader) whose median absolute daily difference is below `tol`. A pair's differences are bounded by the calendar."""
+    r = data.join(refs.select(F.col("home").alias("leader")), F.col("home") == F.col("leader")).select("leader", "day", F.col("t").alias("tr"))
+    d = data.join(homes.select("home"), "home").join(r, "day").where(F.col("leader") < F.col("home"))
+    return d.groupBy("home", "leader").agg(F.percentile(F.abs(F.col("t") - F.col("tr")), 0.5).alias("med")).where(F.col("med") < tol).select("home", "leader")
+
+
+def weather_groups(daily: DataFrame, tol: float = 0.2, min_days: int = 30, batch: int = 64) -> DataFrame:
+    """Greedy leader groups of homes (home, day, t) in id order: a home joins the first leader whose median absolute daily difference is below `tol`, else it leads
+    a group of its own. Too short series get 'G_none'.
+
+    A round takes the `batch` lowest unassigned homes. Which of them lead follows from the close pairs among them (batch^2 at most, read by the driver); then one join tests
+    every other home against these leaders. All homes of the batch are assigned, so there are at most homes / batch rounds, and since unassigned homes have higher ids
+    than the batch, the groups are those of the one-by-one rule."""
+    data = daily.where("t IS NOT NULL").select("home", "day", "t")
+    n = data.groupBy("home").agg(F.count("*").alias("n"))
     left = cut_lineage(n.where(F.col("n") >= min_days).select("home"))
-    done, g = [short], 0
-    data = daily.where("t IS NOT NULL")
-    while g < max_rounds:
-        lead = left.agg(F.min("home").alias("leader")).first()["leader"]        # one value per round
-        if lead is None:
-            break
-        name = f"G{g:03d}"
-        ref = data.where(F.col("home") == lead).select("day", F.col("t").alias("tr"))
-        d = data.join(left, "home").join(ref, "day").select("home", F.abs(F.col("t") - F.col("tr")).alias("d"))
-        close = exact_quantiles(d, ["home"], "d", {"med": 0.5}, cuts=8).where((F.col("med") < tol) | (F.col("home") == lead)).select("home")
-        close = cut_lineage(close.unionByName(left.where(F.col("home") == lead)).distinct())
-        done.append(close.withColumn("grp", F.lit(name)))
-        left = cut_lineage(left.join(close, "home", "left_anti"))
-        g += 1
-    if g == max_rounds:
-        raise RuntimeError("more weather groups than max_rounds")
+    done, groups = [n.where(F.col("n") < min_days).select("home", F.lit("G_none").alias("grp"))], 0
+    while first := [r.home for r in left.orderBy("home").limit(batch).collect()]:
+        low = left.where(F.col("home").isin(first))
+        near: dict = {}
+        for r in _close(data, low, low, tol).collect():
+            near.setdefault(r.home, set()).add(r.leader)
+        leaders: list = []
+        for h in first:
+            if not near.get(h, set()).intersection(leaders):
+                leaders.append(h)
+        lead = left.where(F.col("home").isin(leaders))
+        joined = _close(data, left.where(~F.col("home").isin(leaders)), lead, tol).groupBy("home").agg(F.min("leader").alias("leader"))
+        new = cut_lineage(joined.unionByName(lead.select("home", F.col("home").alias("leader"))))
+        names = F.create_map(*[x for i, h in enumerate(leaders) for x in (F.lit(h), F.lit(f"G{groups + i:03d}"))])
+        done.append(new.select("home", names[F.col("leader")].alias("grp")))
+        groups += len(leaders)
+        left = cut_lineage(left.join(new, "home", "left_anti"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

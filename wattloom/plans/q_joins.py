@@ -141,7 +141,41 @@ def j07_fill(spark, d):
     return f.select("station", "day", F.round("t", 6).alias("t"), "is_filled")
 
 
-@query("j08_weather_groups")
+def gappy_slots(spark, d):
+    """The same stations by three-hour slots; those with gaps also miss single slots."""
+    s = gappy_stations(spark, d).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    s = s.where((F.col("station") >= 100) | ((F.dayofyear("day") * 8 + F.col("slot") + F.col("station")) % 13 != 0))
+    return s.withColumn("t", F.col("t") + 2 * F.sin(F.pi() * F.col("slot") / 4))
+
+
+GL_SQL = f"""{GS_SQL}, gl AS (SELECT station, day, CAST(slot AS INTEGER) AS slot, t+2*sin(pi()*slot/4) AS t FROM gs, range(8) z(slot) WHERE station>=100 OR (dayofyear(day)*8+slot+station)%13<>0),
+lm AS (SELECT station, 1-count(*)/(8*(SELECT count(DISTINCT day) FROM gl))::DOUBLE AS miss FROM gl GROUP BY 1), ld AS (SELECT station, day, avg(t) AS t FROM gl GROUP BY 1,2 HAVING count(*)>=6),
+lc AS (SELECT x.station, y.station AS donor, corr(x.t,y.t) AS corr, regr_slope(x.t,y.t) AS b, regr_intercept(x.t,y.t) AS a, count(*) AS n FROM ld x JOIN lm mx ON mx.station=x.station AND mx.miss>0.05 JOIN ld y ON y.day=x.day JOIN lm my ON my.station=y.station AND my.miss<=0.05 GROUP BY 1,2 HAVING count(*)>=60),
+lb AS (SELECT * FROM lc QUALIFY row_number() OVER (PARTITION BY station ORDER BY corr DESC, donor DESC)=1),
+la AS (SELECT lb.station, g.day, g.slot, a+b*g.t AS t FROM lb JOIN gl g ON g.station=lb.donor WHERE corr>=0.98 AND NOT EXISTS (SELECT 1 FROM gl h WHERE h.station=lb.station AND h.day=g.day AND h.slot=g.slot))"""
+
+
+@query("j07_slot_fill_log", f"""WITH {GL_SQL} SELECT m.station, round(miss,8) AS missing_share, donor, round(corr,8) AS corr, round(a,6) AS a, round(b,6) AS b, CAST(n AS BIGINT) AS n_days_fit,
+ CASE WHEN corr>=0.98 THEN 'filled' ELSE 'dropped' END AS action, CASE WHEN corr>=0.98 THEN (SELECT count(*) FROM la WHERE la.station=m.station) END AS n_bins_filled FROM lm m LEFT JOIN lb ON lb.station=m.station WHERE miss>0.05""")
+def j07_slots(spark, d):
+    log, _ = J.slot_station_fill(gappy_slots(spark, d), 8, 6)
+    return log.select("station", r8("missing_share").alias("missing_share"), "donor", r8("corr").alias("corr"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "n_days_fit", "action", "n_bins_filled")
+
+
+@query("j07_slot_fill", f"""WITH {GL_SQL} SELECT station, day, slot, round(t,6) AS t, is_filled FROM (SELECT *, false AS is_filled FROM gl WHERE station NOT IN (SELECT m.station FROM lm m LEFT JOIN lb ON lb.station=m.station WHERE miss>0.05 AND NOT coalesce(corr>=0.98, false))
+ UNION ALL SELECT *, true FROM la)""")
+def j07_slot_values(spark, d):
+    _, f = J.slot_station_fill(gappy_slots(spark, d), 8, 6)
+    return f.select("station", "day", "slot", F.round("t", 6).alias("t"), "is_filled")
+
+
+@query("j08_weather_groups", f"""WITH RECURSIVE {X.SQL_ND}, d AS (SELECT station AS home, day, {X.sql_temp('(station % 4)', 'day')} AS t FROM nd), n AS (SELECT home, count(*) AS n FROM d GROUP BY 1),
+pr AS (SELECT a.home AS h, b.home AS r, median(abs(a.t-b.t)) AS med FROM d a JOIN d b ON a.day=b.day AND b.home<a.home GROUP BY 1,2), near AS (SELECT h, list(r) AS rs FROM pr WHERE med<0.2 GROUP BY 1),
+o AS (SELECT home, row_number() OVER (ORDER BY home) AS i, coalesce(rs, []) AS rs FROM n LEFT JOIN near ON h=home WHERE n>=30),
+rec AS (SELECT i, home, [home] AS leaders, home AS leader FROM o WHERE i=1
+ UNION ALL SELECT i, home, CASE WHEN f IS NULL THEN list_append(leaders, home) ELSE leaders END, coalesce(f, home) FROM (SELECT o.i, o.home, leaders, list_filter(leaders, lambda x: list_contains(o.rs, x))[1] AS f FROM rec JOIN o ON o.i=rec.i+1)),
+g AS (SELECT leader, row_number() OVER (ORDER BY leader)-1 AS k FROM (SELECT DISTINCT leader FROM rec))
+SELECT home, 'G'||lpad(CAST(k AS VARCHAR),3,'0') AS grp FROM rec JOIN g USING (leader) UNION ALL SELECT home, 'G_none' FROM n WHERE n<30""")
 def j08(spark, d):
     """Greedy groups of the nations' temperature series."""
     n = X.nation_daily(spark, d).select(F.col("station").alias("home"), "day", X.temperature_at(F.col("station") % 4, F.col("day")).alias("t"))
