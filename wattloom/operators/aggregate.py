@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import stats as S
-from ..functions.scan import chunked_scan, exact_quantiles
+from ..functions.scan import chunked_scan, exact_quantiles, time_chunk
 from ..functions.timeparts import SEVERITY, WINDOWS, clock_window, severity_bin
 
 PAIRS = (("mild", "warm"), ("cold", "warm"), ("extreme", "warm"), ("extreme", "cold"))
@@ -69,36 +69,71 @@ def daily_degree_hours(df: DataFrame, key: list[str], day: str, t: str, y: str,
 
 
 # ------------------------------------------------------------------ windowed degree-day features
-def label_slots(df: DataFrame, key: list[str], ts: str, t: str, base: float, hours: float, mild: float, cold: float) -> DataFrame:
-    """Clock window and the day's severity bin of every slot (the day total joins back on (entity, day))."""
-    d = df.withColumn("_day", F.to_date(ts)).withColumn("_hdh", F.greatest(F.lit(0.0), base - F.col(t)))
-    sev = d.groupBy(*key, "_day").agg((F.sum("_hdh") * hours).alias("_sev"))
-    return (d.join(sev, key + ["_day"]).withColumn("window", clock_window(F.col(ts))).withColumn("bin", severity_bin(F.col("_sev"), mild, cold)))
-
-
-def cell_statistics(slots: DataFrame, key: list[str], y: str, with_corr: bool = False, t: str = "t") -> DataFrame:
-    """Distribution statistics per (entity, clock window, severity bin), long."""
-    aggs = {"Mean": F.avg(y), "Std": S.std_guarded(y), "Min": F.min(y), "Max": F.max(y), "Max-Min": F.max(y) - F.min(y), "Skew": S.skew_g1(y),
-            "Kurtosis": S.kurt_g2(y), "N_obs": F.count(y).cast("double")}
+def regular_slots(df: DataFrame, key: list[str], ts: str, cols: list[str], minutes: int) -> DataFrame:
+    """Means of the columns by `minutes`; missing slots between a series' first and last value take the value before, also over the borders of scanned chunks. Slots in which
+    some column has no value left out."""
+    d = df.groupBy(*key, time_bin(F.col(ts), f"{minutes} minutes").alias(ts)).agg(*[F.avg(c).alias(c) for c in cols])
+    span = d.groupBy(*key).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"), *[F.max(F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_end_{c}") for c in cols])
+    grid = span.withColumn(ts, F.explode(F.sequence("_a", "_z", F.expr(f"INTERVAL {minutes} MINUTES")))).drop("_a", "_z").join(d, [*key, ts], "left")
+    filled = chunked_scan(grid, key, [ts], time_chunk(ts), {f"_f_{c}": ("last", F.col(c)) for c in cols})
+    value = [F.when(F.col(ts) <= F.col(f"_end_{c}"), F.col(f"_f_{c}")).alias(c) for c in cols]
+    return filled.select(*key, ts, *value).dropna(subset=cols)
+
+
+def _by_severity(days: DataFrame, key: list[str], mild: float, cold: float) -> DataFrame:
+    """One row per day and clock window with its values, from one row per day with a column of values for each window."""
+    w = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(w).alias("v")) for w in WINDOWS])).alias("_w")
+    return days.select(*key, "_day", "_sev", w).select(*key, "_day", "_sev", "_w.*").where(F.size("v") > 0).withColumn("bin", severity_bin(F.col("_sev"), mild, cold))
+
+
+def day_windows(slots: DataFrame, key: list[str], ts: str, t: str, y: str, base: float, hours: float, mild: float, cold: float) -> DataFrame:
+    """Values (y, t, degree hours) of each day and clock window and the severity bin of the day, in one exchange: a day's slots are one short list."""
+    h = F.greatest(F.lit(0.0), base - F.col(t))
+    value = F.struct(F.col(y).cast("double").alias("y"), F.col(t).cast("double").alias("t"), h.alias("h"))
+    d = slots.groupBy(*key, F.to_date(ts).alias("_day")).agg((F.sum(h) * hours).alias("_sev"), *[F.collect_list(F.when(clock_window(F.col(ts)) == w, value)).alias(w) for w in WINDOWS])
+    return _by_severity(d, key, mild, cold)
+
+
+def array_windows(days: DataFrame, key: list[str], day: str, t: str, values: str, n: int, base: float, mild: float, cold: float) -> DataFrame:
+    """The same from one row per day with an array of `n` slot values and the day's temperature: nothing is exchanged."""
+    h, ends = F.greatest(F.lit(0.0), base - F.col(t)), [0, n // 4, 10 * n // 24, 16 * n // 24, n]      # fixed values: hours 6, 10 and 16 begin a window
+    cut = lambda lo, hi: F.transform(F.slice(values, lo + 1, hi - lo), lambda x: F.struct(x.alias("y"), F.col(t).cast("double").alias("t"), h.alias("h")))
+    return _by_severity(days.select(*key, F.col(day).alias("_day"), (h * 24).alias("_sev"), *[cut(lo, hi).alias(w) for w, lo, hi in zip(WINDOWS, ends, ends[1:])]), key, mild, cold)
+
+
+def cell_statistics(long: DataFrame, key: list[str], with_corr: bool = False) -> tuple[DataFrame, list[str]]:
+    """Distribution statistics per (entity, clock window, severity bin), long. A cell's values are at most the calendar's slots of an entity; they are gathered once and
+    every statistic, quantiles included, is read off the sorted list."""
+    c = long.groupBy(*key, "window", "bin").agg(F.flatten(F.collect_list("v")).alias("v"), F.count("*").cast("double").alias("N_days"))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    c = c.withColumn("_s", F.array_sort(F.transform("v", lambda x: x["y"]))).withColumn("n", F.size("v").cast("double"))
+    n, s = F.col("n"), F.col("_s")
+    c = c.withColumns({"_my": total(s, lambda x: x) / n, **({f"_m{x}": total(F.col("v"), lambda r: r[x]) / n for x in "th"} if with_corr else {})})
+    my = F.col("_my")
+    c = c.withColumns({"_2": total(s, lambda x: (x - my) * (x - my)), "_3": total(s, lambda x: (x - my) * (x - my) * (x - my)), "_4": total(s, lambda x: (x - my) * (x - my) * (x - my) * (x - my))})
+    m2, m3, m4 = (F.col(f"_{i}") for i in (2, 3, 4))
+
+    def quantile(q: float) -> Column:
+        r = (n - 1) * q
+        lo, hi = s[F.floor(r).cast("int")], s[F.least(F.floor(r) + 1, n - 1).cast("int")]
+        return lo + (hi - lo) * (r - F.floor(r))
+    low, high = s[0], F.element_at(s, -1)
+    aggs = {"Mean": my, "Std": F.when(n >= 2, F.sqrt(m2 / (n - 1))), "Min": low, "Max": high, "Max-Min": high - low,
+            "Skew": F.when((n >= 3) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / F.pow(m2 / n, 1.5)),
+            "Kurtosis": F.when((n >= 4) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 * n / (m2 * m2) - 3) + 6)), "N_obs": n, "Q50": quantile(0.5), "Q95": quantile(0.95), "N_days": F.col("N_days")}
     if with_corr:
-        aggs |= {"Cov_Temp": S.cov_guarded(y, t), "Corr_Temp": S.corr_guarded(y, t), "Cov_HDH": S.cov_guarded(y, "_hdh"), "Corr_HDH": S.corr_guarded(y, "_hdh")}
-    cell = [*key, "window", "bin"]
-    # quantiles and distinct days are separate aggregates: neither holds the values of a cell in one task
-    q = exact_quantiles(slots, cell, y, {"Q50": 0.5, "Q95": 0.95}, cuts=16).drop("n")
-    days = slots.select(*key, "window", "bin", "_day").distinct().groupBy(*key, "window", "bin").agg(F.count("*").cast("double").alias("N_days"))
-    return slots.groupBy(*cell).agg(*[a.alias(n) for n, a in aggs.items()]).join(days, cell).join(q, cell, "left"), [*aggs, "Q50", "Q95", "N_days"]
-
-
-def windowed_features(slots: DataFrame, key: list[str], ts: str, t: str, y: str, base: float = 12.0, mild: float = 10.0, cold: float = 25.0,
-                      hours: float = 1.0, weekday_only: bool = True, with_corr: bool = False, peak_norm: bool = False) -> DataFrame:
-    """One wide row per entity: statistics of 4 clock windows x 4 severity bins, then delta, ratio and normalised delta of bin pairs.
-
-    One pass over the slots, one pivot over at most 16 cells per entity."""
-    d = slots.where(F.col(t).isNotNull() & F.col(y).isNotNull())
-    if weekday_only:
-        d = d.where(F.weekday(ts) < 5)
-    lab = label_slots(d, key, ts, t, base, hours, mild, cold)
-    cells, stats = cell_statistics(lab, key, y, with_corr, t)
+        for x, name in (("t", "Temp"), ("h", "HDH")):
+            mx = F.col(f"_m{x}")
+            cov = total(F.col("v"), lambda r: (r["y"] - my) * (r[x] - mx))  # noqa: B023
+            sq = total(F.col("v"), lambda r: (r[x] - mx) * (r[x] - mx))  # noqa: B023
+            aggs |= {f"Cov_{name}": F.when(n >= 2, cov / (n - 1)), f"Corr_{name}": F.when((n >= 3) & (m2 > 0) & (sq > 0), cov / F.sqrt(m2 * sq))}
+    return c.select(*key, "window", "bin", *[x.alias(k) for k, x in aggs.items()]), list(aggs)
+
+
+def wide_features(long: DataFrame, key: list[str], with_corr: bool = False, peak_norm: bool = False, climate: bool = False) -> DataFrame:
+    """One wide row per entity: statistics of 4 clock windows x 4 severity bins, then delta, ratio and normalised delta of bin pairs; on wish also values over the peak
+    load, and mean, deviation and maximum of the days' severity with their number."""
+    cells, stats = cell_statistics(long, key, with_corr)
     cells = cells.withColumn("_cell", F.concat_ws("_", "window", "bin"))
     names = [f"{w}_{b}" for w in WINDOWS for b in SEVERITY]
     wide = cells.groupBy(*key).pivot("_cell", names).agg(*[F.first(f"`{s}`").alias(s) for s in stats])
@@ -112,14 +147,29 @@ def windowed_features(slots: DataFrame, key: list[str], ts: str, t: str, y: str,
                 h, l = col(w, hi, s), col(w, lo, s)
                 out += [(h - l).alias(f"Feature {w}_delta_{s}_{hi}_{lo}"), (h / (l + EPS)).alias(f"Feature {w}_ratio_{s}_{hi}_{lo}"),
                         ((h - l) / (l + EPS)).alias(f"Feature {w}_normdelta_{s}_{hi}_{lo}")]
+    peak = F.greatest(*[col(w, b, "Max") for w in WINDOWS for b in SEVERITY])
+    if peak_norm:                                             # the highest value of any cell is the highest of all
+        plain = [f"{w}_{b}_{s}" for w in WINDOWS for b in SEVERITY for s in stats if s in ("Mean", "Std", "Min", "Max", "Max-Min", "Q50", "Q95")]
+        out += [(F.col(f"`{c}`") / F.nullif(peak, F.lit(0.0))).alias(f"Feature {c}_norm_peak") for c in plain]
     res = wide.select(*out)
-    if peak_norm:
-        pk = d.groupBy(*key).agg(F.max(y).alias("_peak"))
-        mag = [c for c in res.columns if c.startswith("Feature") and any(c.endswith(f"_{k}") for k in ("Mean", "Std", "Min", "Max", "Max-Min", "Q50", "Q95"))]
-        res = res.join(pk, key).select(*res.columns, *[(F.col(f"`{c}`") / F.nullif(F.col("_peak"), F.lit(0.0))).alias(f"{c}_norm_peak") for c in mag])
+    if climate:
+        days = long.groupBy(*key, "_day").agg(F.first("_sev").alias("_sev"))
+        res = res.join(days.groupBy(*key).agg(F.avg("_sev").alias("Feature Daily_HDH_Severity_Mean"), S.std_guarded("_sev").alias("Feature Daily_HDH_Severity_Std"),
+                                              F.max("_sev").alias("Feature Daily_HDH_Severity_Max"), F.count("*").cast("double").alias("Feature N_weekdays")), key)
     return res
 
 
+def windowed_features(slots: DataFrame, key: list[str], ts: str, t: str, y: str, base: float = 12.0, mild: float = 10.0, cold: float = 25.0,
+                      hours: float = 1.0, weekday_only: bool = True, with_corr: bool = False, peak_norm: bool = False, resolution: int | None = None, climate: bool = False) -> DataFrame:
+    """Windowed features of slots. `resolution`: minutes to which the series are brought first, gaps filled with the value before (`hours` follows from it)."""
+    if resolution:
+        slots, hours = regular_slots(slots, key, ts, [t, y], resolution), resolution / 60
+    d = slots.where(F.col(t).isNotNull() & F.col(y).isNotNull())
+    if weekday_only:
+        d = d.where(F.weekday(ts) < 5)
+    return wide_features(day_windows(d, key, ts, t, y, base, hours, mild, cold), key, with_corr, peak_norm, climate)
+
+
 def scale_free(columns: list[str]) -> list[str]:
     return [c for c in columns if c.endswith("_norm_peak") or "ratio_" in c or "normdelta_" in c]
 

@@ -9,7 +9,7 @@ from ..functions.stats import r8
 from ..operators import aggregate as A, cohorts as K, hinge as HG
 from ..sources import tables as X
 from .q_clean import GRID_SQL, grid
-from .q_cohorts import MEMBER_SQL, member_plan
+from .q_cohorts import DAILY_SQL, MEMBER_SQL, SLOT_SQL, member_plan, slot_plan
 from .registry import query
 
 R = "round({},8)"
@@ -71,7 +71,8 @@ n4 AS (SELECT n2.*, CASE WHEN hour(ts)<6 THEN 'night' WHEN hour(ts)<10 THEN 'mor
  CASE WHEN sev<=0 THEN 'warm' WHEN sev<=60 THEN 'mild' WHEN sev<=120 THEN 'cold' ELSE 'extreme' END AS bin FROM n2 JOIN n3 USING (channel, day))"""
 
 
-def _a05_sql():
+def windowed_sql(ctes: str, src: str, key: str) -> str:
+    """Statistics of the slots `src` (key, day, y, win, bin), wide."""
     stats = {"Mean": "avg(y)", "Std": "CASE WHEN count(y)>=2 THEN stddev_samp(y) END", "Min": "min(y)", "Max": "max(y)", "Skew": "CASE WHEN count(y)>=3 THEN skewness(y) END",
              "Kurtosis": "CASE WHEN count(y)>=4 THEN kurtosis(y) END", "Q50": "quantile_cont(y,0.5)", "Q95": "quantile_cont(y,0.95)", "N_days": "count(DISTINCT day)"}
     cells = ", ".join(f"{v} AS {k}" for k, v in stats.items())
@@ -87,16 +88,40 @@ def _a05_sql():
                 h, l = pick(w, hi, s), pick(w, lo, s)
                 out += [f'round({h}-{l},6) AS "Feature {w}_delta_{s}_{hi}_{lo}"', f'round({h}/({l}+1e-6::DOUBLE),6) AS "Feature {w}_ratio_{s}_{hi}_{lo}"',
                         f'round(({h}-{l})/({l}+1e-6::DOUBLE),6) AS "Feature {w}_normdelta_{s}_{hi}_{lo}"']
-    return f"WITH {NET_SQL}, c AS (SELECT channel, win, bin, {cells} FROM n4 GROUP BY 1,2,3) SELECT channel, {', '.join(out)} FROM c GROUP BY 1"
+    return f"WITH {ctes}, c AS (SELECT {key}, win, bin, {cells} FROM {src} GROUP BY 1,2,3) SELECT {key}, {', '.join(out)} FROM c GROUP BY 1"
 
 
-@query("a05_windowed_features", _a05_sql())
+def checked_features(f, key):
+    """The columns that the SQL has, rounded."""
+    keep = [c for c in f.columns if c.endswith("_N_days") or any((f"{x}_{s}_" in c) for x in ("delta", "ratio", "normdelta") for s in ("Mean", "Q50")) or (
+        c != key and not any(x in c for x in ("delta_", "ratio_")) and c.rsplit("_", 1)[-1] in ("Mean", "Std", "Skew", "Kurtosis", "Q95"))]
+    return f.select(key, *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in keep])
+
+
+@query("a05_windowed_features", windowed_sql(NET_SQL, "n4", "channel"))
 def a05(spark, d):
-    f = A.windowed_features(net_slots(spark, d), ["channel"], "ts", "t", "y", mild=60.0, cold=120.0)
-    keep = [c for c in f.columns if c == "channel" or c.endswith("_N_days") or any(
-        (f"{x}_{s}_" in c) for x in ("delta", "ratio", "normdelta") for s in ("Mean", "Q50")) or (
-        not any(x in c for x in ("delta_", "ratio_")) and c.rsplit("_", 1)[-1] in ("Mean", "Std", "Skew", "Kurtosis", "Q95"))]
-    return f.select("channel", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in keep if c != "channel"])
+    return checked_features(A.windowed_features(net_slots(spark, d), ["channel"], "ts", "t", "y", mild=60.0, cold=120.0), "channel")
+
+
+@query("a05_filled_slots", f"""WITH {X.SQL_SLOT}, b AS (SELECT channel, hh%5 AS g, time_bucket(INTERVAL 15 MINUTES, ts) AS ts, avg(kw) AS y FROM sl WHERE kw>5 GROUP BY 1,2,3),
+sp AS (SELECT channel, g, min(ts) AS a, max(ts) AS z FROM b GROUP BY 1,2), gr AS (SELECT channel, g, unnest(generate_series(a, z, INTERVAL 15 MINUTES)) AS ts FROM sp)
+SELECT channel, CAST(g AS BIGINT) AS g, ts, round(last_value(y IGNORE NULLS) OVER (PARTITION BY channel, g ORDER BY ts ROWS UNBOUNDED PRECEDING),6) AS y FROM gr LEFT JOIN b USING (channel, g, ts)""")
+def a05_filled(spark, d):
+    """Quarter-hour means with gaps filled by the value before."""
+    s = X.slots(spark, d).where("kw > 5").withColumn("g", (F.col("hh") % 5).cast("long"))
+    return A.regular_slots(s, ["channel", "g"], "ts", ["kw"], 15).select("channel", "g", "ts", F.round("kw", 6).alias("y"))
+
+
+WHDD_SQL = f"""{DAILY_SQL}, {SLOT_SQL}, wf AS (SELECT ss.sub_id, ss.day, ss.hp+ss.nonhp AS y, CASE WHEN slot<12 THEN 'night' WHEN slot<20 THEN 'morning' WHEN slot<32 THEN 'day' ELSE 'evening' END AS win,
+ CASE WHEN t>=12 THEN 'warm' WHEN (12-t)*24<=120 THEN 'mild' WHEN (12-t)*24<=300 THEN 'cold' ELSE 'extreme' END AS bin FROM ss JOIN sd ON sd.sub_id=ss.sub_id AND sd.day=ss.day WHERE isodow(ss.day)<6)"""
+
+
+@query("g03_windowed_features", windowed_sql(WHDD_SQL, "wf", "sub_id"))
+def g03_features(spark, d):
+    """Windowed features of the net load of every substation, from the slots that its targets come from."""
+    s = slot_plan(spark, d, member_plan(spark, d)).where(F.weekday("day") < 5)
+    long = A.array_windows(s, ["sub_id"], "day", "t", "net_slots", X.SLOTS, 12.0, 120.0, 300.0)
+    return checked_features(A.wide_features(long, ["sub_id"]), "sub_id")
 
 
 @query("a06_guarded_statistics", f"""WITH {X.SQL_OWN}, z AS (SELECT hh, own AS x, {X.sql_temp('hh','day')} AS t FROM own)
