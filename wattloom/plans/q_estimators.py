@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
 from ..functions.stats import r8
-from ..operators import aggregate as A, cohorts as K, estimators as E, hinge as HG, linear as L
+from ..operators import aggregate as A, cohorts as K, estimators as E, hinge as HG, linear as L, models as M
 from ..session import cut_lineage
 from ..sources import tables as X
 from . import q_cohorts as C, sqlparts as Q
@@ -409,13 +409,71 @@ FAMS = ["slope_only", "slope_base", "hdh"]
 
 
 def family_predictions(spark, d):
-    """Out-of-fold style family predictions: maps fitted on the train substations, read on inner and test ones."""
-    t = baseline_maps(cut_lineage(C.target_plan(spark, d)))
+    """Each family's prediction: inner rows by a map fitted on the inner rows of the other folds, which hold none of their households; test rows by the map of the train substations."""
+    tab = cut_lineage(C.target_plan(spark, d))
+    inner, test = tab.where("split = 'inner'"), baseline_maps(tab).where("split = 'test'")
+    for f in FAMS:
+        inner = M.out_of_fold(inner, ["seed"], "fold", MAPS[f][0], "HP_Peak", "linear").withColumn(f, F.greatest(F.lit(0.0), F.col("oof"))).drop("oof")
     r = F.col("s_h_net") / F.when(F.col("P_base_net") > 0, F.col("P_base_net"))
-    return t.select("sub_id", "seed", "split", "fold", "size", "n_hp", F.col("HP_Peak").alias("y"), r.alias("r"), *FAMS)
-
-
-@query("r23_ensembles")
+    return inner.unionByName(test, allowMissingColumns=True).select("sub_id", "seed", "split", "fold", "size", "n_hp", F.col("HP_Peak").alias("y"), r.alias("r"), *FAMS)
+
+
+def map_sql(name, src, keys):
+    """Coefficients of the families' maps by `keys`, from moments."""
+    det = "(var_pop(s_h_net)*var_pop(P_base_net)-covar_pop(s_h_net,P_base_net)*covar_pop(s_h_net,P_base_net))"
+    return f"""{name} AS (SELECT {keys}, regr_slope(HP_Peak,s_h_net) AS s1, regr_intercept(HP_Peak,s_h_net) AS i1, regr_slope(HP_Peak,hdh_slope_net) AS h1, regr_intercept(HP_Peak,hdh_slope_net) AS h0,
+ (covar_pop(s_h_net,HP_Peak)*var_pop(P_base_net)-covar_pop(P_base_net,HP_Peak)*covar_pop(s_h_net,P_base_net))/{det} AS b1, (covar_pop(P_base_net,HP_Peak)*var_pop(s_h_net)-covar_pop(s_h_net,HP_Peak)*covar_pop(s_h_net,P_base_net))/{det} AS b2,
+ avg(HP_Peak) AS ym, avg(s_h_net) AS m1, avg(P_base_net) AS m2 FROM {src} GROUP BY ALL)"""
+
+
+FAM_COLS = """CASE WHEN P_base_net>0 THEN s_h_net/P_base_net END AS r, greatest(0.0::DOUBLE,i1+s1*s_h_net) AS f1, greatest(0.0::DOUBLE,ym-b1*m1-b2*m2+b1*s_h_net+b2*P_base_net) AS f2, greatest(0.0::DOUBLE,h0+h1*hdh_slope_net) AS f3"""
+FAM_SQL = f"""{C.TARGET_SQL}, {map_sql('mc', "tb WHERE split='train'", 'seed')}, it AS (SELECT * FROM tb WHERE split='inner'), fo_ AS (SELECT DISTINCT seed, fold AS out FROM it),
+{map_sql('mo', 'it JOIN fo_ USING (seed) WHERE fold<>out', 'seed, out')}, fi AS (SELECT sub_id, it.seed, fold, HP_Peak AS y, {FAM_COLS} FROM it JOIN mo ON mo.seed=it.seed AND mo.out=it.fold),
+ft_ AS (SELECT sub_id, tb.seed, {FAM_COLS} FROM tb JOIN mc USING (seed) WHERE split='test')"""
+
+
+def nnls3_sql(name, src, keys):
+    """Non-negative least squares of y on f1, f2, f3 by `keys`: the best of all sets of families that get a weight."""
+    g = f"""{name}_g AS (SELECT {keys}, count(*) AS n, sum(f1*f1) AS a11, sum(f1*f2) AS a12, sum(f1*f3) AS a13, sum(f2*f2) AS a22, sum(f2*f3) AS a23, sum(f3*f3) AS a33, sum(f1*y) AS c1, sum(f2*y) AS c2, sum(f3*y) AS c3 FROM {src} GROUP BY ALL)"""
+    A = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    opts = ["0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3"]
+    for i in (1, 2, 3):
+        opts.append(", ".join((f"c{i}/nullif({A(i, i)},0)" if k == i else "0.0::DOUBLE") + f" AS w{k}" for k in (1, 2, 3)))
+        j, k = [x for x in (1, 2, 3) if x != i]
+        det = f"nullif({A(j, j)}*{A(k, k)}-{A(j, k)}*{A(j, k)},0)"
+        w = {i: "0.0::DOUBLE", j: f"(c{j}*{A(k, k)}-c{k}*{A(j, k)})/{det}", k: f"(c{k}*{A(j, j)}-c{j}*{A(j, k)})/{det}"}
+        opts.append(", ".join(f"{w[x]} AS w{x}" for x in (1, 2, 3)))
+    det3 = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))"
+    full = [[A(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
+    opts.append(", ".join(f"{det3([[f'c{i}' if j == k else A(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)])}/nullif({det3(full)},0) AS w{k}" for k in (1, 2, 3)))
+    return f"""{g}, {name}_o AS ({" UNION ALL ".join(f"SELECT *, {o} FROM {name}_g" for o in opts)}),
+{name} AS (SELECT * FROM {name}_o WHERE w1>=0 AND w2>=0 AND w3>=0 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY w1*c1+w2*c2+w3*c3 DESC)=1)"""
+
+
+def gate_sql(min_bin=5, tol=0.01):
+    """Edges and weights of the gate by brute force over all subsets of the quantiles."""
+    from itertools import combinations
+    n = len(E.QUANTILES)
+    subsets = [x for k in range(n + 1) for x in combinations(range(n), k)]
+    cand = " UNION ALL ".join(f"SELECT seed, {i} AS cand, {len(x)} AS k, [{', '.join(f'q{j}' for j in x)}]::DOUBLE[] AS edges FROM gq" for i, x in enumerate(subsets))
+    at = "CASE WHEN r IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e<=r)) END"
+    return f"""gq AS (SELECT seed, {', '.join(f'quantile_cont(r,{q}) AS q{i}' for i, q in enumerate(E.QUANTILES))} FROM fi GROUP BY 1), gc AS ({cand}), gd AS (SELECT fi.*, cand, k, edges, {at} AS bin FROM fi JOIN gc USING (seed)),
+gp AS (SELECT gd.*, out FROM gd JOIN fo_ USING (seed) WHERE fold<>out), gu AS (SELECT * FROM gp WHERE bin>=0 UNION ALL SELECT * REPLACE (-1 AS bin) FROM gp), {nnls3_sql('gw', 'gu', 'seed, cand, bin, out')},
+gk AS (SELECT seed, cand FROM (SELECT seed, cand, out, min(n) AS least, count(*) AS bins FROM gw WHERE bin>=0 GROUP BY ALL) JOIN gc USING (seed, cand) GROUP BY 1,2 HAVING bool_and(k=0 OR (least>={min_bin} AND bins=k+1))),
+ge AS (SELECT d.seed, d.cand, sum(abs(w1*f1+w2*f2+w3*f3-d.y)) AS err, sum(d.y) AS sy FROM gd d JOIN gw w ON w.seed=d.seed AND w.cand=d.cand AND w.bin=d.bin AND w.out=d.fold GROUP BY 1,2),
+gb AS (SELECT * FROM ge JOIN gk USING (seed, cand) JOIN gc USING (seed, cand) QUALIFY row_number() OVER (PARTITION BY seed, k ORDER BY err, cand)=1),
+gs AS (SELECT seed, edges FROM gb JOIN (SELECT seed, min(err) AS low FROM gb GROUP BY 1) USING (seed) WHERE err<={1 + tol}*low+1e-9*sy QUALIFY row_number() OVER (PARTITION BY seed ORDER BY k)=1),
+gf AS (SELECT fi.*, {at} AS bin FROM fi JOIN gs USING (seed)), gv AS (SELECT * FROM gf WHERE bin>=0 UNION ALL SELECT * REPLACE (-1 AS bin) FROM gf), {nnls3_sql('gz', 'gv', 'seed, bin')}"""
+
+
+@query("r23_out_of_fold", f"WITH {FAM_SQL} SELECT sub_id, fold, round(f1,5) AS slope_only, round(f2,5) AS slope_base, round(f3,5) AS hdh FROM fi")
+def r23_oof(spark, d):
+    p = family_predictions(spark, d).where("split = 'inner'")
+    return p.select("sub_id", "fold", *[F.round(f, 5).alias(f) for f in FAMS])
+
+
+@query("r23_ensembles", f"""WITH {FAM_SQL}, {gate_sql()}, te AS (SELECT ft_.*, CASE WHEN r IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e<=r)) END AS bin FROM ft_ JOIN gs USING (seed))
+SELECT sub_id, round((f1+f2+f3)/3,6) AS average, round(w1*f1+w2*f2+w3*f3,5) AS gated FROM te LEFT JOIN gz ON gz.seed=te.seed AND gz.bin=te.bin""")
 def r23(spark, d):
     p = cut_lineage(family_predictions(spark, d))
     g = cut_lineage(E.fit_gate(p.where("split = 'inner'"), FAMS, min_bin=5))
