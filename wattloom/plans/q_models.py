@@ -5,7 +5,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..operators import aggregate as A, estimators as E, hinge as HG, linear as L, models as M, rank as R
+from ..operators import aggregate as A, estimators as E, extra_trees as XT, hinge as HG, linear as L, models as M, rank as R
 from ..session import cut_lineage, scratch
 from ..sources import tables as X
 from . import q_cohorts as C, q_estimators as QE, sqlparts as Q
@@ -87,6 +87,30 @@ def m04(spark, d):
     return m.transform(z.where("is_test")).select("hh", "y", F.col("prediction").alias("p"))
 
 
+TREES, DEPTH, LEAF = 50, 5, 3
+
+
+def extra_sql():
+    """The forest grown level by level: every tree, node and feature in plain joins."""
+    long = " UNION ALL ".join(f"SELECT hh, is_test, y, {i} AS feature, {f} AS x FROM z" for i, f in enumerate(FEATS))
+    out = [f"lx AS ({long})", f"n0 AS (SELECT hh, is_test, y, tree, CAST(1 AS BIGINT) AS node FROM z, range({TREES}) t(tree))"]
+    for i in range(DEPTH):
+        out += [f"t{i} AS (SELECT tree, node, count(*) AS n, sum(y) AS s FROM n{i} WHERE NOT is_test AND node>={1 << i} GROUP BY 1,2 HAVING count(*)>={2 * LEAF})",
+                f"d{i} AS (SELECT tree, node, feature, min(x)+{Q.hint('0', 'tree', 'node', 'feature')}/4294967296.0::DOUBLE*(max(x)-min(x)) AS thr FROM n{i} JOIN lx USING (hh) JOIN t{i} USING (tree, node) WHERE NOT n{i}.is_test GROUP BY 1,2,3 HAVING min(x)<max(x))",
+                f"s{i} AS (SELECT d{i}.tree, d{i}.node, feature, thr, count(*) AS nl, sum(n{i}.y) AS sl FROM d{i} JOIN n{i} ON n{i}.tree=d{i}.tree AND n{i}.node=d{i}.node AND NOT n{i}.is_test JOIN lx USING (hh, feature) WHERE x<=thr GROUP BY 1,2,3,4)",
+                f"b{i} AS (SELECT tree, node, feature, thr FROM s{i} JOIN t{i} USING (tree, node) WHERE nl>={LEAF} AND n-nl>={LEAF} AND sl*sl/nl+(s-sl)*(s-sl)/(n-nl)>s*s/n*(1+1e-12::DOUBLE) QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY round(sl*sl/nl+(s-sl)*(s-sl)/(n-nl),9) DESC, feature)=1)",
+                f"n{i + 1} AS (SELECT n.hh, n.is_test, n.y, n.tree, CASE WHEN b.feature IS NULL THEN n.node WHEN lx.x<=thr THEN 2*n.node ELSE 2*n.node+1 END AS node FROM n{i} n LEFT JOIN b{i} b ON b.tree=n.tree AND b.node=n.node LEFT JOIN lx ON lx.hh=n.hh AND lx.feature=b.feature)"]
+    return ", ".join(out) + f", v AS (SELECT tree, node, avg(y) AS v FROM n{DEPTH} WHERE NOT is_test GROUP BY 1,2)"
+
+
+@query("m04_extra_trees", f"WITH {_prep_sql()}, {extra_sql()} SELECT n.hh, round(any_value(n.y),6) AS y, round(avg(v.v),6) AS p FROM n{DEPTH} n JOIN v ON v.tree=n.tree AND v.node=n.node WHERE is_test GROUP BY 1")
+def m04_extra(spark, d):
+    """Trees with one random threshold for each feature and node."""
+    z = ready(spark, d)
+    f = XT.fit(z.where("NOT is_test"), FEATS, "y", TREES, DEPTH, LEAF)
+    return XT.predict(z.where("is_test"), f).select("hh", F.round("y", 6).alias("y"), F.round("prediction", 6).alias("p"))
+
+
 @query("m05_boosted_trees")
 def m05(spark, d):
     """Boosted trees stopped early on one named fold."""
