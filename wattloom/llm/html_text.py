@@ -35,6 +35,11 @@ PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 BODIES = frozenset("article articlebody content entry main maincontent post postbody story".split())
 READERS = frozenset("comment comments commentlist disqus discussion replies respond".split())
 
+#: Words of a compound name that tell a state of the page (`has-sidebar`, `comments-open`), words that say nothing about the part, and elements that hold the page or its article.
+STATES = frozenset("has with without no is not show hide open closed enabled disabled active on off".split())
+PLAIN = frozenset("area bar block bottom box button buttons column container content desktop form global group header icons inner item items left link links list main media mobile page panel posts primary region right section secondary site slot title top unit view wrap wrapper".split())
+WHOLE = frozenset("html body main article".split())
+
 _OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -184,17 +189,27 @@ def classify(node: tuple | int, x: list[float]) -> int:
     return node
 
 
+def _named(names: list[list[str]], words: frozenset) -> bool:
+    """Whether a name says that the element is such a part: its last word does (`site-footer`; a compound is what its last word is), or some word does and the others say nothing
+    (`share-buttons`). A name that tells a state does not."""
+    for n in names:
+        if n and not STATES.intersection(n) and words.intersection(n) and (n[-1] in words or all(w in words or w in PARTS or w in PLAIN or len(w) < 3 or w.isdigit() for w in n)):
+            return True
+    return False
+
+
 def _role(tag: str, attrs: str, zones: list[tuple[str, int, bool]]) -> tuple[int, bool]:
-    """Zone and whether it holds reader comments, of an element below the open ones."""
+    """Zone and whether it holds reader comments, of an element below the open ones. What holds the page or its article is never made a side part by its names, and in an article
+    a discussion is a chapter."""
     zone, readers = (zones[-1][1], zones[-1][2]) if zones else (0, False)
-    names = {w for m in _NAMES.findall(attrs) for w in _SPLIT.split("".join(m).lower())} if attrs else set()
-    if readers or names & READERS:
+    names = [[w for w in _SPLIT.split(x.lower()) if w] for m in _NAMES.findall(attrs) for x in "".join(m).split()] if attrs else []
+    if readers or tag not in WHOLE and _named(names, READERS) and not (zone == 1 and ["discussion"] in names):
         return -1, True
     if tag in MAIN:
         return 1, False
-    if tag in NEVER or tag == "header" and zone != 1 or names & PARTS or attrs and _HIDDEN.search(attrs):
+    if tag in NEVER or tag == "header" and zone != 1 or tag not in WHOLE and _named(names, PARTS) or attrs and _HIDDEN.search(attrs):
         return -1, False
-    return (1 if zone == 0 and names & BODIES else zone), False
+    return (1 if zone == 0 and tag not in ("html", "body") and any(BODIES.intersection(n) for n in names) else zone), False
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, float, int, int]]:
