@@ -26,6 +26,14 @@ STEPS, REFINE_STEPS = 12, 6
 #: Bytes of text that the mixture is estimated for at once.
 EM_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter. The pattern also finds characters such as ² and ½, which are none."""
+    m = _LETTER.search(text) if text else None
+    return m is not None and (m.group().isalpha() or any(map(str.isalpha, text)))
+
+
 #: Letters in lower case and bytes of other scripts as they are; everything else is a gap.
 _PLAIN = np.array([LOWER[b] if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -145,7 +153,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
             pred, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
             for lo, hi in chunks(off) if names else ():
                 pred[lo:hi], score[lo:hi] = mixture(*trigrams(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), logp)
-            none = np.array([t is None or not _LETTER.search(t) for t in b.column("text").to_pylist()], bool)
+            none = np.array([not has_letter(t) for t in b.column("text").to_pylist()], bool)
             pred[none] = -1
             score[pred < 0] = 0
             out = pa.array(np.array([*names, "und"], object)[pred], pa.string())
