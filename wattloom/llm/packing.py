@@ -111,7 +111,7 @@ def _packed(df: DataFrame, parts: int, rnd: int, size: int) -> DataFrame:
         for name, v in (("sequence_id", sequence), ("offset", off), ("gap", np.full(len(n), gap)), ("used", np.full(len(n), used))):
             t = t.append_column(name, pa.array(v, pa.int64()))
         return t
-    d = df.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(rnd)), F.lit(parts)))
+    d = df.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(rnd)), F.lit(parts)))
     return cut_lineage(d.groupBy("_part").applyInArrow(run, PIECE_SCHEMA + ", sequence_id long, offset long, gap long, used long"))
 
 

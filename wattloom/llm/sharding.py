@@ -54,7 +54,7 @@ def place(df: DataFrame, tree: dict, key: Column, out: str) -> DataFrame:
 def number_slots(df: DataFrame, shard: str, rows: int) -> DataFrame:
     """Adds `slot`, gapless from 0 within each shard. Rows are numbered in hash buckets of about SLOT_ROWS and shifted by the rows of the buckets before."""
     n = max(4, -(-rows // SLOT_ROWS))
-    d = df.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(n)))
+    d = df.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(n)))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     shift = d.groupBy(shard, "_bucket").agg(F.count("*").alias("_n")).select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inner = W.partitionBy(shard, "_bucket").orderBy("doc_id", "size", "text_crc32")
