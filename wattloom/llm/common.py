@@ -31,8 +31,8 @@ def block_count(docs: DataFrame, text: str = "text", target: int = BLOCK_BYTES)
     return max(LEAST_BLOCKS, -(-n // target))
 
 
-def block_of(n: int, key: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("block")), F.lit(n)).cast("int")
+def block_of(n: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*(keys or ("doc_id",)), F.lit("block")), F.lit(n)).cast("int")
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,12 +18,15 @@ from wattloom.session import scratch
 from .common import NO_ID, block_count, block_of, texts
 
 
-def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) from a table bucketed by block, and the number of blocks. A null doc_id is NO_ID."""
+def blocked(docs: DataFrame, by_text: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, block) from a table bucketed by block, and the number of blocks. A null doc_id is NO_ID. Rows of one doc_id share a block; `by_text`: only if their
+    texts are equal too, so that rows without an id are spread."""
     spark, d = docs.sparkSession, texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))))
     n = block_count(d)
+    if n > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(n))
     name = f"blocks_{uuid.uuid4().hex[:12]}"
-    (d.withColumn("block", block_of(n)).repartition(n, "block").write.bucketBy(n, "block").option("path", scratch(spark, "blocks"))
+    (d.withColumn("block", block_of(n, "doc_id", *["text"] * by_text)).repartition(n, "block").write.bucketBy(n, "block").option("path", scratch(spark, "blocks"))
      .option("compression", "zstd").saveAsTable(name))
     return spark.table(name), n
 

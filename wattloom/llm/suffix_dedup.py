@@ -302,7 +302,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_bytes: bool = True, hot: int
 
     `hot` and `section` (HOT and SECTION if not given) go to the tasks with the functions; the result doesn't depend on them."""
     hot, section = HOT if hot is None else hot, SECTION if section is None else section
-    table, n = blocked(docs)
+    table, n = blocked(docs, by_text=True)
     known = cut_lineage(answer(send(table, lambda t: _emit_minimizers(t, n, width, section), ["key", "count"]), lambda t: _resolve_minimizers(t, hot), ["key", "hot"]))
     runs = send_again(table, known, lambda t, a: _emit_runs(t, a, n, width, section), ["key", "digest", "count", "length", "text"])
     told = answer(runs, lambda t: _resolve_runs(t, width), ["digest", "off", "n"]).unionByName(known, allowMissingColumns=True)
