@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .estimators import fit_power_law, n_star
+
 # fixed values: thresholds of the decision rules
 SHARE, PP, REL = 0.8, 1.0, 0.05
 
@@ -68,19 +70,35 @@ def steps(rungs: DataFrame, unit: str, keys: list[str], rung: str, value: str, p
     return w.select(unit, *keys, s.alias("_s")).select(unit, *keys, "_s.*")
 
 
-def data_limit(curve: DataFrame, keys: list[str], unit: str, n: str, wape: str, phys: str, fits: DataFrame, at: int, drop_pp: float = 1.0) -> DataFrame:
-    """Is a family data-limited? `curve`: unit, n (NULL = all), wape, phys. D when the error still falls from `at` to all and the family beats the
-    reference at all or its asymptote does; 'I or features' when it neither falls nor beats; else inconclusive. `fits`: keys, unit, a_below."""
+def curve_fits(curve: DataFrame, keys: list[str], unit: str, n: str, n_all: str, wape: str, phys: str, least: int = 3) -> DataFrame:
+    """Power law a + b n^-c of every unit's learning curve (NULL n stands for all, that is `n_all`), with n* where it meets the unit's reference at all. Units with fewer than `least` sizes have no fit.
+    Columns: keys, unit, a, b, c, flag_c_bound, flag_a_neg, a_below, n_star (infinite if the curve stays above)."""
+    p = curve.withColumn("_n", F.coalesce(F.col(n), F.col(n_all)).cast("double")).groupBy(*keys, unit, "_n").agg(F.percentile(wape, 0.5).alias("_w")).where("_w IS NOT NULL")
+    f = fit_power_law(p, [*keys, unit], "_n", "_w").where(F.col("n_points") >= least)
+    ref = curve.where(F.col(n).isNull()).groupBy(*keys, unit).agg(F.first(phys).alias("_ref")).where("_ref IS NOT NULL")
+    return f.join(ref, [*keys, unit]).withColumn("a_below", F.col("a") < F.col("_ref")).withColumn("n_star", n_star(F.col("a"), F.col("b"), F.col("c"), F.col("_ref"))).drop("_ref", "sse", "n_points")
+
+
+def data_limit(curve: DataFrame, keys: list[str], unit: str, n: str, n_all: str, wape: str, phys: str, at: int, also: tuple[int, ...] = (), drop_pp: float = 1.0) -> DataFrame:
+    """Is a family data-limited? `curve`: unit, n (NULL = all), n_all, wape, phys, draws as rows of their own. D when the error still falls from `at` to all and the family beats
+    the reference at all or the asymptote of its learning curve does; 'I or features' when it neither falls nor beats at `at`, `also` and all; else inconclusive."""
     all_, part = curve.where(F.col(n).isNull()), curve.where(F.col(n) == at)
-    j = part.select(*keys, unit, F.col(wape).alias("_w"), (F.col(wape) - F.col(phys)).alias("_dp")).join(all_.select(*keys, unit, F.col(wape).alias("_a"), F.col(phys).alias("_p")), keys + [unit])
-    g = j.withColumn("_drop", F.col("_w") - F.col("_a")).withColumn("_d", F.col("_a") - F.col("_p")).groupBy(*keys).agg(
-        F.percentile("_drop", 0.5).alias("drop_median"), F.avg((F.col("_drop") > 0).cast("double")).alias("drop_share"), F.percentile("_d", 0.5).alias("all_median_d"),
-        F.avg((F.col("_d") < 0).cast("double")).alias("all_share"), F.percentile("_dp", 0.5).alias("part_median_d"))
-    a = fits.groupBy(*keys).agg(F.avg(F.col("a_below").cast("double")).alias("asymptote_share"))
-    c1 = (F.col("drop_median") >= drop_pp) & (F.col("drop_share") >= SHARE)
-    c2 = ((F.col("all_share") >= SHARE) & (F.col("all_median_d") <= -PP)) | (F.col("asymptote_share") >= SHARE)
-    no = (F.abs("drop_median") < drop_pp) & (F.col("part_median_d") >= 0) & (F.col("all_median_d") >= 0)
-    return g.join(a, keys).withColumn("verdict", F.when(c1 & c2, "D").when(no, "I or features").otherwise("inconclusive"))
+    full = all_.groupBy(*keys, unit).agg(F.first(wape).alias("_a"))
+    drop = part.join(full, keys + [unit]).withColumn("_drop", F.col(wape) - F.col("_a")).groupBy(*keys).agg(
+        F.percentile("_drop", 0.5).alias("drop_median"), F.avg((F.col("_drop") > 0).cast("double")).alias("drop_share"), F.count("_drop").alias("n_pairs"))
+    d = F.col(wape) - F.col(phys)
+    g = curve.groupBy(*keys).agg(F.percentile(F.when(F.col(n).isNull(), d), 0.5).alias("all_median_d"), F.avg(F.when(F.col(n).isNull(), (d < 0).cast("double"))).alias("all_share"),
+                                 *[F.percentile(F.when(F.col(n) == k, d), 0.5).alias(f"_d{k}") for k in (at, *also)])
+    a = curve_fits(curve, keys, unit, n, n_all, wape, phys).groupBy(*keys).agg(
+        F.avg(F.col("a_below").cast("double")).alias("asymptote_share"), F.percentile(F.when(F.col("n_star") < float("inf"), F.col("n_star")), 0.5).alias("n_star_median"),
+        F.count_if(F.col("n_star") == float("inf")).alias("n_star_inf"), F.count_if(F.col("flag_c_bound") | F.col("flag_a_neg")).alias("fit_flags"))
+    c1 = F.coalesce((F.col("drop_median") >= drop_pp) & (F.col("drop_share") >= SHARE), F.lit(False))
+    c2 = F.coalesce((F.col("all_share") >= SHARE) & (F.col("all_median_d") <= -PP), F.lit(False)) | F.coalesce(F.col("asymptote_share") >= SHARE, F.lit(False))
+    no = F.abs("drop_median") < drop_pp
+    for c in ("all_median_d", *[f"_d{k}" for k in (at, *also)]):
+        no = no & (F.col(c) >= 0)
+    r = g.join(drop, keys, "left").join(a, keys, "left").withColumns({"n_star_inf": F.coalesce("n_star_inf", F.lit(0)), "fit_flags": F.coalesce("fit_flags", F.lit(0)), "n_pairs": F.coalesce("n_pairs", F.lit(0))})
+    return r.withColumn("verdict", F.when(c1 & c2, "D").when(F.coalesce(no, F.lit(False)), "I or features").otherwise("inconclusive")).drop(*[f"_d{k}" for k in (at, *also)])
 
 
 def claim(medians: DataFrame, sample: Column, robust: Column, hybrid: str, plain: str, max_gap: float = 1.0) -> DataFrame:

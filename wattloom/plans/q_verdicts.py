@@ -7,6 +7,7 @@ from ..functions.stats import r8
 from ..operators import verdicts as V
 from ..session import cut_lineage
 from ..sources import tables as X
+from . import sqlparts as Q
 from .registry import query
 
 RUNGS = {"A": "L1", "N": "L2", "R": "L3"}
@@ -68,22 +69,48 @@ def t03(spark, d):
     return V.criterion(pair_rows(spark, d), ["fam", "cell", "reference"], share=0.5).withColumn("median_d", r8("median_d"))
 
 
-def curve_rows(spark, d):
-    """Learning-curve rows per family and unit: rung L1 stands for the smaller n, L3 for all households, L2 is the reference."""
-    w = V.wide(metrics(spark, d), ["seed", "fam", "cell"], "rung", "value", ["L1", "L2", "L3"])
-    return w.select("seed", "fam", "cell", F.col("L2").alias("phys"), F.explode(F.array(F.struct(F.lit(100).alias("n"), F.col("L1").alias("wape")),
-                                                                                     F.struct(F.lit(None).cast("int").alias("n"), F.col("L3").alias("wape")))).alias("r")).select("seed", "fam", "cell", "phys", "r.*")
+LC_NS = (12, 25, 50)
+LC_ROWS = f"""lo AS (SELECT o_orderpriority AS fam, o_orderstatus AS cell, CAST(year(o_orderdate) AS INTEGER) AS seed, o_orderkey AS k, o_totalprice AS v FROM orders), tru AS (SELECT fam, cell, avg(v) AS y FROM lo GROUP BY 1,2),
+ph AS (SELECT cell, seed, avg(v) AS v FROM lo GROUP BY 1,2), lr AS (SELECT *, row_number() OVER (PARTITION BY fam, cell, seed, dr ORDER BY {Q.md("'t04'", 'dr', 'k')}) AS pos, count(*) OVER (PARTITION BY fam, cell, seed, dr) AS m FROM lo, range(3) r(dr)),
+lv AS (SELECT fam, cell, seed, dr, n, any_value(m) AS n_all, avg(v) AS v FROM lr, (VALUES {', '.join(f'({n})' for n in LC_NS)}, (NULL)) x(n) WHERE (n IS NULL AND dr=0) OR (pos<=n AND n<=m) GROUP BY 1,2,3,4,5),
+lc AS (SELECT fam, cell, seed, dr, n, n_all, abs(lv.v-y)/y*100 AS wape, abs(ph.v-y)/y*100 AS phys FROM lv JOIN tru USING (fam, cell) JOIN ph USING (cell, seed)),
+lp AS (SELECT fam, cell, seed, coalesce(n, n_all)::DOUBLE AS n, median(wape) AS w FROM lc GROUP BY 1,2,3,4),
+p1 AS (SELECT fam, cell, seed, c, n, w, power(n,-c) AS x FROM lp, (SELECT 0.001::DOUBLE + i*(2.0::DOUBLE-0.001::DOUBLE)/40 AS c FROM range(41) r(i))),
+p2 AS (SELECT fam, cell, seed, c, round(regr_syy(w,x)-coalesce(regr_slope(w,x),0)*regr_sxy(w,x),12) AS sse FROM p1 GROUP BY ALL HAVING regr_slope(w,x) IS NOT NULL), p3 AS (SELECT fam, cell, seed, arg_min(c, (sse,c)) AS c0 FROM p2 GROUP BY ALL),
+p4 AS (SELECT DISTINCT fam, cell, seed, n, w, least(2.0::DOUBLE,greatest(0.001::DOUBLE,c0+i*((2.0::DOUBLE-0.001::DOUBLE)/40/20))) AS c FROM lp JOIN p3 USING (fam, cell, seed), range(-20,21) r(i)), p5 AS (SELECT *, power(n,-c) AS x FROM p4),
+p6 AS (SELECT fam, cell, seed, c, regr_slope(w,x) AS b, regr_intercept(w,x) AS a, round(regr_syy(w,x)-coalesce(regr_slope(w,x),0)*regr_sxy(w,x),12) AS sse, count(*) AS n_points FROM p5 GROUP BY fam, cell, seed, c HAVING regr_slope(w,x) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fam, cell, seed ORDER BY round(regr_syy(w,x)-coalesce(regr_slope(w,x),0)*regr_sxy(w,x),12), c)=1),
+pf AS (SELECT p6.*, phys AS ref_, a<phys AS a_below, CASE WHEN a>=phys THEN NULL WHEN b<=0 THEN 0.0::DOUBLE ELSE power(b/(phys-a),1/c) END AS n_star, (c<=0.00101 OR c>=1.998) AS fc, a<0 AS fa FROM p6 JOIN lc USING (fam, cell, seed) WHERE lc.n IS NULL AND n_points>=3)"""
 
 
-@query("t04_data_limit", f"""WITH {M_SQL}, w AS (SELECT seed, fam, cell, max(value) FILTER (rung='L1') AS l1, max(value) FILTER (rung='L2') AS l2, max(value) FILTER (rung='L3') AS l3 FROM mt GROUP BY 1,2,3),
-g AS (SELECT fam, cell, median(l1-l3) AS dm, avg(CASE WHEN l1-l3>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (l1-l3 IS NOT NULL) AS ds, median(l3-l2) AS am, avg(CASE WHEN l3-l2<0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (l3-l2 IS NOT NULL) AS ash, median(l1-l2) AS pm, avg(CASE WHEN 2*l3-l1<l2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS asy FROM w GROUP BY 1,2)
-SELECT fam, cell, round(dm,8) AS drop_median, round(ds,8) AS drop_share, round(am,8) AS all_median_d, round(asy,8) AS asymptote_share, CASE WHEN dm>=1 AND ds>=0.8 AND ((ash>=0.8 AND am<=-1) OR asy>=0.8) THEN 'D' WHEN abs(dm)<1 AND pm>=0 AND am>=0 THEN 'I or features' ELSE 'inconclusive' END AS verdict FROM g""")
+def curve_rows(spark, d):
+    """Learning curves from orders: error of the mean of n drawn orders of a priority and year, against the mean over all years; the reference is the year's mean over all priorities."""
+    from ..functions.hashing import digest, hash_rank
+    o = X.table(spark, d, "orders").select(F.col("o_orderpriority").alias("fam"), F.col("o_orderstatus").alias("cell"), F.year("o_orderdate").alias("seed"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    r = hash_rank(o.withColumn("dr", F.explode(F.sequence(F.lit(0), F.lit(2)))), ["fam", "cell", "seed", "dr"], digest(F.lit("t04"), F.col("dr"), F.col("k")))
+    sizes = F.array(*[F.lit(n) for n in LC_NS], F.lit(None).cast("int"))
+    n = F.filter(sizes, lambda x: F.when(x.isNull(), F.col("dr") == 0).otherwise((F.col("pos") < x) & (x <= F.col("pool_size"))))
+    g = r.withColumn("n", F.explode(n)).groupBy("fam", "cell", "seed", "dr", "n").agg(F.first("pool_size").alias("n_all"), F.avg("v").alias("v"))
+    true = o.groupBy("fam", "cell").agg(F.avg("v").alias("y"))
+    phys = o.groupBy("cell", "seed").agg(F.avg("v").alias("p"))
+    err = lambda c: F.abs(F.col(c) - F.col("y")) / F.col("y") * 100
+    return g.join(true, ["fam", "cell"]).join(phys, ["cell", "seed"]).select("fam", "cell", "seed", "dr", "n", "n_all", err("v").alias("wape"), err("p").alias("phys"))
+
+
+@query("t04_curve_fits", f"""WITH {LC_ROWS} SELECT fam, cell, seed, round(a,4) AS a, round(b,4) AS b, round(c,5) AS c, fc AS flag_c_bound, fa AS flag_a_neg, a_below, round(n_star,3) AS n_star FROM pf""")
+def t04_fits(spark, d):
+    f = V.curve_fits(cut_lineage(curve_rows(spark, d)), ["fam", "cell"], "seed", "n", "n_all", "wape", "phys")
+    return f.select("fam", "cell", "seed", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.round("c", 5).alias("c"), "flag_c_bound", "flag_a_neg", "a_below",
+                    F.when(F.col("n_star") < float("inf"), F.round("n_star", 3)).alias("n_star"))
+
+
+@query("t04_data_limit", f"""WITH {LC_ROWS}, dp AS (SELECT x.fam, x.cell, median(x.wape-z.wape) AS dm, avg((x.wape-z.wape>0)::INT) AS ds, count(*) AS np FROM lc x JOIN lc z ON x.fam=z.fam AND x.cell=z.cell AND x.seed=z.seed WHERE x.n=25 AND z.n IS NULL GROUP BY 1,2),
+ga AS (SELECT fam, cell, median(wape-phys) FILTER (n IS NULL) AS am, avg((wape-phys<0)::INT) FILTER (n IS NULL) AS ash, median(wape-phys) FILTER (n=25) AS d25, median(wape-phys) FILTER (n=50) AS d50 FROM lc GROUP BY 1,2),
+af AS (SELECT fam, cell, avg(a_below::INT) AS asy, median(n_star) AS ns, count(*) FILTER (n_star IS NULL) AS ni, count(*) FILTER (fc OR fa) AS ff FROM pf GROUP BY 1,2)
+SELECT fam, cell, round(dm,8) AS drop_median, round(ds,8) AS drop_share, coalesce(np,0) AS n_pairs, round(am,8) AS all_median_d, round(ash,8) AS all_share, round(asy,8) AS asymptote_share, round(ns,3) AS n_star_median, coalesce(ni,0) AS n_star_inf, coalesce(ff,0) AS fit_flags,
+ CASE WHEN coalesce(dm>=1 AND ds>=0.8,false) AND (coalesce(ash>=0.8 AND am<=-1,false) OR coalesce(asy>=0.8,false)) THEN 'D' WHEN coalesce(abs(dm)<1 AND am>=0 AND d25>=0 AND d50>=0,false) THEN 'I or features' ELSE 'inconclusive' END AS verdict FROM ga LEFT JOIN dp USING (fam, cell) LEFT JOIN af USING (fam, cell)""")
 def t04(spark, d):
-    c = cut_lineage(curve_rows(spark, d))
-    w = V.wide(metrics(spark, d), ["seed", "fam", "cell"], "rung", "value", ["L1", "L2", "L3"])
-    fits = w.select("seed", "fam", "cell", F.coalesce(2 * F.col("L3") - F.col("L1") < F.col("L2"), F.lit(False)).alias("a_below"))
-    v = V.data_limit(c, ["fam", "cell"], "seed", "n", "wape", "phys", fits, 100)
-    return v.select("fam", "cell", *[r8(x).alias(x) for x in ("drop_median", "drop_share", "all_median_d", "asymptote_share")], "verdict")
+    v = V.data_limit(cut_lineage(curve_rows(spark, d)), ["fam", "cell"], "seed", "n", "n_all", "wape", "phys", 25, (50,))
+    return v.select("fam", "cell", *[r8(x).alias(x) for x in ("drop_median", "drop_share", "all_median_d", "all_share", "asymptote_share")], F.round("n_star_median", 3).alias("n_star_median"), "n_pairs", "n_star_inf", "fit_flags", "verdict")
 
 
 @query("t05_ladder_steps", f"""WITH {STEP_SQL}, {verdict_sql('fam, cell, step', 'st', share=0.5)}, c AS (SELECT fam, step, CASE WHEN count(*) FILTER (verdict='better')>=2 AND count(*) FILTER (verdict='worse')=0 THEN 'better' WHEN count(*) FILTER (verdict='worse')>=2 AND count(*) FILTER (verdict='better')=0 THEN 'worse' ELSE 'no difference' END AS combined FROM vd GROUP BY 1,2) SELECT * FROM c""")
