@@ -181,19 +181,24 @@ def draw_with_replacement(pool: DataFrame, n_subs: int, seed: int, size_range: t
             .groupBy("sub_id", "size", "p", "n_hp", "hh", "role").agg(F.count("*").cast("double").alias("weight")))
 
 
+def draw_weighted(draws: DataFrame, stations: DataFrame, keys: list[str], weight: str, u: Column, order: str = "station") -> DataFrame:
+    """Gives every draw the station whose stretch of the running weights holds u * total. Stretches and draws meet in buckets of about one station each, so a draw sees few stations and no list
+    of stations is held anywhere."""
+    w = W.partitionBy(*keys).orderBy(order)                                   # one row per station
+    e = (stations.withColumn("_hi", F.sum(weight).over(w)).withColumn("_lo", F.col("_hi") - F.col(weight)))
+    tot = e.groupBy(*keys).agg(F.max("_hi").alias("_T"), F.ceil(F.max("_hi") / F.count("*")).alias("_width"))
+    e = e.join(tot, keys).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / F.col("_width")), F.floor((F.col("_hi") - 1) / F.col("_width")))))
+    d = draws.join(tot, keys).withColumn("_u", u * F.col("_T")).withColumn("_bucket", F.floor(F.col("_u") / F.col("_width"))).drop("_T", "_width")
+    return d.join(e.drop("_T", "_width"), [*keys, "_bucket"]).where((F.col("_lo") <= F.col("_u")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_lo", "_hi", "_bucket")
+
+
 def draw_stations_by_size(pool: DataFrame, n_subs: int, seed: int, sizes: tuple[int, int], pen: tuple[float, float]) -> DataFrame:
     """Plans of substations without replacement: the station is drawn with weight = its HP households, size and penetration are
     bounded by what the station can give. Columns sub_id, station, size, p, n_hp, H, F."""
-    H = pool.where("role = 'hp'").groupBy("station").agg(F.count("*").alias("H"))
+    H = pool.where("role = 'hp'").groupBy("station").agg(F.count("*").alias("H")).withColumn("_all", F.lit(0))
     n_fill = pool.where("role = 'fill'").agg(F.count("*").alias("F"))
-    from pyspark.sql import Window as W
-    w = W.partitionBy(F.lit(1)).orderBy("station")      # one row per station
-    edges = H.withColumn("_hi", F.sum("H").over(w)).withColumn("_lo", F.col("_hi") - F.col("H")).withColumn("_T", F.sum("H").over(W.partitionBy(F.lit(1))))
-    table = edges.agg(F.array_sort(F.collect_list(F.struct("_lo", "_hi", "station", "H"))).alias("_st"), F.max("_T").alias("_T"))
-    s = (pool.sparkSession.range(n_subs).withColumn("sub_id", F.concat(F.lit(f"{seed}|nr|"), F.col("id").cast("string"))).join(F.broadcast(table)).join(F.broadcast(n_fill))      # one row each
-         .withColumn("_u", hash_unit(F.col("sub_id"), F.lit("station")) * F.col("_T"))
-         .withColumn("_pick", F.filter("_st", lambda x: (x["_lo"] <= F.col("_u")) & (F.col("_u") < x["_hi"]))[0])
-         .select("sub_id", F.col("_pick.station").alias("station"), F.col("_pick.H").alias("H"), "F"))
+    s = pool.sparkSession.range(n_subs).select(F.concat(F.lit(f"{seed}|nr|"), F.col("id").cast("string")).alias("sub_id"), F.lit(0).alias("_all"))
+    s = draw_weighted(s, H, ["_all"], "H", hash_unit(F.col("sub_id"), F.lit("station"))).drop("_all").join(F.broadcast(n_fill))      # one row
     s = s.withColumn("p", pen[0] + hash_unit(F.col("sub_id"), F.lit("pen")) * (pen[1] - pen[0]))
     top = F.least(F.lit(sizes[1]), F.floor(F.col("H") / F.col("p"))).cast("int")
     s = s.withColumn("_top", F.greatest(F.lit(sizes[0]), top))
@@ -201,6 +206,28 @@ def draw_stations_by_size(pool: DataFrame, n_subs: int, seed: int, sizes: tuple[
     return s.withColumn("n_hp", F.least(F.col("H").cast("int"), F.greatest(F.lit(1), F.bround(F.col("p") * F.col("size"), 0).cast("int")))).drop("_top")
 
 
+def draw_without_replacement(pool: DataFrame, n_subs: dict[str, int], seed: int, sizes: tuple[int, int], pen: tuple[float, float], min_station_pool: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Substations of distinct households from the train and the test side of a household split: (substations, members).
+
+    `pool`: one seed's rows of `pools` (seed, split, fold, station, role, hh). The station is drawn with weight = its HP households on that side (stations with fewer than
+    `min_station_pool` are not drawn), the penetration evenly; where the station is too small for the least size at that penetration, the penetration gives way. HP members come from the
+    station, fillers (as many as there are) from the side's fill pool."""
+    side = ["seed", "split", "fold"]
+    H = pool.where("role = 'hp'").groupBy(*side, "station").agg(F.count("*").alias("H")).where(F.col("H") >= min_station_pool)
+    n_fill = pool.where("role = 'fill'").groupBy(*side).agg(F.count("*").alias("F"))
+    n = F.create_map(*[F.lit(x) for kv in n_subs.items() for x in kv])
+    s = n_fill.where(F.col("split").isin(list(n_subs))).withColumn("rep", F.explode(F.sequence(F.lit(0), n[F.col("split")] - 1)))
+    s = s.withColumn("sub_id", F.concat_ws("|", F.lit(str(seed)), F.lit("nr"), F.col("split"), F.col("rep").cast("string")))
+    s = draw_weighted(s, H, side, "H", hash_unit(F.col("sub_id"), F.lit("station")))
+    (lo, hi), (p0, p1) = sizes, pen
+    p = p0 + hash_unit(F.col("sub_id"), F.lit("pen")) * (p1 - p0)
+    s = s.withColumn("_p", p).withColumn("p", F.when(F.floor(F.col("H") / F.col("_p")) < lo, F.least(F.lit(float(p1)), F.col("H") / F.lit(float(lo)))).otherwise(F.col("_p"))).drop("_p")
+    top = F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(F.round(F.col("H") / F.col("p"), 9))).cast("int"))
+    s = s.withColumn("size", (lo + F.floor(hash_unit(F.col("sub_id"), F.lit("size")) * (top - lo + 1))).cast("int"))
+    s = s.withColumn("n_hp", F.least(F.col("H").cast("int"), F.greatest(F.lit(1), F.bround(F.col("p") * F.col("size"), 0).cast("int"))))
+    return s, draw_members(s, pool, "nr")
+
+
 def subsample_train(split: DataFrame, ns: list[int], draws: int) -> DataFrame:
     """Learning-curve subsamples of the train HP households: n of them per (seed, n, draw); an n larger than the pool gives no rows."""
     tr = split.where("split = 'train' AND role = 'hp'").withColumn("n", F.explode(ints(ns))).withColumn("lc_draw", F.explode(ints(range(draws))))

@@ -192,6 +192,40 @@ def g05(spark, d):
     return s.select("sub_id", "station", F.col("H").alias("n_pool"), F.col("F").alias("n_fill"), r8("p").alias("p"), "size", "n_hp")
 
 
+NR_SUBS, NR_SIZES, NR_PEN = {"train": 60, "test": 30}, (10, 40), (0.1, 1.0)
+NR_SQL = f"""{C.CELL_SQL}, p0 AS (SELECT * FROM po WHERE seed=0 AND fold=-1), nh AS (SELECT split, station, count(*) AS H FROM p0 WHERE role='hp' GROUP BY 1,2 HAVING count(*)>=3), ne AS (SELECT *, sum(H) OVER (PARTITION BY split ORDER BY station) AS hi, sum(H) OVER (PARTITION BY split) AS T FROM nh),
+nf AS (SELECT split, count(*) AS F FROM p0 WHERE role='fill' GROUP BY 1), ns AS (SELECT split, F, rep, '5|nr|'||split||'|'||rep AS sub_id FROM nf JOIN (SELECT 'train' AS split, range AS rep FROM range({NR_SUBS['train']}) UNION ALL SELECT 'test', range FROM range({NR_SUBS['test']})) USING (split)),
+nu AS (SELECT *, {Q.hint('sub_id', "'station'")}/4294967296.0::DOUBLE AS u, {NR_PEN[0]}::DOUBLE+{Q.hint('sub_id', "'pen'")}/4294967296.0::DOUBLE*({NR_PEN[1]}::DOUBLE-{NR_PEN[0]}::DOUBLE) AS p0_, {Q.hint('sub_id', "'size'")}/4294967296.0::DOUBLE AS us FROM ns),
+nk AS (SELECT nu.*, station, H, CASE WHEN floor(H/p0_)<{NR_SIZES[0]} THEN least({NR_PEN[1]}::DOUBLE, H/{NR_SIZES[0]}::DOUBLE) ELSE p0_ END AS p FROM nu JOIN ne USING (split) WHERE u*T>=hi-H AND u*T<hi),
+nz AS (SELECT *, CAST({NR_SIZES[0]}+floor(us*(greatest({NR_SIZES[0]}, least({NR_SIZES[1]}, floor(round(H/p,9))))-{NR_SIZES[0]}+1)) AS INTEGER) AS size FROM nk),
+sw AS (SELECT sub_id, split, station, H, F, p, size, CAST(least(H, greatest(1, round_even(p*size,0))) AS INTEGER) AS n_hp FROM nz),
+qh AS (SELECT split, station, hh, row_number() OVER (PARTITION BY split, station ORDER BY {Q.md('seed', "'nr'", 'hh')})-1 AS pos FROM p0 WHERE role='hp'), qf AS (SELECT split, hh, row_number() OVER (PARTITION BY split ORDER BY {Q.md('seed', "'nr'", 'hh')})-1 AS pos FROM p0 WHERE role='fill'),
+xh AS {C.draw_sql('sw', "'nr|'||sub_id||'|hp'", 'n_hp', 'H')}, xf AS {C.draw_sql('(SELECT * FROM sw WHERE size>n_hp)', "'nr|'||sub_id||'|fill'", 'size-n_hp', 'F')},
+me AS (SELECT d.sub_id, d.split, d.station, r.hh, 'hp' AS role FROM xh d JOIN qh r ON d.split=r.split AND d.station=r.station AND d.pos=r.pos UNION ALL SELECT d.sub_id, d.split, d.station, r.hh, 'fill' FROM xf d JOIN qf r ON d.split=r.split AND d.pos=r.pos)"""
+
+
+def without_replacement(spark, d):
+    s, m = K.draw_without_replacement(C.pool_plan(spark, d).where("seed = 0 AND fold = -1"), NR_SUBS, 5, NR_SIZES, NR_PEN)
+    return s, cut_lineage(m)
+
+
+@query("g05_members", f"WITH {NR_SQL} SELECT sub_id, split, station, role, hh FROM me")
+def g05_members(spark, d):
+    """Members of substations without replacement: distinct households of one side of the split, HP members of one station."""
+    return without_replacement(spark, d)[1].select("sub_id", "split", "station", "role", "hh")
+
+
+@query("g05_targets", f"""WITH {NR_SQL}, {C.READ_TAIL}, {C.SLOT_SQL}, pk AS (SELECT hh, quantile_cont(hp*p_hp,0.999) AS hp_peak FROM rd JOIN prof ON prof.k=hh%{X.CLASSES} WHERE role='hp' GROUP BY 1),
+hp_ AS (SELECT sub_id, sum(hp_peak) AS y FROM me LEFT JOIN pk USING (hh) WHERE role='hp' GROUP BY 1), co AS (SELECT sub_id, max(hp) AS c, max(hp+nonhp) AS p, sum(hp+nonhp)/{X.SLOTS} AS e FROM ss GROUP BY 1)
+SELECT sw.sub_id, split, station, size, n_hp, round(y,6) AS HP_Peak, round(c,6) AS HP_CoincPeak, round(co.p,6) AS peak, round(e,5) AS day_loads FROM sw JOIN hp_ USING (sub_id) JOIN co USING (sub_id)""")
+def g05_targets(spark, d):
+    """Loads and targets of these substations from half-hour slots."""
+    s, m = without_replacement(spark, d)
+    a = K.aggregate_slots(m, X.slot_readings(spark, d), X.SLOTS).groupBy("sub_id").agg(F.max("hp_max").alias("HP_CoincPeak"), F.max("net_max").alias("peak"), F.sum("net").alias("day_loads"))
+    y = m.where("role = 'hp'").join(C.peak_plan(spark, d), "hh", "left").groupBy("sub_id").agg(F.sum("hp_peak").alias("HP_Peak"))
+    return s.join(y, "sub_id").join(a, "sub_id").select("sub_id", "split", "station", "size", "n_hp", *[F.round(c, 6).alias(c) for c in ("HP_Peak", "HP_CoincPeak", "peak")], F.round("day_loads", 5).alias("day_loads"))
+
+
 def factorial_members(spark, d, tag="fact"):
     """Balanced design: every split x size x penetration x replicate from the station pools."""
     p = C.pool_plan(spark, d).where("fold = -1")
