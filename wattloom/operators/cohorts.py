@@ -235,6 +235,45 @@ def subsample_train(split: DataFrame, ns: list[int], draws: int) -> DataFrame:
     return r.where((F.col("pos") < F.col("n")) & (F.col("n") <= F.col("pool_size"))).select("seed", "n", "lc_draw", "station", "hh")
 
 
+def learning_curve_pools(split: DataFrame, ns: list[int | None], draws: int, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Drawing pools of every learning-curve design in one plan, and a reason row for each design that the train side can't give: (pools, reasons).
+
+    A draw puts a seed's train HP households in one hash order, and a design takes the first n of it, so the subsets of a draw are nested; n None is all of them (draw 0 alone). The fill pool and the test side stay whole.
+    Folds are dealt anew among a design's households by the rule of `inner_folds`. Pools are named train@n@draw and inner@n@draw; the test pool keeps its name, so that its substations are those of the main run."""
+    tr = split.where("split = 'train'")
+    ranked = hash_rank(tr.where("role = 'hp'").withColumn("lc_draw", F.explode(ints(range(draws)))), ["seed", "lc_draw"], digest(F.col("seed"), F.lit("lc"), F.col("lc_draw"), F.col("hh")))
+    sizes = F.array(*[F.lit(n).cast("int") for n in ns])
+    fits = lambda n: F.when(n.isNull(), F.col("lc_draw") == 0).otherwise((F.col("pos") < n) & (n <= F.col("pool_size")))
+    hp = ranked.withColumn("n", F.explode(F.filter(sizes, fits))).drop("pos", "pool_size").withColumn("_lab", F.concat_ws("@", F.coalesce(F.col("n").cast("string"), F.lit("all")), F.col("lc_draw").cast("string")))
+    fill = tr.where("role = 'fill'").join(hp.select("seed", "_lab").distinct(), "seed")
+    cols = ["seed", "hh", "role", "station", "grp", "_lab"]
+    d = hp.select(*cols).unionByName(fill.select(*cols))
+    start = F.when(F.col("role") == "hp", hash_int(F.col("seed"), F.lit("start"), F.col("grp")) % k).otherwise(0)
+    folds = hash_rank(d, ["seed", "_lab", "grp"], digest(F.col("seed"), F.lit("fold"), F.col("hh")))
+    out = ["seed", "split", "fold", "hh", "role", "station"]
+    pool = d.withColumns({"split": F.concat(F.lit("train@"), "_lab"), "fold": F.lit(-1)}).select(*out)
+    pool = pool.unionByName(folds.withColumns({"split": F.concat(F.lit("inner@"), "_lab"), "fold": ((start + F.col("pos")) % k).cast("int")}).select(*out))
+    pool = pool.unionByName(split.where("split = 'test'").withColumn("fold", F.lit(-1)).select(*out))
+    H = tr.where("role = 'hp'").groupBy("seed").agg(F.count("*").alias("H"))
+    reasons = (H.withColumn("n", F.explode(F.array_compact(sizes))).where(F.col("n") > F.col("H")).withColumn("lc_draw", F.explode(ints(range(draws))))
+               .select("seed", "n", "lc_draw", F.format_string("n = %d > %d train HP households", "n", "H").alias("reason")))
+    return pool, reasons
+
+
+def learning_curve_members(pool: DataFrame, ns: list[int | None], draws: int, sizes, penetrations, per_cell: dict[str, int], min_station_pool: int, max_overlap: float) -> DataFrame:
+    """Members of the train, inner and test substations of every design, with part (train, inner, test), n and lc_draw (NULL for the test side)."""
+    labels = [f"{n if n is not None else 'all'}@{i}" for n in ns for i in range(draws)]
+    each = {f"{part}@{lab}": per_cell[part] for part in ("train", "inner") for lab in labels} | {"test": per_cell["test"]}
+    m = draw_members(substations(plan_cells(pool, sizes, penetrations, min_station_pool, max_overlap), each), pool)
+    name = F.split("split", "@")
+    return m.withColumns({"part": name[0], "n": F.try_element_at(name, F.lit(2)).try_cast("int"), "lc_draw": F.try_element_at(name, F.lit(3)).try_cast("int")})
+
+
+def members_digest(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and a sum of hashes of (substation, role, household) by `keys`: equal for equal memberships in any order."""
+    return members.groupBy(*keys).agg(F.count("*").alias("n_members"), F.sum(hash_int(F.col("sub_id"), F.col("role"), F.col("hh"))).alias("digest"))
+
+
 def design_envelope(cells: DataFrame) -> DataFrame:
     """Feasible range per split and station: sizes, household counts, substations, and log10 of the number of HP subsets."""
     from .aggregate import penetration_bin

@@ -292,6 +292,46 @@ def g10(spark, d):
     return K.subsample_train(C.split_plan(spark, d), [16, 32, 64, 100000], 2)
 
 
+LC_N, LC_DRAWS = [32, 64, 128, 100000, None], 2
+_NS = ", ".join(f"({n})" for n in LC_N if n is not None)
+LC_POOL_SQL = f"""lt AS (SELECT sp.*, dr, row_number() OVER (PARTITION BY seed, dr ORDER BY {Q.md('seed', "'lc'", 'dr', 'hh')})-1 AS pos, count(*) OVER (PARTITION BY seed, dr) AS H FROM sp, range({LC_DRAWS}) d(dr) WHERE split='train' AND role='hp'),
+ld AS (SELECT seed, hh, role, station, cap, grp, n, dr FROM lt, (VALUES {_NS}) x(n) WHERE pos<n AND n<=H UNION ALL SELECT seed, hh, role, station, cap, grp, NULL, dr FROM lt WHERE dr=0), lk AS (SELECT DISTINCT seed, n, dr FROM ld),
+lw AS (SELECT * FROM ld UNION ALL SELECT sp.seed, hh, role, station, cap, grp, n, dr FROM sp JOIN lk USING (seed) WHERE split='train' AND role='fill'), ll AS (SELECT *, coalesce(CAST(n AS VARCHAR),'all')||'@'||dr AS lab FROM lw),
+lf AS (SELECT *, row_number() OVER (PARTITION BY seed, lab, grp ORDER BY {Q.md('seed', "'fold'", 'hh')})-1 AS pos FROM ll),
+po AS (SELECT hh, role, station, cap, seed, 'train@'||lab AS split, -1 AS fold FROM ll UNION ALL SELECT hh, role, station, cap, seed, 'inner@'||lab, CAST((CASE WHEN role='hp' THEN {Q.hint('seed', "'start'", 'grp')} % {C.FOLDS} ELSE 0 END + pos) % {C.FOLDS} AS INTEGER) FROM lf
+ UNION ALL SELECT hh, role, station, cap, seed, 'test', -1 FROM sp WHERE split='test')"""
+_PO = "po AS (SELECT hh, role, station, cap, seed, split, -1 AS fold FROM sp UNION ALL SELECT hh, role, station, cap, seed, 'inner', fold FROM fo)"
+LC_MEMBER_SQL = C.MEMBER_SQL.replace(_PO, LC_POOL_SQL).replace("ON split=sp_ WHERE", "ON split_part(split,'@',1)=sp_ WHERE")
+
+
+def curve_designs(spark, d):
+    pool, reasons = K.learning_curve_pools(cut_lineage(C.split_plan(spark, d)), LC_N, LC_DRAWS, C.FOLDS)
+    return K.learning_curve_members(cut_lineage(pool), LC_N, LC_DRAWS, C.SIZES, C.PENS, C.PER_CELL, C.MIN_POOL, C.OVERLAP), reasons
+
+
+@query("g10_rebuilt_members", f"""WITH {LC_MEMBER_SQL} SELECT seed, split_part(split,'@',1) AS part, TRY_CAST(nullif(split_part(split,'@',2),'') AS INTEGER) AS n, TRY_CAST(nullif(split_part(split,'@',3),'') AS INTEGER) AS lc_draw, fold, count(DISTINCT sub_id) AS n_substations, count(*) AS n_members,
+ CAST(sum({Q.hint('sub_id', 'role', 'hh')}) AS BIGINT) AS digest FROM me GROUP BY seed, split, fold""")
+def g10_members(spark, d):
+    """Train, folds and test substations of every learning-curve design."""
+    m = cut_lineage(curve_designs(spark, d)[0])
+    keys = ["seed", "split", "part", "n", "lc_draw", "fold"]
+    c = m.groupBy("seed", "split", "fold").agg(F.count_distinct("sub_id").alias("n_substations"))
+    return K.members_digest(m, keys).join(c, ["seed", "split", "fold"]).drop("split")
+
+
+@query("g10_test_identity", f"""WITH {C.MEMBER_SQL} SELECT seed, count(*) AS n_members, CAST(sum({Q.hint('sub_id', 'role', 'hh')}) AS BIGINT) AS digest, true AS same FROM me WHERE split='test' GROUP BY 1""")
+def g10_identity(spark, d):
+    """The designs' test substations are those of the main run: rows and digest of both, compared."""
+    a = K.members_digest(C.member_plan(spark, d).where("split = 'test'"), ["seed"])
+    b = K.members_digest(curve_designs(spark, d)[0].where("part = 'test'"), ["seed"]).select("seed", F.col("n_members").alias("_n"), F.col("digest").alias("_d"))
+    return a.join(b, "seed", "full_outer").select("seed", "n_members", "digest", F.coalesce((F.col("n_members") == F.col("_n")) & (F.col("digest") == F.col("_d")), F.lit(False)).alias("same"))
+
+
+@query("g10_infeasible_sizes", f"""WITH {C.SPLIT_SQL}, h AS (SELECT seed, count(*) AS H FROM sp WHERE split='train' AND role='hp' GROUP BY 1) SELECT seed, CAST(n AS INTEGER) AS n, CAST(dr AS INTEGER) AS lc_draw, 'n = '||n||' > '||H||' train HP households' AS reason FROM h, (VALUES {_NS}) x(n), range({LC_DRAWS}) r(dr) WHERE n>H""")
+def g10_reasons(spark, d):
+    return curve_designs(spark, d)[1]
+
+
 @query("g11_design_envelope", f"""WITH {C.CELL_SQL}, z AS (SELECT *, reason IS NULL AS ok, CASE WHEN n_hp/size::DOUBLE<=0.15 THEN 'pbin<=15' WHEN n_hp/size::DOUBLE<=0.35 THEN 'pbin15-35' WHEN n_hp/size::DOUBLE<=0.65 THEN 'pbin35-65' ELSE 'pbin>65' END AS bin,
  CASE WHEN reason IS NULL THEN (SELECT sum(log10(H-i+1)-log10(i)) FROM generate_series(1,n_hp) g(i)) END AS lc FROM ce)
 SELECT split, bin, CAST(count(*) FILTER (ok) AS BIGINT) AS n_feasible, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS n_dropped, CAST(min(size) FILTER (ok) AS INTEGER) AS size_min, CAST(max(size) FILTER (ok) AS INTEGER) AS size_max, CAST(min(H) AS BIGINT) AS pool_min, CAST(max(H) AS BIGINT) AS pool_max, round(max(lc),8) AS log10_subsets FROM z GROUP BY 1,2""")
