@@ -66,14 +66,14 @@ def a17_ratio(spark, d):
     return U.peak_ratio(q, ["channel"], "ts", "y", 3600, 2).select("channel", r8("peak_fine").alias("peak_fine"), r8("peak_coarse").alias("peak_coarse"))
 
 
-DEC_SQL = """m0 AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS seed, CASE o_orderpriority WHEN '1-URGENT' THEN 'net' WHEN '2-HIGH' THEN 'O1' WHEN '3-MEDIUM' THEN 'O2' END AS method, avg(o_totalprice)/99991.0 AS wape FROM orders GROUP BY 1,2)"""
+DEC_SQL = """m0 AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS seed, CASE o_orderpriority WHEN '1-URGENT' THEN 'net' WHEN '2-HIGH' THEN 'O1' ELSE 'O2' END AS method, avg(o_totalprice)/99991.0 AS wape FROM orders GROUP BY 1,2)"""
 
 
 @query("a18_error_decomposition", f"WITH {DEC_SQL}, w AS (SELECT seed, max(wape) FILTER (method='net') AS n, max(wape) FILTER (method='O1') AS o1, max(wape) FILTER (method='O2') AS o2 FROM m0 GROUP BY 1) SELECT seed, round(n,8) AS wape_net, round(n-o1,8) AS fill_contamination, round(o1-o2,8) AS scale_dispersion, round(o2,8) AS fit_noise FROM w")
 def a18(spark, d):
     o = X.table(spark, d, "orders")
     m = o.groupBy(F.year("o_orderdate").alias("seed"), F.when(F.col("o_orderpriority") == "1-URGENT", "net").when(F.col("o_orderpriority") == "2-HIGH", "O1")
-                  .when(F.col("o_orderpriority") == "3-MEDIUM", "O2").alias("method")).agg((F.avg("o_totalprice") / X.KW).alias("wape"))
+                  .otherwise("O2").alias("method")).agg((F.avg("o_totalprice") / X.KW).alias("wape"))
     x = U.decomposition(m, ["seed"], "method", "wape", "net", "O1", "O2")
     return x.select("seed", *[r8(c).alias(c) for c in x.columns[1:]])
 

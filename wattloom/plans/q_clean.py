@@ -9,8 +9,7 @@ from ..operators import clean as C, reports as R
 from ..sources import tables as X
 from .registry import query
 
-A, B, HOURS = "2024-01-01 00:00:00", "2024-01-30 23:00:00", 720
-GRID_SQL = f"""{X.SQL_HOUR}, gh AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM hr) u, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS g(ts)),
+GRID_SQL = f"""{X.SQL_HOUR}, gh AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM hr) u, (SELECT unnest(generate_series(a_, z_, INTERVAL 1 HOUR)) AS ts FROM {X.SQL_SPAN}) AS g),
 gr AS (SELECT gh.hh, gh.ts, hr.kw FROM gh LEFT JOIN hr ON gh.hh=hr.hh AND gh.ts=hr.ts)"""
 
 def easter_table(src: str, day: str = "day") -> str:
@@ -24,7 +23,7 @@ hol AS (SELECT d.{day} AS day, strftime(d.{day}, '%m-%d') IN ('01-01','05-01','0
 
 
 def grid(spark, d):
-    return C.complete_grid(X.hourly(spark, d), ["hh"], "ts", A, B, "1 hour")
+    return C.complete_grid(X.hourly(spark, d), ["hh"], "ts", *X.span(spark, d)[:2], "1 hour")
 
 
 @query("p01_clock_conversion", f"""WITH {X.SQL_SLOT}, z AS (SELECT event_id, ts, timezone('Europe/Zurich', timezone('UTC', ts)) AS loc FROM sl)
@@ -88,10 +87,10 @@ def p07(spark, d):
 
 
 @query("p08_coverage", f"""WITH {X.SQL_HOUR}, dd AS (SELECT hh, CAST(ts AS DATE) AS day, count(*) AS n FROM hr WHERE kw IS NOT NULL GROUP BY 1,2)
-SELECT hh, round(sum(n)/720.0::DOUBLE,8) AS coverage, CAST(count(*) FILTER (n>=0.1*24) AS BIGINT) AS n_valid_days FROM dd GROUP BY 1 HAVING sum(n)/720.0>=0.05""")
+SELECT hh, round(sum(n)/{X.SQL_HOURS},8) AS coverage, CAST(count(*) FILTER (n>=0.1*24) AS BIGINT) AS n_valid_days FROM dd GROUP BY 1 HAVING sum(n)/{X.SQL_HOURS}>=0.05""")
 def p08(spark, d):
     h = X.hourly(spark, d).withColumn("day", F.to_date("ts"))
-    c = C.coverage(h, ["hh"], F.col("kw").isNotNull(), HOURS, 24, day_share=0.1)
+    c = C.coverage(h, ["hh"], F.col("kw").isNotNull(), X.span(spark, d)[2], 24, day_share=0.1)
     return c.where("coverage >= 0.05").select("hh", r8("coverage").alias("coverage"), "n_valid_days")
 
 
@@ -99,14 +98,14 @@ def gap_input(spark, d):
     """Hourly mean per channel, with the hours that had no reading as holes."""
     h = (X.slots(spark, d).groupBy(F.col("channel").alias("hh"), F.date_trunc("hour", "ts").alias("ts"))
          .agg((F.sum(F.col("kw").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("kw")))
-    g = C.complete_grid(h, ["hh"], "ts", A, B, "1 hour")
+    g = C.complete_grid(h, ["hh"], "ts", *X.span(spark, d)[:2], "1 hour")
     day = F.to_date("ts")
     return (g.withColumn("day", day).withColumn("slot", F.hour("ts")).withColumn("t", X.temperature_at(F.length("hh"), day))
             .withColumn("off", H.weekend_or_holiday(day)))
 
 
 @query("p09_fill_gaps", f"""WITH {X.SQL_SLOT}, h0 AS (SELECT channel AS hh, date_trunc('hour', ts) AS ts, CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS kw FROM sl GROUP BY 1,2),
-gg AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM h0) u, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS g(ts)),
+gg AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM h0) u, (SELECT unnest(generate_series(a_, z_, INTERVAL 1 HOUR)) AS ts FROM {X.SQL_SPAN}) AS g),
 gr AS (SELECT gg.hh, gg.ts, h0.kw FROM gg LEFT JOIN h0 ON gg.hh=h0.hh AND gg.ts=h0.ts), {INTERP_SQL}, {easter_table("(SELECT CAST(ts AS DATE) AS day FROM events)")},
 v AS (SELECT hh, ts, CAST(ts AS DATE) AS day, hour(ts) AS slot, CASE WHEN kw IS NOT NULL THEN kw WHEN v0 IS NOT NULL AND v1 IS NOT NULL AND (t1-t0)/3600-1<=1 THEN v0+(v1-v0)*(t-t0)/(t1-t0) END AS v FROM ip),
 dy AS (SELECT v.hh, v.day, {X.sql_temp('length(v.hh)','v.day')} AS t, any_value(hol OR wend) AS off, count(v)=24 AS full_ FROM v JOIN hol ON v.day=hol.day GROUP BY 1,2,3),
@@ -124,13 +123,13 @@ zb AS (SELECT *, rn-row_number() OVER (PARTITION BY hh ORDER BY ts) AS isl FROM
 
 
 @query("p10_quality_rules", f"""WITH {ZERO_SQL}, m AS (SELECT hh, max(len) AS z FROM zr GROUP BY 1),
-q AS (SELECT g.hh, count(kw)/720.0::DOUBLE AS cov, max(kw) AS mx, coalesce(any_value(z),0) AS z FROM gr g LEFT JOIN m ON g.hh=m.hh GROUP BY 1)
+q AS (SELECT g.hh, count(kw)/{X.SQL_HOURS} AS cov, max(kw) AS mx, coalesce(any_value(z),0) AS z FROM gr g LEFT JOIN m ON g.hh=m.hh GROUP BY 1)
 SELECT hh, CAST(z AS BIGINT) AS zero_run_max, round(cov,8) AS coverage, cov<0.08 AS low_coverage, mx>300 AS above_max, z>=72 AS long_zero_run,
  CASE WHEN cov<0.08 THEN 'coverage' WHEN mx>300 THEN 'above max' WHEN z>=72 THEN 'zero run' END AS dropped_by FROM q""")
 def p10(spark, d):
     g = grid(spark, d)
     z = C.longest_zero_run(g.withColumn("kw", F.coalesce("kw", F.lit(0.0))), ["hh"], "ts", "kw")
-    q = g.groupBy("hh").agg((F.count("kw") / F.lit(float(HOURS))).alias("coverage"), F.max("kw").alias("mx")).join(z, "hh")
+    q = g.groupBy("hh").agg((F.count("kw") / F.lit(float(X.span(spark, d)[2]))).alias("coverage"), F.max("kw").alias("mx")).join(z, "hh")
     rules = {"coverage": F.col("coverage") < 0.08, "above max": F.col("mx") > 300, "zero run": F.col("zero_run_max") >= 72}
     return q.select("hh", "zero_run_max", r8("coverage").alias("coverage"), rules["coverage"].alias("low_coverage"), rules["above max"].alias("above_max"),
                     rules["zero run"].alias("long_zero_run"), C.first_failed_rule(rules).alias("dropped_by"))
@@ -140,12 +139,12 @@ def power_heat(spark, d):
     """Hourly electricity (zero when silent) and heat (from 'view' readings) of each household."""
     h = X.slots(spark, d).groupBy("hh", F.date_trunc("hour", "ts").alias("ts")).agg(
         F.sum(F.when(F.col("channel") != "view", F.col("kw"))).alias("p"), F.sum(F.when(F.col("channel") == "view", F.col("kw"))).alias("q"))
-    g = C.complete_grid(h, ["hh"], "ts", A, B, "1 hour")
+    g = C.complete_grid(h, ["hh"], "ts", *X.span(spark, d)[:2], "1 hour")
     return g.select("hh", "ts", F.round(F.coalesce("p", F.lit(0.0)), 6).alias("p"), F.round("q", 6).alias("q"), X.temperature_at(F.col("hh"), F.to_date("ts")).alias("t"))
 
 
 PQ_SQL = f"""{X.SQL_SLOT}, ph AS (SELECT hh, date_trunc('hour', ts) AS ts, sum(kw) FILTER (channel<>'view') AS p, sum(kw) FILTER (channel='view') AS q FROM sl GROUP BY 1,2),
-pg AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM ph) u, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS g(ts)),
+pg AS (SELECT u.hh, g.ts FROM (SELECT DISTINCT hh FROM ph) u, (SELECT unnest(generate_series(a_, z_, INTERVAL 1 HOUR)) AS ts FROM {X.SQL_SPAN}) AS g),
 pq AS (SELECT pg.hh, pg.ts, round(coalesce(p,0),6) AS p, round(q,6) AS q, {X.sql_temp('pg.hh', 'pg.ts')} AS t FROM pg LEFT JOIN ph ON pg.hh=ph.hh AND pg.ts=ph.ts)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import high_quantile
 from ..functions.stats import r8
 from ..operators import cohorts as K, hinge as HG
-from ..session import cut_lineage
+from ..session import cut_lineage, shared
 from ..sources import tables as X
 from . import sqlparts as Q
 from .registry import query
@@ -27,8 +27,14 @@ def split_plan(spark, d):
 
 def pool_plan(spark, d):
     """Pools are read several times by every plan below: one written copy, one row per seed, household and pool."""
-    s = cut_lineage(split_plan(spark, d))
-    return cut_lineage(K.pools(s, K.inner_folds(s, FOLDS)))
+    def make():
+        s = cut_lineage(split_plan(spark, d))
+        return K.pools(s, K.inner_folds(s, FOLDS))
+    return shared(spark, "pools", _inputs(d), make)
+
+
+def _inputs(d):
+    return [f"{d}/{t}.parquet" for t in ("customer", "nation")]
 
 
 def cell_plan(spark, d):
@@ -36,9 +42,10 @@ def cell_plan(spark, d):
 
 
 def member_plan(spark, d):
-    p = pool_plan(spark, d)
-    subs = K.substations(K.plan_cells(p, SIZES, PENS, MIN_POOL, OVERLAP), PER_CELL)
-    return cut_lineage(K.draw_members(subs, p))
+    def make():
+        p = pool_plan(spark, d)
+        return K.draw_members(K.substations(K.plan_cells(p, SIZES, PENS, MIN_POOL, OVERLAP), PER_CELL), p)
+    return shared(spark, "members", _inputs(d), make)
 
 
 def daily_plan(spark, d, members=None):

@@ -9,7 +9,7 @@ from ..operators import cohorts as K, joins as J, rank as R
 from ..session import cut_lineage
 from ..sources import tables as X
 from . import q_cohorts as C, sqlparts as Q
-from .q_clean import A as T0, easter_table
+from .q_clean import easter_table
 from .registry import query
 
 
@@ -45,20 +45,21 @@ def j01_interp(spark, d):
     return j.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("stamp"), r8("t").alias("t"))
 
 
-@query("j02_quarter_hour_temperature", f"""WITH {CW_SQL}, g AS (SELECT s.station, x.ts FROM (SELECT DISTINCT station FROM cw) s, generate_series(TIMESTAMP '{T0}', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE) AS x(ts)),
+@query("j02_quarter_hour_temperature", f"""WITH {CW_SQL}, g AS (SELECT s.station, x.ts FROM (SELECT DISTINCT station FROM cw) s, (SELECT unnest(generate_series(a_, z_ + INTERVAL 45 MINUTE, INTERVAL 15 MINUTE)) AS ts FROM {X.SQL_SPAN}) AS x),
 gr AS (SELECT g.station, g.ts, t AS v, epoch(g.ts) AS e FROM g LEFT JOIN cw ON cw.station=g.station AND cw.ts=g.ts),
 ip AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN e END IGNORE NULLS) OVER p AS t0, last_value(v IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN v IS NOT NULL THEN e END IGNORE NULLS) OVER f AS t1, first_value(v IGNORE NULLS) OVER f AS v1
  FROM gr WINDOW p AS (PARTITION BY station ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY station ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT station, strftime(ts,'%Y-%m-%d %H:%M') AS stamp, round(CASE WHEN v IS NOT NULL THEN v WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 ELSE v0+(v1-v0)*(e-t0)/(t1-t0) END,8) AS t FROM ip""")
 def j02(spark, d):
-    g = J.station_grid_temperature(channel_weather(spark, d), "station", "ts", "t", T0, "2024-01-30 23:45:00", "15 minutes")
+    first, last, _ = X.span(spark, d)
+    g = J.station_grid_temperature(channel_weather(spark, d), "station", "ts", "t", first, last[:14] + "45:00", "15 minutes")
     return g.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("stamp"), r8("t").alias("t"))
 
 
-@query("j04_align_load_temperature", f"""WITH {X.SQL_ND}, l AS (SELECT station, day, kw FROM nd), t AS (SELECT DISTINCT station, day, t FROM nd WHERE day<DATE '2000-01-01') SELECT l.station, l.day, round(kw,8) AS kw, t FROM l JOIN t ON l.station=t.station AND l.day=t.day WHERE isodow(l.day)<6""")
+@query("j04_align_load_temperature", f"""WITH {X.SQL_ND}, l AS (SELECT station, day, kw FROM nd), t AS (SELECT DISTINCT station, day, t FROM nd) SELECT l.station, l.day, round(kw,8) AS kw, t FROM l JOIN t ON l.station=t.station AND l.day=t.day WHERE isodow(l.day)<6""")
 def j04(spark, d):
     n = X.nation_daily(spark, d)
-    t = n.where(F.col("day") < F.lit("2000-01-01").cast("date")).select("station", "day", "t")
+    t = n.select("station", "day", "t")
     return J.align(n.select("station", "day", "kw"), t, ["station", "day"], "day").select("station", "day", r8("kw").alias("kw"), "t")
 
 
@@ -91,10 +92,10 @@ def j06(spark, d):
     return analog_plan(spark, d).select("station", "day", "src", r8("dT").alias("dt_k"), "ddoy", "widen")
 
 
-@query("g08_analog_filler", f"""WITH {C.MEMBER_SQL}, {C.READ_TAIL}, {AM_SQL}, fs AS (SELECT sub_id, m.station, day AS src, sum(own) AS kw FROM me m JOIN rd ON m.hh=rd.hh WHERE m.role='fill' AND m.split='test' GROUP BY 1,2,3)
+@query("g08_analog_filler", f"""WITH {C.MEMBER_SQL}, {C.READ_TAIL}, {AM_SQL}, fs AS (SELECT sub_id, m.station, day AS src, sum(own) AS kw FROM me m JOIN rd ON m.hh=rd.hh WHERE m.role='fill' GROUP BY 1,2,3)
 SELECT sub_id, am.day, round(kw,8) AS kw FROM fs JOIN am ON am.station=fs.station AND am.src=fs.src""")
 def g08(spark, d):
-    m = C.member_plan(spark, d).where("role = 'fill' AND split = 'test'").select(F.col("sub_id").alias("set_id"), "station", "hh")
+    m = C.member_plan(spark, d).where("role = 'fill'").select(F.col("sub_id").alias("set_id"), "station", "hh")
     # members are summed per source day before the analog join
     s = m.join(X.daily_own(spark, d), "hh").groupBy("set_id", "station", F.col("day").alias("src")).agg(F.sum("own").alias("kw")).withColumn("slot", F.lit(0))
     return J.place_analogs(s, analog_plan(spark, d), ["station"]).select(F.col("set_id").alias("sub_id"), "day", r8("kw").alias("kw"))

@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r8
 from ..operators import reports as R
-from ..session import scratch
+from ..session import cut_lineage, scratch
 from ..sources import readers as D, tables as X
-from .q_clean import A, B
 from .registry import query
 
 
@@ -42,9 +41,9 @@ def s02(spark, d):
     return f.select(F.col("Weather_ID").alias("station"), F.date_format("Timestamp", "yyyy-MM-dd HH").alias("hour"), F.col("Temperature_avg_hourly").alias("th"), F.col("Temperature_avg_daily").alias("td"))
 
 
-@query("s02_weather_of_households", f"""WITH {X.SQL_HH}, {X.SQL_ST} SELECT hh, h.station, CAST(count(*) AS BIGINT) AS n_days, round(avg(t),8) AS t_mean FROM hh h JOIN stt USING (station) WHERE role='hp' GROUP BY 1,2""")
+@query("s02_weather_of_households", f"""WITH {X.SQL_HH}, {X.SQL_ST} SELECT hh, h.station, CAST(count(*) AS BIGINT) AS n_days, round(avg(t),8) AS t_mean FROM hh h JOIN stt USING (station) GROUP BY 1,2""")
 def s02_households(spark, d):
-    h = X.households(spark, d).where("role = 'hp'").select(F.col("hh").alias("Household_ID"), F.col("station").alias("Weather_ID"))
+    h = X.households(spark, d).select(F.col("hh").alias("Household_ID"), F.col("station").alias("Weather_ID"))
     # one summary per station first: a station's rows are not repeated for each of its households
     w = X.station_temperature(spark, d).groupBy(F.col("station").alias("Weather_ID")).agg(F.count("*").alias("n_days"), r8(F.avg("t")).alias("t_mean"))
     return D.weather_of_households(w, h, h).select(F.col("Household_ID").alias("hh"), F.col("Weather_ID").alias("station"), "n_days", "t_mean")
@@ -84,13 +83,13 @@ def s05(spark, d):
 
 
 @query("s06_utility_meters", f"""WITH {X.SQL_SLOT}, f AS (SELECT * FROM (SELECT hh, date_trunc('hour', ts) AS ts, kw, row_number() OVER (PARTITION BY hh, date_trunc('hour', ts) ORDER BY event_id) AS rn FROM sl) WHERE rn=1),
-k AS (SELECT hh FROM f GROUP BY 1 HAVING count(*)/720.0>=0.09), g AS (SELECT k.hh, x.ts FROM k, generate_series(TIMESTAMP '{A}', TIMESTAMP '{B}', INTERVAL 1 HOUR) AS x(ts)), gr AS (SELECT g.hh, g.ts, f.kw FROM g LEFT JOIN f ON f.hh=g.hh AND f.ts=g.ts),
+k AS (SELECT hh FROM f GROUP BY 1 HAVING count(*)/{X.SQL_HOURS}>=0.09), g AS (SELECT k.hh, x.ts FROM k, (SELECT unnest(generate_series(a_, z_, INTERVAL 1 HOUR)) AS ts FROM {X.SQL_SPAN}) AS x), gr AS (SELECT g.hh, g.ts, f.kw FROM g LEFT JOIN f ON f.hh=g.hh AND f.ts=g.ts),
 ip AS (SELECT hh, ts, kw, epoch(ts) AS t, last_value(CASE WHEN kw IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER p AS t0, last_value(kw IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN kw IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER f_ AS t1, first_value(kw IGNORE NULLS) OVER f_ AS v1
  FROM gr WINDOW p AS (PARTITION BY hh ORDER BY ts ROWS UNBOUNDED PRECEDING), f_ AS (PARTITION BY hh ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT hh, strftime(ts,'%Y-%m-%d %H') AS hour, round(4/0.99991::DOUBLE*CASE WHEN kw IS NOT NULL THEN kw WHEN v1 IS NULL THEN v0 WHEN v0 IS NULL THEN v1 ELSE v0+(v1-v0)*(t-t0)/(t1-t0) END,7) AS kw FROM ip""")
 def s06(spark, d):
     s = X.slots(spark, d).withColumn("ts", F.date_trunc("hour", "ts")).select("hh", "ts", "kw", "event_id")
-    u = D.utility_meters(s, ["hh"], "ts", "kw", "event_id", A, B, "1 hour", 720, 0.09, 4 / 0.99991)
+    u = D.utility_meters(s, ["hh"], "ts", "kw", "event_id", *X.span(spark, d)[:2], "1 hour", X.span(spark, d)[2], 0.09, 4 / 0.99991)
     return u.select("hh", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), F.round("kw", 7).alias("kw"))
 
 
@@ -128,14 +127,18 @@ def s10(spark, d):
     return f.select("feeder", F.to_date("slot").alias("day"), r8(F.col("kw") * 1.0007).alias("kw"), "t")
 
 
-@query("s11_daily_temperature_text", f"WITH {X.SQL_ST} SELECT day AS date, CASE WHEN dayofmonth(day)=13 THEN NULL ELSE round(t,2) END AS t, round(t,2) AS t_csv FROM stt WHERE station=2")
+@query("s11_daily_temperature_text", f"WITH {X.SQL_ST} SELECT station, day AS date, CASE WHEN dayofmonth(day)=13 THEN NULL ELSE round(t,2) END AS t, round(t,2) AS t_csv FROM stt")
 def s11(spark, d):
-    t = X.station_temperature(spark, d).where("station = 2").select("day", F.round("t", 2).alias("t"))
-    a, b = scratch(spark, "text"), scratch(spark, "csv")
-    bad = F.when(F.dayofmonth("day") == 13, "n/a").otherwise(F.format_string("%.2f", "t"))
-    t.select(F.concat(F.lit("  "), F.col("day").cast("string"), F.lit("   "), bad).alias("value")).write.text(a)
-    t.select(F.col("day").cast("string"), F.format_string("%.2f", "t")).write.csv(b)
-    return D.daily_temperature_text(spark, a).withColumnRenamed("T", "t").join(D.daily_temperature_csv(spark, b).select("date", F.col("T").alias("t_csv")), "date")
+    """Every station's daily file in two layouts, one folder per station and layout."""
+    whole = cut_lineage(X.station_temperature(spark, d).select("station", "day", F.round("t", 2).alias("t")))
+    bad, out = F.when(F.dayofmonth("day") == 13, "n/a").otherwise(F.format_string("%.2f", "t")), None
+    for (k,) in whole.select("station").distinct().orderBy("station").collect():      # one file set per station
+        t, a, b = whole.where(F.col("station") == k), scratch(spark, "text"), scratch(spark, "csv")
+        t.select(F.concat(F.lit("  "), F.col("day").cast("string"), F.lit("   "), bad).alias("value")).write.text(a)
+        t.select(F.col("day").cast("string"), F.format_string("%.2f", "t")).write.csv(b)
+        x = D.daily_temperature_text(spark, a).withColumnRenamed("T", "t").join(D.daily_temperature_csv(spark, b).select("date", F.col("T").alias("t_csv")), "date").withColumn("station", F.lit(k))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @query("s12_tall_meters", """SELECT l_suppkey AS meter, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE WHEN l_discount>0.09 THEN 1 ELSE 0 END) AS INTEGER) AS flag, CAST(min(l_shipdate) AS DATE) AS first_day, CAST(max(l_shipdate) AS DATE) AS last_day,

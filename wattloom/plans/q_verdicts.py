@@ -141,16 +141,18 @@ def t06_keep(spark, d):
     return V.keep_ensemble(V.verdict(step_rows(spark, d), ["fam", "cell", "step"], "d", share=0.5), ["fam"], "cell", ("F", "O"))
 
 
-@query("t07_transfer_outcome", f"""WITH {STEP_SQL}, {verdict_sql('fam, cell', 'st', share=0.5)} SELECT fam, CASE WHEN count(*) FILTER (verdict='worse')>0 THEN 'refuted' WHEN count(*) FILTER (verdict='better')=2 THEN 'confirmed' WHEN count(*) FILTER (verdict='better')=1 THEN 'partly confirmed' ELSE 'not confirmed' END AS outcome FROM vd WHERE cell<>'P' GROUP BY 1""")
+@query("t07_transfer_outcome", f"""WITH {STEP_SQL}, s2 AS (SELECT * REPLACE (CASE WHEN cell='F' THEN 'F' ELSE 'open' END AS cell) FROM st), {verdict_sql('fam, cell', 's2', share=0.5)} SELECT fam, CASE WHEN count(*) FILTER (verdict='worse')>0 THEN 'refuted' WHEN count(*) FILTER (verdict='better')=2 THEN 'confirmed' WHEN count(*) FILTER (verdict='better')=1 THEN 'partly confirmed' ELSE 'not confirmed' END AS outcome FROM vd GROUP BY 1""")
 def t07(spark, d):
-    v = V.verdict(step_rows(spark, d), ["fam", "cell"], "d", share=0.5).where("cell <> 'P'")
+    """Two directions: finished orders, and all that are open."""
+    s = step_rows(spark, d).withColumn("cell", F.when(F.col("cell") == "F", "F").otherwise("open"))
+    v = V.verdict(s, ["fam", "cell"], "d", share=0.5)
     return V.transfer_outcome(v, ["fam"])
 
 
 @query("t08_gain_over_baseline", f"""WITH {M_SQL}, b AS (SELECT seed, cell, fam AS best_base, value AS bv FROM (SELECT *, row_number() OVER (PARTITION BY seed, cell ORDER BY value, fam) AS rn FROM mt WHERE rung='L1') WHERE rn=1)
-SELECT mt.seed, mt.cell, mt.fam, round(value,8) AS value, best_base, round(bv-value,8) AS gain FROM mt JOIN b USING (seed, cell) WHERE rung='L3'""")
+SELECT mt.seed, mt.cell, mt.rung||' '||mt.fam AS fam, round(value,8) AS value, 'L1 '||best_base AS best_base, round(bv-value,8) AS gain FROM mt JOIN b USING (seed, cell) WHERE rung<>'L1'""")
 def t08(spark, d):
-    m = metrics(spark, d).where("rung <> 'L2'")
+    m = metrics(spark, d).withColumn("fam", F.concat_ws(" ", "rung", "fam"))
     g = V.gain_over_best(m, "seed", ["cell"], F.col("rung") == "L1", "fam", "value")
     return g.select("seed", "cell", "fam", r8("value").alias("value"), "best_base", r8("gain").alias("gain"))
 

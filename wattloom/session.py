@@ -5,6 +5,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,25 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHARED: dict[tuple, str] = {}
+
+
+def shared(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several plans of a session derive from the same inputs, written once. It is made anew when an input was written since, or when its copy is gone."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def changed(path: str) -> int:
+        p = hadoop.Path(path)
+        return p.getFileSystem(conf).getFileStatus(p).getModificationTime()
+    key = (spark.sparkContext.applicationId, name, *((i, changed(i)) for i in inputs))
+    copy = hadoop.Path(_SHARED[key]) if key in _SHARED else None
+    if copy is None or not copy.getFileSystem(conf).exists(copy):
+        path = scratch(spark, name)
+        make().write.parquet(path)
+        _SHARED[key] = path
+    return spark.read.parquet(_SHARED[key])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to a table in the shared folder and read them back.
 

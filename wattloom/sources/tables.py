@@ -91,6 +91,14 @@ def slots(spark, d) -> DataFrame:
                     F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("kw"), "event_id"))
 
 
+def span(spark, d) -> tuple[str, str, int]:
+    """First and last hour of the sub-daily readings, and the number of hours between, both included."""
+    ts = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    a, z, n = table(spark, d, "events").agg(F.date_format(F.min(ts), "yyyy-MM-dd HH:mm:ss"), F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss"),
+                                            ((F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))) / 3600 + 1).cast("int")).first()
+    return a, z, n
+
+
 def hourly(spark, d) -> DataFrame:
     """hh, ts (hour), kw: mean of the hour's readings; silent hours have no row."""
     return (slots(spark, d).groupBy("hh", F.date_trunc("hour", "ts").alias("ts"))
@@ -123,6 +131,8 @@ SQL_ND = f"""nd0 AS (SELECT c_nationkey AS station, CAST(o_orderdate AS DATE) AS
  FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2),
 nd1 AS (SELECT *, {sql_temp('station', 'day')} AS t FROM nd0),
 nd AS (SELECT station, day, t, kw + 0.3::DOUBLE*greatest(0.0::DOUBLE, 15-t) AS y, kw FROM nd1)"""
+SQL_SPAN = "(SELECT date_trunc('hour', min(ts)) AS a_, date_trunc('hour', max(ts)) AS z_ FROM events)"
+SQL_HOURS = f"(SELECT CAST(date_diff('hour', a_, z_)+1 AS DOUBLE) FROM {SQL_SPAN})"
 SQL_SLOT = "sl AS (SELECT user_id AS hh, event_type AS channel, ts, value AS kw, event_id FROM events)"
 SQL_HOUR = f"""{SQL_SLOT}, hr AS (SELECT hh, date_trunc('hour', ts) AS ts,
  CAST(sum(CAST(kw AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS kw FROM sl GROUP BY 1,2)"""
