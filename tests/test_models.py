@@ -133,3 +133,22 @@ def test_gram_by_partition_equals_sums(spark, monkeypatch):
     want = {(r.k, r.f): r for r in L.gram(d, ["k", "f"], names, "y").collect()}
     assert got.keys() == want.keys() and len(got) == 6
     assert all(got[k].n == want[k].n and np.allclose(got[k].g, want[k].g, atol=1e-9) for k in got)
+
+
+def test_log_matching_forms_no_pairs(spark):
+    """Bands of a step function of cents with exact borders, and 40,000 rows of nearly one value, against counts by hand."""
+    g = np.random.default_rng(3)
+    cents = np.r_[g.integers(0, 400, 300), -g.integers(0, 400, 100)] * 10
+    rows = [(int(i % 3) or None, i, float(c) / 1000) for i, c in enumerate(cents)] + [(1, 900, None), (1, 901, float("nan")), (1, 902, float("inf")), (1, 903, 1e9), (1, 5, 3.0), (1, 5, 3.0)]
+    logs = [(int(k % 3) or None, float(c) / 1000, [None, "a", "a", "a", "b"][int(k) % 5]) for k, c in enumerate(g.integers(-400, 400, 500) * 10)] + [(1, None, "a"), (1, float("nan"), "a"), (1, float("inf"), "b")]
+    r, l = spark.createDataFrame(rows, "k int, id int, v double"), spark.createDataFrame(logs, "k int, w double, p string")
+    got = {(x.k, x.id): (x.n_matches, x.status, x.params) for x in V.match_logs(r, l, ["k"], "v", "w", "p").collect()}
+    assert len(got) == len(set(map(str, rows)))
+    for k, i, v in rows:
+        hit = [p for key, w, p in logs if k is not None and key == k and None not in (v, w) and abs(w - v) <= 0.05]
+        kinds = {p for p in hit if p}
+        assert got[k, i] == (len(hit) * (2 if i == 5 and k == 1 and v == 3.0 else 1), ["no log line", "ok", "ambiguous"][min(len(kinds), 2)], min(kinds) if len(kinds) == 1 else None), (k, i, v)
+    n = 40000
+    d = spark.range(n).select(F.lit(1).alias("k"), F.col("id"), (7 + (F.col("id") % 4) / 1e6).alias("v"), F.lit("a").alias("p"))
+    one = V.match_logs(d.select("k", "id", "v"), d.select("k", "v", "p"), ["k"], "v", "v", "p").agg(F.count("*"), F.min("n_matches"), F.max("n_matches")).first()
+    assert tuple(one) == (n, n, n)

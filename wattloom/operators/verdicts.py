@@ -1,6 +1,8 @@
 """Paired decision rules on long metric tables (T rows). Units are seeds; every table here is an aggregate of experiments."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .estimators import fit_power_law, n_star
@@ -157,17 +159,50 @@ def log_parameters(lines: DataFrame, text: str, pattern: str, names: list[str])
     return lines.where(F.col(text).rlike(pattern)).select(*[c for c in lines.columns if c != text], *[F.regexp_extract(text, pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
-def match_logs(rows: DataFrame, logs: DataFrame, keys: list[str], row_value: str, log_value: str, params: str, tol: float = 0.05) -> DataFrame:
-    """Parameters of the log lines whose value lies within `tol` of the row's; they must agree to count. The band is an equi join on
-    value buckets of width `tol`, each log line in its own and the two neighbouring buckets."""
-    b = lambda c: F.floor(c / tol)
-    l = logs.select(*keys, F.col(log_value).alias("_lv"), F.col(params).alias("_p")).withColumn("_b", F.explode(F.array(*[b(F.col("_lv")) + o for o in (-1, 0, 1)])))
-    r = rows.withColumn("_b", b(F.col(row_value)))
-    hit = F.abs(F.col("_lv") - F.col(row_value)) <= tol
-    j = r.join(l, keys + ["_b"], "left")
-    g = j.groupBy(*rows.columns).agg(F.count_if(hit).alias("n_matches"), F.min(F.when(hit, F.col("_p"))).alias("_lo"), F.max(F.when(hit, F.col("_p"))).alias("_hi"))
-    return g.select(*rows.columns, "n_matches", F.when(F.col("_lo").isNull(), "no log line").when(F.col("_lo") == F.col("_hi"), "ok").otherwise("ambiguous").alias("status"),
-                    F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("params"))
+def match_logs(rows: DataFrame, logs: DataFrame, keys: list[str], row_value: str, log_value: str, params: str, tol: float = 0.05, span: int = 16) -> DataFrame:
+    """Parameters of the log lines whose value lies within `tol` of the row's; they must agree to count.
+
+    No pairs are formed: the distinct values of both sides meet in stretches of `span` tolerances (a log line also in a neighbouring stretch that
+    its band reaches). There the log lines are sorted, a row's band is one piece of them, and running sums give its count; its parameters agree if
+    the run of equal ones at its start reaches its end."""
+    width = span * tol
+    at = lambda c: F.floor(c / width)
+    finite = lambda c: F.abs(c) < float("inf")
+    v, edge = F.col("_v"), F.lit(1.001 * tol)
+    l = logs.select(*keys, F.col(log_value).cast("double").alias("_v"), F.col(params).alias("_p")).where(finite(v)).groupBy(*keys, "_v", "_p").agg(F.count("*").alias("_c"))
+    l = l.withColumn("_b", F.explode(F.array_distinct(F.array(at(v - edge), at(v), at(v + edge)))))
+    r = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times")).withColumn("_v", F.col(row_value).cast("double"))
+    asked = r.select(*keys, "_v").where(finite(v)).distinct().withColumn("_b", at(v))
+
+    def meet(q: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("_v")
+        x, y = found["_v"].to_numpy(), q["_v"].to_numpy()
+        before = np.r_[0, np.cumsum(found["_c"].to_numpy())]
+        lo, hi = np.searchsorted(x, y - tol), np.searchsorted(x, y + tol, "right")
+        # the sums above are rounded; what counts is the rounded difference
+        padded = np.r_[-np.inf, x, np.inf]
+        for end, outward, inside in ((lo, -1, lambda i: y - padded[i] <= tol), (hi, 1, lambda i: padded[i + 1] - y <= tol)):
+            while (more := inside(end)).any():
+                end[more] += outward
+        while (less := (lo < hi) & (y - padded[lo + 1] > tol)).any():
+            lo[less] += 1
+        while (less := (lo < hi) & (padded[hi] - y > tol)).any():
+            hi[less] -= 1
+        known = np.flatnonzero(found["_p"].is_valid().to_numpy())
+        p = found["_p"].take(pa.array(known))
+        code = p.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(p) else np.zeros(0, int)
+        last = np.r_[np.flatnonzero(code[1:] != code[:-1]), max(len(code) - 1, 0)]          # the last place of each run of equal parameters
+        first, end = np.searchsorted(known, lo), np.searchsorted(known, hi)
+        some = first < end
+        one = np.zeros(len(y), bool)
+        one[some] = last[np.searchsorted(last, first[some])] >= end[some] - 1
+        value = p.take(pa.array(np.where(one, first, 0), mask=~one)) if len(p) else pa.nulls(len(y), p.type)
+        return pa.table({**{c: q[c] for c in [*keys, "_v"]}, "_n": before[hi] - before[lo], "_some": some, "_one": value})
+    schema = asked.select(*keys, "_v").schema.add("_n", "long").add("_some", "boolean").add("_one", logs.schema[params].dataType)
+    m = asked.groupBy(*keys, "_b").cogroup(l.groupBy(*keys, "_b")).applyInArrow(meet, schema)
+    j = r.join(m, [*keys, "_v"], "left")
+    return j.select(*rows.columns, F.coalesce(F.col("_n") * F.col("_times"), F.lit(0)).cast("bigint").alias("n_matches"),
+                    F.when(~F.coalesce("_some", F.lit(False)), "no log line").when(F.col("_one").isNotNull(), "ok").otherwise("ambiguous").alias("status"), F.col("_one").alias("params"))
 
 
 def carry_forward(plan: DataFrame, family: str, inner: str, top: int = 2, near: float = 1.0, always: str = "linear") -> DataFrame:
