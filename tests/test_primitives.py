@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import Window as W, functions as F
 
 from wattloom.functions.hashing import digest, draw_positions, hash_rank
+from wattloom.functions import stats as S
 from wattloom.functions.scan import chunked_scan, exact_quantiles
 
 
@@ -84,3 +85,12 @@ def test_dates(spark):
           (2021, 12, 27, True), (2021, 12, 28, True), (2022, 1, 3, True), (2022, 12, 27, True), (2022, 12, 28, False)]
     g = spark.createDataFrame([(dt.date(*x[:3]),) for x in gb], "d date").select(weekend_or_holiday(F.col("d"), "GB-ENG")).collect()
     assert [r[0] for r in g] == [x[3] for x in gb]
+
+
+def test_correlation_without_spread_is_null(spark):
+    rows = [(1, 2.0, 1.0), (1, 2.0, 3.0), (1, 2.0, 8.0), (2, 1.0, 4.0), (2, 3.0, 4.0), (3, 1.0, 2.0), (3, 2.0, 3.0), (3, 4.0, 9.0), (3, None, 5.0), (4, 5.0, 5.0)]
+    d = spark.createDataFrame(rows, "k int, x double, y double")
+    got = {r.k: (r.a, r.b) for r in d.groupBy("k").agg(S.corr("x", "y").alias("a"), S.corr_guarded("x", "y").alias("b")).collect()}
+    want = np.corrcoef([1, 2, 4], [2, 3, 9])[0, 1]
+    assert got[1] == got[2] == got[4] == (None, None)
+    assert abs(got[3][0] - want) < 1e-12 and abs(got[3][1] - want) < 1e-12

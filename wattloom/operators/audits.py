@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest, hash_int, hash_rank
 from ..functions.scan import exact_quantiles
+from ..functions.stats import corr
 from ..session import cut_lineage
 from .aggregate import penetration_bin, score
 from .hinge import fit_hinge
@@ -124,7 +125,7 @@ def fit_diagnostics(tab: DataFrame, keys: list[str]) -> DataFrame:
 def correlations(tab: DataFrame, keys: list[str], target: str, cols: list[str]) -> DataFrame:
     """Correlation of each column with the target, long; overall when `keys` is empty."""
     g = tab.groupBy(*keys) if keys else tab.groupBy()
-    w = g.agg(*[F.corr(c, target).alias(c) for c in cols])
+    w = g.agg(*[corr(c, target).alias(c) for c in cols])
     return w.unpivot(keys, cols, "feature", "corr")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
-from ..functions.stats import r8
+from ..functions.stats import corr, r8
 from ..operators import aggregate as A, cohorts as K, estimators as E, hinge as HG, linear as L, models as M
 from ..session import cut_lineage
 from ..sources import tables as X
@@ -497,4 +497,4 @@ def r25(spark, d):
     e = estimate_plan(spark, d).where("split = 'test' AND ratio_valid AND corrected_valid")
     z = e.select("seed", (F.col("size") * F.col("s0") / F.col("m_full")).alias("expected"), (F.col("ratio") - F.col("corrected")).alias("actual"))
     return z.groupBy("seed").agg(F.count("*").alias("n"), F.round(F.percentile("expected", 0.5), 6).alias("expected"), F.round(F.percentile("actual", 0.5), 6).alias("actual"),
-                                 F.round(F.avg("actual") / F.avg("expected"), 6).alias("shift_ratio"), F.round(F.corr("expected", "actual"), 6).alias("corr"))
+                                 F.round(F.avg("actual") / F.avg("expected"), 6).alias("shift_ratio"), F.round(corr("expected", "actual"), 6).alias("corr"))
