@@ -130,3 +130,26 @@ def test_scan_reads_only_what_it_needs(spark):
     s = D.scan_channels(spark, "/root/testdata/sf0.001/lineitem.parquet", ["l_quantity"], "l_suppkey", "l_shipdate", "1996-01-01", "1996-02-01")
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "PushedFilters: [" in plan and "GreaterThanOrEqual(l_shipdate" in plan
+
+
+def test_silent_heat_near_zero_runs_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    for step, context in ((3600, 24), (1800, 2), (3600, 0)):
+        n = 1200
+        p, q = np.where(r.random(n) < 0.5, 0.0, 1.0), np.zeros(n)
+        for a in r.integers(0, n - 40, 14):
+            p[a:a + r.integers(10, 40)] = 0
+        q[r.integers(0, n, 6)] = 2.0
+        d = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=step * i), float(p[i]), float(q[i]), 5.0) for i in range(n)], "hh string, ts timestamp, p double, q double, t double")
+        got = C.zero_run_dropouts(d, ["hh"], "ts", "p", "q", "t", step, context=context).orderBy("start").collect()
+        edge = np.flatnonzero(np.diff(np.r_[1, p != 0, 1].astype(int)))
+        runs = [(a, b) for a, b in zip(edge[::2], edge[1::2]) if b - a >= 12]
+        silent = np.flatnonzero((q > 1) & (p < 0.02))
+        assert [x.near_silent for x in got] == [bool(((silent >= a - context) & (silent <= b - 1 + context)).any()) for a, b in runs] and len(got) > 5
+
+
+def test_grid_is_not_broadcast(spark):
+    """A filter on the readings makes the join an inner one, and the planner takes the grid for as small as its entities."""
+    d = spark.range(50).select(F.col("id").alias("hh"), F.lit(T0).alias("ts"), F.lit(1.0).alias("v"))
+    g = C.complete_grid(d, ["hh"], "ts", "2022-01-01 00:00:00", "2022-03-01 00:00:00", "1 hour").where("v > 0")
+    assert "Broadcast" not in g._jdf.queryExecution().executedPlan().toString()
