@@ -178,3 +178,10 @@ def test_netfit_has_29_columns_and_null_rule(spark):
     r = {x.e: x for x in n.collect()}
     assert abs(r["a"].nf_all_s_h - 0.8) < 1e-6 and abs(r["a"].nf_we_s_h - 0.8) < 1e-6 and abs(r["a"].nf_ratio_sh_we_wd - 1) < 1e-6
     assert r["b"].nf_we_s_h is None and r["b"].nf_all_s_h is not None
+
+
+def test_saturation_arm_of_a_constant_factor_is_null(spark):
+    rows = [(1, float(t), 1.0, 14.0) for t in range(12)] + [(2, float(t), (14 - t) / 20, 14.0) for t in range(12)]
+    got = {r[0]: tuple(r)[1:] for r in H.saturation_arm(spark.createDataFrame(rows, "k int, t double, sf double, th double"), ["k"], "t", "sf", "th").collect()}
+    assert got[1] == (12, None, None, None, None)
+    assert got[2][0] == 12 and np.allclose(got[2][1:], (0, 0.05, 0.7, 1))

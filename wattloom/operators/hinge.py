@@ -241,4 +241,4 @@ def saturation_arm(df: DataFrame, keys: list[str], t: str, sf: str, t_h: str, mi
     ok = (F.col("n") >= min_points) & (F.col("sd") > 0)
     m, b = F.when(ok, F.col("m0")), F.when(ok, F.col("b0"))
     return g.select(*keys, F.col("n").cast("bigint").alias("n_arm"), b.alias("b"), m.alias("m"),
-                    F.least(F.lit(1.0), F.greatest(F.lit(0.0), b + m * F.col("ext"))).alias("sf_extreme"), F.when(ok, F.col("r0")).alias("arm_r2"))
+                    F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), b + m * F.col("ext")))).alias("sf_extreme"), F.when(ok, F.col("r0")).alias("arm_r2"))

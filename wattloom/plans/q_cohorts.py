@@ -235,8 +235,8 @@ def r05(spark, d):
 
 
 @query("r06_saturation_arm", f"""WITH {X.SQL_ND}, z AS (SELECT station, 14.0::DOUBLE-t AS x, least(1.0::DOUBLE, greatest(0.0::DOUBLE, y/20)) AS sf FROM nd),
-g AS (SELECT station, count(*) FILTER (x>0) AS n, regr_slope(sf,x) FILTER (x>0) AS m, regr_intercept(sf,x) FILTER (x>0) AS b, regr_r2(sf,x) FILTER (x>0) AS r2, max(x) AS ext FROM z GROUP BY 1)
-SELECT station, CAST(n AS BIGINT) AS n_arm, round(b,8) AS b, round(m,8) AS m, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, b+m*ext)),8) AS sf_extreme, round(r2,8) AS arm_r2 FROM g WHERE n>=10""")
+g AS (SELECT station, count(*) FILTER (x>0) AS n, regr_slope(sf,x) FILTER (x>0) AS m, regr_intercept(sf,x) FILTER (x>0) AS b, regr_r2(sf,x) FILTER (x>0) AS r2, stddev_pop(sf) FILTER (x>0)>0 AS ok, max(x) AS ext FROM z GROUP BY 1)
+SELECT station, CAST(n AS BIGINT) AS n_arm, CASE WHEN ok THEN round(b,8) END AS b, CASE WHEN ok THEN round(m,8) END AS m, CASE WHEN ok THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, b+m*ext)),8) END AS sf_extreme, CASE WHEN ok THEN round(r2,8) END AS arm_r2 FROM g WHERE n>=10""")
 def r06(spark, d):
     n = X.nation_daily(spark, d).withColumn("sf", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("y") / 20))).withColumn("th", F.lit(14.0))
     s = HG.saturation_arm(n, ["station"], "t", "sf", "th").where("n_arm >= 10")
