@@ -140,3 +140,11 @@ def test_bathtub_is_never_above_a_fine_grid(spark):
         fit = r.P_base + r.s_heat * np.maximum(0, (r.T_heat or 0) - T) + r.s_cool * np.maximum(0, T - (r.T_cool or 0))
         assert r.sse <= grid + 1e-6 and r.sse == pytest.approx(((Y - fit) ** 2).sum(), abs=1e-6) and min(r.P_base, r.s_heat, r.s_cool) >= 0
         assert r.T_heat is None or r.T_cool is None or 0 <= r.T_cool - r.T_heat <= 24
+
+
+def test_bootstrap_replicates_are_dealt_to_many_tasks(spark):
+    """Few keys don't put all replicates into one task."""
+    d = spark.range(200).select(F.col("id").alias("i"), F.lit("a").alias("k"), (F.col("id") + 1.0).alias("y"), (F.col("id") * 1.1).alias("p"))
+    plan = U.row_bootstrap(d, ["k"], "i", 40, 0, "y", "p", block=16)._jdf.queryExecution().executedPlan().toString()
+    units = plan[plan.index("MapInArrow"):].split("Exchange")[1]
+    assert "REPARTITION_BY_NUM" in units and int(units.split("_b#")[1].split(", ")[1].rstrip(")")) > 1

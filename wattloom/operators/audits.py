@@ -48,30 +48,36 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 16)
 
 
+#: Draws of a bootstrap that one task makes.
+PER_TASK = 1 << 27
+
+
 def row_bootstrap(pred: DataFrame, keys: list[str], row: str, n_boot: int, seed: int, y: str, p: str, block: int = 1000, at_once: int = 1 << 22) -> DataFrame:
     """Bootstrap of the MAPE over rows: each replicate draws n of a key's n rows with replacement. Rows whose truth is 0 or NULL or whose prediction is NULL don't count.
 
     A replicate's draws are first counted by block of rows (ranges of the rows' hash order), then each block deals its draws to its rows. Only counts by
     replicate and block and sums by replicate and block are exchanged; a row meets all replicates in its block's task, so no rows x replicates table arises. A key of any size is
-    cut to blocks, and its draws to ranges of `at_once`."""
+    cut to blocks, and a replicate's draws are counted `at_once` by `at_once`."""
     e = F.abs(F.col(p) - F.col(y)) / F.abs(F.col(y))
     d = hash_rank(pred.withColumn("_e", F.when(F.col(y) != 0, e)).where("_e IS NOT NULL"), keys, digest(F.lit(seed), F.col(row)))
     d = cut_lineage(d.select(*keys, F.floor(F.col("pos") / block).cast("int").alias("_block"), (F.col("pos") % block).cast("int").alias("_at"), "_e", F.col("pool_size").alias("_n"), hash_int(F.lit(seed), *[F.col(k) for k in keys]).alias("_key")))
-    units = (d.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_key").alias("_key")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
-             .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(at_once).cast("long")))))
+    units = (d.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_key").alias("_key"))
+             .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long")))))
+    # few rows of units stand for n_boot x rows draws: as many tasks as the draws ask for
+    tasks = max(2 * pred.sparkSession.sparkContext.defaultParallelism, -(-n_boot * d.count() // PER_TASK))
+    units = units.repartition(tasks, *keys, "_b")
 
     def count(batches):
         for t in batches:
-            out = []
-            for i, (n, key, b, lo) in enumerate(zip(*(t.column(c).to_pylist() for c in ("_n", "_key", "_b", "_from")))):
-                m = np.bincount(draws(np.int64(key + b), np.arange(lo, min(lo + at_once, n)), n) // block)
+            for i, (n, key, b) in enumerate(zip(*(t.column(c).to_pylist() for c in ("_n", "_key", "_b")))):
+                m = np.zeros(-(-n // block), np.int64)
+                for lo in range(0, n, at_once):
+                    m += np.bincount(draws(np.int64(key + b), np.arange(lo, min(lo + at_once, n)), n) // block, minlength=len(m))
                 hit = np.flatnonzero(m)
-                out.append((np.full(len(hit), i), hit, m[hit]))
-            i, hit, m = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
-            rows = t.take(pa.array(i)).select([*keys, "_key", "_b"])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hit, pa.int32()), pa.array(m, pa.int64())], [*rows.schema.names, "_block", "_m"])
+                row = t.take(pa.array(np.full(len(hit), i))).select([*keys, "_key", "_b"])
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array(hit, pa.int32()), pa.array(m[hit], pa.int64())], [*row.schema.names, "_block", "_m"])
     of_keys = units.select(*keys, "_key", "_b").schema
-    counts = units.mapInArrow(count, of_keys.add("_block", "integer").add("_m", "long")).groupBy(*keys, "_key", "_b", "_block").agg(F.sum("_m").alias("_m"))
+    counts = units.mapInArrow(count, of_keys.add("_block", "integer").add("_m", "long")).repartition(tasks, *keys, "_block")
 
     def deal(key, rows, counts):
         v = np.zeros(rows.num_rows)
@@ -83,7 +89,7 @@ def row_bootstrap(pred: DataFrame, keys: list[str], row: str, n_boot: int, seed:
             sums.append(float(v[at].sum()))
         t = counts.select([*keys, "_b", "_m"])
         return t.append_column("_s", pa.array(sums, pa.float64()))
-    part = (d.select(*keys, "_block", "_at", "_e").groupBy(*keys, "_block").cogroup(counts.groupBy(*keys, "_block"))
+    part = (d.select(*keys, "_block", "_at", "_e").repartition(tasks, *keys, "_block").groupBy(*keys, "_block").cogroup(counts.groupBy(*keys, "_block"))
             .applyInArrow(deal, counts.select(*keys, "_b", "_m").schema.add("_s", "double")))
     g = part.groupBy(*keys, "_b").agg((F.sum("_s") / F.sum("_m") * 100).alias("m"), F.sum("_m").alias("n"))
     return g.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.stddev_samp("m").alias("sd"), F.min("n").alias("n_least"), F.max("n").alias("n_most"))
