@@ -221,8 +221,8 @@ SELECT sw.sub_id, split, station, size, n_hp, round(y,6) AS HP_Peak, round(c,6)
 def g05_targets(spark, d):
     """Loads and targets of these substations from half-hour slots."""
     s, m = without_replacement(spark, d)
-    a = K.aggregate_slots(m, X.slot_readings(spark, d), X.SLOTS).groupBy("sub_id").agg(F.max("hp_max").alias("HP_CoincPeak"), F.max("net_max").alias("peak"), F.sum("net").alias("day_loads"))
-    y = m.where("role = 'hp'").join(C.peak_plan(spark, d), "hh", "left").groupBy("sub_id").agg(F.sum("hp_peak").alias("HP_Peak"))
+    a = K.aggregate_slots(m, C.slots_of(spark, d, m), X.SLOTS).groupBy("sub_id").agg(F.max("hp_max").alias("HP_CoincPeak"), F.max("net_max").alias("peak"), F.sum("net").alias("day_loads"))
+    y = m.where("role = 'hp'").join(C.peak_plan(spark, d, m), "hh", "left").groupBy("sub_id").agg(F.sum("hp_peak").alias("HP_Peak"))
     return s.join(y, "sub_id").join(a, "sub_id").select("sub_id", "split", "station", "size", "n_hp", *[F.round(c, 6).alias(c) for c in ("HP_Peak", "HP_CoincPeak", "peak")], F.round("day_loads", 5).alias("day_loads"))
 
 

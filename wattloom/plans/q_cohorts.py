@@ -48,6 +48,22 @@ def member_plan(spark, d):
     return shared(spark, "members", _inputs(d), make)
 
 
+def readings_plan(spark, d):
+    """Daily readings with `train`, the seeds that have the household on their train side: one written copy, so that a plan sums the orders by household and day once."""
+    def make():
+        return K.with_train_seeds(X.daily_readings(spark, d), pool_plan(spark, d))
+    return shared(spark, "readings", [*_inputs(d), f"{d}/orders.parquet"], make)
+
+
+def train_days_plan(spark, d):
+    """Day sums n, hp, own of the train households by seed, role and station: all pilots and dwelling slopes are sums of these rows."""
+    return shared(spark, "train_days", [*_inputs(d), f"{d}/orders.parquet"], lambda: K.train_days(readings_plan(spark, d)))
+
+
+def temperature_plan(spark, d):
+    return shared(spark, "temperature", [f"{d}/orders.parquet"], lambda: X.station_temperature(spark, d))
+
+
 def daily_plan(spark, d, members=None):
     m = member_plan(spark, d) if members is None else members
     a = K.aggregate_daily(m, X.daily_readings(spark, d))
@@ -57,19 +73,24 @@ def daily_plan(spark, d, members=None):
 
 def slot_plan(spark, d, members):
     """Substation loads by day and slot, written once: fits, peaks and windowed features all read this copy."""
-    a = K.aggregate_slots(members, X.slot_readings(spark, d), X.SLOTS)
+    a = K.aggregate_slots(members, slots_of(spark, d, members), X.SLOTS)
     return cut_lineage(a.withColumn("t", X.temperature_at(F.split("sub_id", r"\|")[2].cast("int"), F.col("day"))))
 
 
-def peak_plan(spark, d):
-    """Robust peak of each HP household: the 99.9th percentile of its slot loads."""
-    r = X.slot_readings(spark, d).where("role = 'hp'")
+def slots_of(spark, d, members):
+    """Slot readings of the members alone: a day gets its 96 slot loads only where a substation needs them."""
+    return X.slot_readings(spark, d, readings_plan(spark, d).join(members.select("hh"), "hh", "left_semi"))
+
+
+def peak_plan(spark, d, members=None):
+    """Robust peak of each HP household (of the members, where given): the 99.9th percentile of its slot loads."""
+    r = (X.slot_readings(spark, d) if members is None else slots_of(spark, d, members.where("role = 'hp'"))).where("role = 'hp'")
     return high_quantile(r, ["hh"], "hp_slots", F.trunc("day", "month"), 0.999, "hp_peak")
 
 
 def target_plan(spark, d):
     m = member_plan(spark, d)
-    return K.targets(m, slot_plan(spark, d, m), peak_plan(spark, d))
+    return K.targets(m, slot_plan(spark, d, m), peak_plan(spark, d, m))
 
 
 # ------------------------------------------------------------------ the same as SQL

@@ -23,19 +23,25 @@ def rsql(cols, n=6):
 
 # ------------------------------------------------------------------ pilots
 def train_hp(spark, d):
-    return C.split_plan(spark, d).where("split = 'train' AND role = 'hp'").select("seed", "hh", "station", "cap")
+    return C.pool_plan(spark, d).where("split = 'train' AND role = 'hp'").select("seed", "hh", "station", "cap")
+
+
+def summed(days, keys):
+    return days.groupBy(*keys, "day").agg(*[F.sum(c).alias(c) for c in ("n", "hp", "own")])
 
 
 def pilot_sets(spark, d, min_station=10):
     """seed, pilot ('all' or a station with enough HP homes), hh, station, cap."""
-    t = cut_lineage(train_hp(spark, d))
+    t = train_hp(spark, d)
     n = t.groupBy("seed", "station").agg(F.count("*").alias("n")).where(F.col("n") >= min_station).select("seed", "station")
     per = t.join(n, ["seed", "station"]).withColumn("pilot", F.concat(F.lit("S"), F.col("station").cast("string")))
     return cut_lineage(t.withColumn("pilot", F.lit("all")).unionByName(per))
 
 
 def pilot_plan(spark, d):
-    return E.pilots(pilot_sets(spark, d), ["seed", "pilot"], X.daily_readings(spark, d), X.station_temperature(spark, d))
+    sets = pilot_sets(spark, d)
+    days = C.train_days_plan(spark, d).where("role = 'hp'").join(sets.select("seed", "pilot", "station").distinct(), ["seed", "station"])
+    return E.pilots(sets, ["seed", "pilot"], None, C.temperature_plan(spark, d), summed(days, ["seed", "pilot"]))
 
 
 def pilot_sql(name: str, sets: str, keys: str) -> str:
@@ -71,9 +77,10 @@ def r07(spark, d):
 
 
 def s0_plan(spark, d):
-    fill = cut_lineage(C.split_plan(spark, d).where("split = 'train' AND role = 'fill'").select("seed", "hh", "station", "cap"))
-    r = X.daily_readings(spark, d).withColumn("own", F.col("own") + 0.004 * F.greatest(F.lit(0.0), 16 - F.col("t")))
-    return E.dwelling_slope(fill, ["seed"], r, X.station_temperature(spark, d))
+    fill = C.pool_plan(spark, d).where("split = 'train' AND role = 'fill'").select("seed", "hh", "station", "cap")
+    heat = 0.004 * F.greatest(F.lit(0.0), 16 - X.temperature_at(F.col("station"), F.col("day")))      # of each home with a reading: a station's homes share its temperature
+    days = C.train_days_plan(spark, d).where("role = 'fill'").withColumn("own", F.col("own") + F.col("n") * heat)
+    return E.dwelling_slope(fill, ["seed"], None, C.temperature_plan(spark, d), summed(days, ["seed"]))
 
 
 S0_SQL = f"""sfil AS (SELECT seed, hh, station FROM sp WHERE split='train' AND role='fill'), s0n AS (SELECT seed, CAST(count(*) AS BIGINT) AS N_ FROM sfil GROUP BY 1),
@@ -133,10 +140,15 @@ def crossfit_plan(spark, d):
     """Cross-fitted pilot slope per inner fold and per train substation."""
     m = C.member_plan(spark, d).where("role = 'hp'")
     hh = C.hh_table(spark, d).select("hh", "cap", F.col("station").alias("home"))
-    fold = (K.inner_folds(C.split_plan(spark, d), C.FOLDS).where("role = 'hp'")
+    fold = (C.pool_plan(spark, d).where("split = 'inner' AND role = 'hp'")
             .select("seed", F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("set_id"), "hh", "station", "cap"))
     own = m.where("split = 'train'").join(hh, "hh").select("seed", F.col("sub_id").alias("set_id"), "hh", F.col("home").alias("station"), "cap")
-    return E.crossfit_pilots(train_hp(spark, d), fold.unionByName(own), X.daily_readings(spark, d), X.station_temperature(spark, d))
+    return crossfit(spark, d, fold.unionByName(own))
+
+
+def crossfit(spark, d, excluded):
+    days = summed(C.train_days_plan(spark, d).where("role = 'hp'"), ["seed"])
+    return E.crossfit_pilots(train_hp(spark, d), excluded, C.readings_plan(spark, d), C.temperature_plan(spark, d), days)
 
 
 def xf_arms():
@@ -158,7 +170,7 @@ def with_crossfit(spark, d, e):
     """Estimates of train substations from pilots without the substation's own households; all others keep theirs."""
     own = (C.member_plan(spark, d).where("role = 'hp' AND split = 'train'").join(C.hh_table(spark, d).select("hh", "cap", F.col("station").alias("home")), "hh")
            .select("seed", F.col("sub_id").alias("set_id"), "hh", F.col("home").alias("station"), "cap"))
-    xf = E.crossfit_pilots(train_hp(spark, d), own, X.daily_readings(spark, d), X.station_temperature(spark, d)).select("seed", F.col("set_id").alias("sub_id"), F.col("m").alias("_m"))
+    xf = crossfit(spark, d, own).select("seed", F.col("set_id").alias("sub_id"), F.col("m").alias("_m"))
     e = e.join(xf, ["seed", "sub_id"], "left").withColumn("_m", F.when(F.col("split") == "train", F.col("_m")).otherwise(F.col("m_full")))
     s = F.col("s_h_net")
     for name, (p, v) in {"ratio": E.ratio_estimate(s, F.col("_m")), "corrected": E.corrected_estimate(s, F.col("size"), F.col("s0"), F.col("_m"))}.items():
@@ -322,7 +334,7 @@ def r19(spark, d):
     e = estimate_plan(spark, d)
     hh = C.hh_table(spark, d).select("hh", "cap", F.col("station").alias("home"))
     own = C.member_plan(spark, d).where("role = 'hp'").join(hh, "hh").select("sub_id", "hh", F.col("home").alias("station"), "cap")
-    m = E.pilots(own, ["sub_id"], X.daily_readings(spark, d), X.station_temperature(spark, d)).select("sub_id", F.col("m").alias("m_true"))
+    m = E.pilots(own, ["sub_id"], C.readings_plan(spark, d), C.temperature_plan(spark, d)).select("sub_id", F.col("m").alias("m_true"))
     j = e.join(m, "sub_id")
     return j.select("sub_id", F.round(E.ratio_estimate(F.col("s_h"), F.col("m_full"))[0], 5).alias("oracle_1"), F.round(E.ratio_estimate(F.col("s_h"), F.col("m_true"))[0], 4).alias("oracle_2"))
 
@@ -337,7 +349,7 @@ def r20(spark, d):
 def scale_rows(spark, d):
     """Covariates of the transferable scale and log of the true scale of every substation."""
     e = cut_lineage(estimate_plan(spark, d))
-    clim = A.climate(X.station_temperature(spark, d), "station", "t").select("station", "T_mean", "T_q05")
+    clim = A.climate(C.temperature_plan(spark, d), "station", "t").select("station", "T_mean", "T_q05")
     s_hat = F.greatest(F.lit(0.0), F.col("s_h_net") - F.col("size") * F.col("s0"))
     return (e.join(clim, "station").withColumn("s_hat", s_hat).withColumn("T_design", F.lit(-8.0)).withColumn("T_h", F.col("T_h_net"))
             .withColumn("r_hat", F.col("s_hat") / F.when(F.col("P_base_net") > 0, F.col("P_base_net")))
