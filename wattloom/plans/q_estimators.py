@@ -147,6 +147,8 @@ def crossfit_plan(spark, d):
 
 
 def crossfit(spark, d, excluded):
+    """Cross-fitted pilots of the sets in `excluded`. The sets are written first: few sets have a known size then, and are broadcast to the readings."""
+    excluded = cut_lineage(excluded)
     days = summed(C.train_days_plan(spark, d).where("role = 'hp'"), ["seed"])
     return E.crossfit_pilots(train_hp(spark, d), excluded, C.readings_plan(spark, d), C.temperature_plan(spark, d), days)
 
